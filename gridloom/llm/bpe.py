@@ -69,8 +69,7 @@ class Encoder:
         self.longest.make_automaton()
         self.max_len = max(map(len, self.vocab))
         self.slow_split, self.fast_split = regex.compile(PATTERN).findall, re.compile(FAST_PATTERN).findall
-        odd = (chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) in ("No", "Nl"))
-        self.odd = re.compile("[\x1c-\x1f" + re.escape("".join(odd)) + "]").search
+        self.only_fast = frozenset(map(chr, [*range(0x1C, 0x20), *(c for c in range(0x110000) if unicodedata.category(chr(c)) in ("No", "Nl"))])).isdisjoint
         self.pairs: dict[tuple[int, int], bool] = {}
         outer = self
 
@@ -161,7 +160,7 @@ class Encoder:
         return out
 
     def encode_bytes(self, text: str) -> bytes:
-        split = self.slow_split if self.odd(text) else self.fast_split
+        split = self.fast_split if self.only_fast(text) else self.slow_split
         return b"".join(map(self.memo.__getitem__, split(text)))
 
     def encode(self, text: str) -> list[int]:
