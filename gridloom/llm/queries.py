@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe
+from gridloom.llm import bpe, near_duplicates
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -19,8 +19,20 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.token_ids(_read(spark, folder, "documents"), "doc_id", "text", TOKENIZER)
 
 
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.groups({"synthetic": (_read(spark, folder, "synthetic_corpus"), "question", "words"), "sql": (_read(spark, folder, "sql_corpus"), "table", "cells")})
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.group_pairs(p4_groups(spark, folder))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_ids": p6_ids}
+    return {
+        "p4_found": p4_found,
+        "p4_groups": p4_groups,
+        "p6_ids": p6_ids,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
