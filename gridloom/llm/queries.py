@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, near_duplicates
+from gridloom.llm import bpe, leaks, lookalikes, near_duplicates, split_overlap, splitting
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -19,6 +19,24 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.token_ids(_read(spark, folder, "documents"), "doc_id", "text", TOKENIZER)
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return split_overlap.overlap_pairs(split_overlap.overlaps(_read(spark, folder, "wtq")))
+
+
+def p1_report(spark: SparkSession, folder: str) -> DataFrame:
+    wtq = _read(spark, folder, "wtq")
+    return split_overlap.overlap_report(wtq, split_overlap.overlaps(wtq))
+
+
+def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    corpora = {"wtq": _read(spark, folder, "wtq"), "synthetic": _read(spark, folder, "synthetic_corpus")}
+    return splitting.split_corpora(corpora, _read(spark, folder, "size_limits"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_pieces(spark, folder).where("piece = 0 and n_pieces > 1").select("corpus", "rec_no")
+
+
 def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.groups({"synthetic": (_read(spark, folder, "synthetic_corpus"), "question", "words"), "sql": (_read(spark, folder, "sql_corpus"), "table", "cells")})
 
@@ -27,13 +45,51 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.group_pairs(p4_groups(spark, folder))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalikes.lookalike_answers(_read(spark, folder, "wtq"))
+
+
+def p5_forms(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalikes.consistent_forms(_read(spark, folder, "wtq"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p7_leaks(spark, folder).select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaks(_read(spark, folder, "documents"), _read(spark, folder, "eval_items"))
+
+
+def p7_items(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaked_items(p7_leaks(spark, folder), _read(spark, folder, "eval_items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
+        "p1_report": p1_report,
+        "p3_found": p3_found,
+        "p3_pieces": p3_pieces,
         "p4_found": p4_found,
         "p4_groups": p4_groups,
+        "p5_found": p5_found,
+        "p5_forms": p5_forms,
         "p6_ids": p6_ids,
+        "p7_found": p7_found,
+        "p7_leaks": p7_leaks,
+        "p7_items": p7_items,
     }
 
 
+_SIZE = """(coalesce(list_sum(list_transform("table".header, h -> coalesce(length(h), 0))), 0)
+  + coalesce(list_sum(list_transform(flatten("table".rows), c -> coalesce(length(c), 0))), 0))"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p3_found": f"""
+            SELECT 'wtq' AS corpus, rec_no FROM wtq WHERE {_SIZE} > (SELECT max_chars FROM size_limits WHERE corpus = 'wtq')
+            UNION ALL
+            SELECT 'synthetic' AS corpus, rec_no FROM synthetic_corpus WHERE {_SIZE} > (SELECT max_chars FROM size_limits WHERE corpus = 'synthetic')""",
+    }
