@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, leaks, lookalikes, near_duplicates, split_overlap, splitting
+from gridloom.llm import bpe, leaks, lookalikes, mixing, near_duplicates, sentences, split_overlap, splitting
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -28,6 +28,15 @@ def p1_report(spark: SparkSession, folder: str) -> DataFrame:
     return split_overlap.overlap_report(wtq, split_overlap.overlaps(wtq))
 
 
+def p2_mix(spark: SparkSession, folder: str) -> DataFrame:
+    corpora = {"natural": (_read(spark, folder, "natural_corpus"), None), "synthetic": (_read(spark, folder, "synthetic_corpus"), "question"), "sql": (_read(spark, folder, "sql_corpus"), None)}
+    return mixing.mixed(corpora, _read(spark, folder, "mix_targets"))
+
+
+def p2_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.shares(p2_mix(spark, folder), _read(spark, folder, "mix_targets"))
+
+
 def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     corpora = {"wtq": _read(spark, folder, "wtq"), "synthetic": _read(spark, folder, "synthetic_corpus")}
     return splitting.split_corpora(corpora, _read(spark, folder, "size_limits"))
@@ -65,10 +74,16 @@ def p7_items(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked_items(p7_leaks(spark, folder), _read(spark, folder, "eval_items"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.sentences(_read(spark, folder, "documents")).select("doc_id", "end_pos")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_report": p1_report,
+        "p2_mix": p2_mix,
+        "p2_shares": p2_shares,
         "p3_found": p3_found,
         "p3_pieces": p3_pieces,
         "p4_found": p4_found,
@@ -79,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_found": p7_found,
         "p7_leaks": p7_leaks,
         "p7_items": p7_items,
+        "p8_found": p8_found,
     }
 
 
