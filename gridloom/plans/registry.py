@@ -5,11 +5,549 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.functions import masking as M
+from gridloom.functions import spans as S
+from gridloom.functions import tables as T
+from gridloom.functions import text as X
+from gridloom.functions import tokens as K
+from gridloom.functions import values as V
+from gridloom.operators import collation, encoding, scoring
+from gridloom.operators import truncation as TR
+from gridloom.plans import sql as Q
+from gridloom.sources import readers, sinks
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):  # noqa: ANN201
+    """Registers a query under its function's name, with the SQL it is checked against where one can say it."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _SQL
+
+
+def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{table}.parquet")
+
+
+def ids_text(ids):  # noqa: ANN001, ANN201
+    return F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")
+
+
+# Tables as text.
+
+_LINES = ["l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"]
+_CELLS = " || ' | ' || ".join(_LINES)
+
+
+@query(f"""
+    SELECT l_orderkey, 'col : {' | '.join(_LINES)} ' || string_agg('row ' || n || ' : ' || cells, ' ' ORDER BY n) AS flat
+    FROM (SELECT l_orderkey, {_CELLS} AS cells, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(_LINES)}) AS n FROM lineitem)
+    GROUP BY l_orderkey""")
+def linearize_orders(spark: SparkSession, folder: str) -> DataFrame:
+    tables = readers.grouped_tables(_read(spark, folder, "lineitem"), "l_orderkey", _LINES, _LINES)
+    return tables.select("l_orderkey", T.linearize(F.col("table")).alias("flat"))
+
+
+@query("""
+    SELECT r_name, 'col : n_nationkey | n_name ' || string_agg('row ' || n || ' : ' || n_nationkey || ' | ' || n_name, ' ' ORDER BY n) AS flat
+    FROM (SELECT r_name, n_nationkey, n_name, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) AS n
+      FROM nation JOIN region ON n_regionkey = r_regionkey) GROUP BY r_name""")
+def linearize_nations(spark: SparkSession, folder: str) -> DataFrame:
+    named = _read(spark, folder, "nation").join(_read(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return readers.grouped_tables(named, "r_name", ["n_nationkey", "n_name"], ["n_nationkey"]).select("r_name", T.linearize(F.col("table")).alias("flat"))
+
+
+_FLAT = Q.flat('"table".header', '"table".rows')
+
+
+@query(f"""SELECT rec_no, CASE WHEN "table" IS NOT NULL THEN {_FLAT} END AS flat FROM wtq""")
+def linearize_tables(spark: SparkSession, folder: str) -> DataFrame:
+    return _read(spark, folder, "wtq").select("rec_no", T.linearize(F.col("table")).alias("flat"))
+
+
+@query(f"""
+    WITH x AS (SELECT rec_no, coalesce("table".header, []) AS h, coalesce("table".rows, {Q.NULL_ROWS}) AS rows FROM wtq WHERE "table" IS NOT NULL),
+    c AS (SELECT rec_no, -1 AS r, unnest(range(0, len(h))) AS c, unnest({Q.shown('h')}) AS cell FROM x
+      UNION ALL SELECT rec_no, r, unnest(range(0, len(cells))), unnest({Q.shown('cells')}) FROM
+        (SELECT rec_no, unnest(range(0, len(rows))) AS r, unnest(rows) AS cells FROM x)),
+    p AS (SELECT rec_no, r, c, cell, CASE WHEN c > 0 THEN 3 WHEN r < 0 THEN 6 ELSE length('row ' || (r + 1) || ' : ') END AS lead FROM c),
+    e AS (SELECT rec_no, r AS r0, lead(r) OVER w AS nr, row_number() OVER w AS k FROM p WINDOW w AS (PARTITION BY rec_no ORDER BY r, c)),
+    rl AS (SELECT rec_no, r, sum(len_) OVER (PARTITION BY rec_no ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (
+      SELECT rec_no, -1 AS r, CASE WHEN len(h) > 0 THEN length({Q.header_text('h')}) + 1 ELSE 0 END AS len_ FROM x
+      UNION ALL SELECT rec_no, r, length(t) + 1 FROM (SELECT rec_no, unnest(range(0, len(rows))) AS r, unnest({Q.row_texts('rows')}) AS t FROM x)))
+    SELECT rec_no, p.r::INT AS r, c::INT AS c, (coalesce(before, 0) + sum(lead + length(cell)) OVER (PARTITION BY rec_no, p.r ORDER BY c) - length(cell))::INT AS s,
+      (coalesce(before, 0) + sum(lead + length(cell)) OVER (PARTITION BY rec_no, p.r ORDER BY c))::INT AS e
+    FROM p JOIN rl USING (rec_no, r)""")
+def linearize_offsets(spark: SparkSession, folder: str) -> DataFrame:
+    cells = _read(spark, folder, "wtq").where(F.col("table").isNotNull()).select("rec_no", F.explode(T.cell_offsets(F.col("table"))).alias("o"))
+    return cells.select("rec_no", F.col("o.row").alias("r"), F.col("o.cell").alias("c"), F.col("o.s").alias("s"), F.col("o.e").alias("e"))
+
+
+@query(f"""
+    SELECT rec_no, q || CASE WHEN length(q) > 0 AND length(f) > 0 THEN ' ' ELSE '' END || f AS both_text,
+      (length(q) + CASE WHEN length(q) > 0 AND length(f) > 0 THEN 1 ELSE 0 END)::INT AS shift
+    FROM (SELECT rec_no, coalesce(question, '') AS q, CASE WHEN "table" IS NULL THEN '' ELSE {_FLAT} END AS f FROM synthetic_corpus)""")
+def concat_query_table(spark: SparkSession, folder: str) -> DataFrame:
+    q, f = F.coalesce("question", F.lit("")), F.coalesce(T.linearize(F.col("table")), F.lit(""))
+    return _read(spark, folder, "synthetic_corpus").select("rec_no", T.concat_question(q, f).alias("both_text"), T.table_shift(q, f).alias("shift"))
+
+
+@query("""SELECT rec_no, (coalesce(len("table".header), 0) * (coalesce(len("table".rows), 0) + 1))::INT AS n_elements,
+    coalesce(len(list_filter(coalesce("table".rows, []), lambda r: r IS NULL OR len(r) <> len("table".header) OR "table".header IS NULL)) = 0, true) AS regular
+    FROM sql_corpus WHERE "table" IS NOT NULL AND len("table".header) > 0""")
+def element_counts(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _read(spark, folder, "sql_corpus").where(F.size(T.header_of(F.col("table"))) > 0)
+    return rows.select("rec_no", T.element_count(F.col("table")).alias("n_elements"), readers.well_formed(F.col("table")).alias("regular"))
+
+
+# Tokens and truncation.
+
+_CONTEXT = f"(SELECT rec_no, context, {Q.pieces('context')} AS f, {Q.tokens('context')} AS b FROM natural_corpus WHERE context IS NOT NULL)"
+
+
+@query(f"SELECT rec_no, coalesce(array_to_string(b, chr(31)), '') AS toks, {Q.spans_text(Q.offsets('f', 'b'))} AS spans FROM {_CONTEXT}")
+def tokenize_offsets(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _read(spark, folder, "natural_corpus").where(F.col("context").isNotNull())
+    return rows.select("rec_no", F.array_join(K.tokens(F.col("context")), "\x1f").alias("toks"), S.as_text(K.token_offsets(F.col("context"))).alias("spans"))
+
+
+@query(f"SELECT doc_id, {Q.count('text')}::INT AS n_tokens FROM documents WHERE text IS NOT NULL")
+def token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return _read(spark, folder, "documents").where(F.col("text").isNotNull()).select("doc_id", K.token_count(F.col("text")).alias("n_tokens"))
+
+
+@query(f"""SELECT rec_no, {Q.cut('context', 24)} AS short, least({Q.count('context')}, 24)::INT AS n_tokens FROM natural_corpus WHERE context IS NOT NULL""")
+def truncate_query(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _read(spark, folder, "natural_corpus").where(F.col("context").isNotNull())
+    return rows.select("rec_no", K.truncate_text(F.col("context"), 24).alias("short"), F.least(K.token_count(F.col("context")), F.lit(24)).alias("n_tokens"))
+
+
+@query(f"""WITH p AS (SELECT p_partkey, p_name || ' ' || p_type AS cell FROM part) SELECT p_partkey, {Q.cut_cell('cell', 3)} AS cell FROM p""")
+def truncate_cell(spark: SparkSession, folder: str) -> DataFrame:
+    return _read(spark, folder, "part").select("p_partkey", K.truncate_cell(F.concat_ws(" ", "p_name", "p_type"), 3).alias("cell"))
+
+
+_BUDGET = f"""
+    WITH x AS (SELECT rec_no, {Q.count(Q.header_text('"table".header'))} AS nh,
+      list_transform({Q.row_texts('"table".rows')}, lambda t_: {Q.count('t_')}) AS ls FROM wtq WHERE "table" IS NOT NULL)"""
+
+
+@query(_BUDGET + """
+    SELECT rec_no, nh::INT AS header_tokens, (CASE WHEN nh > 96 THEN -1 ELSE len(list_filter(range(1, len(ls) + 1), lambda i_: nh + list_sum(ls[1:i_]) <= 96)) END)::INT AS kept FROM x""")
+def row_budget(spark: SparkSession, folder: str) -> DataFrame:
+    t = F.col("table")
+    return _read(spark, folder, "wtq").where(t.isNotNull()).select("rec_no", TR.header_tokens(t).alias("header_tokens"), TR.kept_rows(t, F.lit(96)).alias("kept"))
+
+
+@query(_BUDGET + " SELECT rec_no FROM x WHERE nh > 16")
+def header_too_long(spark: SparkSession, folder: str) -> DataFrame:
+    t = F.col("table")
+    return _read(spark, folder, "wtq").where(t.isNotNull()).where(TR.kept_rows(t, F.lit(16)) < 0).select("rec_no")
+
+
+@query(f"""WITH {Q.truncated('(SELECT rec_no, coalesce(question, $$$$) AS question, "table" FROM wtq)', 'question', 12, 128, 4)}
+    SELECT rec_no, q AS question, CASE WHEN NOT none THEN {Q.flat('header', 'rows')} END AS flat, coalesce(kept >= 0, true) AS fits FROM fitt""")
+def truncate_full(spark: SparkSession, folder: str) -> DataFrame:
+    cut = TR.truncate(_read(spark, folder, "wtq").select("rec_no", "question", "table"), "question", "table", 12, 128, 4)
+    return cut.select("rec_no", "question", T.linearize(F.col("table")).alias("flat"), "fits")
+
+
+# Spans.
+
+
+@query(f"""
+    WITH x AS (SELECT rec_no, coalesce(context, '') AS c, {Q.pairs('mentions')} AS m, answers FROM natural_corpus)
+    SELECT rec_no, {Q.prefixed('c')} AS context,
+      {Q.spans_text(f"list_transform(m, lambda v_: {{'s': v_.s + length({Q.prefixed('c')}) - length(c), 'e': v_.e + length({Q.prefixed('c')}) - length(c)}})")} AS mentions,
+      coalesce(array_to_string(list_transform(answers, lambda a_, i_: CASE WHEN i_ = 1 THEN {Q.prefixed('a_')} ELSE a_ END), '|'), '') AS answers FROM x""")
+def prefix_space_shift(spark: SparkSession, folder: str) -> DataFrame:
+    rows = encoding.prefixed(_read(spark, folder, "natural_corpus").select("rec_no", "context", "mentions", "answers"), "rec_no")
+    return rows.select("rec_no", "context", S.as_text(F.col("mentions")).alias("mentions"), F.coalesce(F.array_join("answers", "|"), F.lit("")).alias("answers"))
+
+
+@query(f"""SELECT rec_no, {Q.spans_text(f"list_filter({Q.pairs('mentions')}, lambda v_: v_.s < 80 AND v_.e <= 80)")} AS mentions FROM natural_corpus""")
+def mention_clip(spark: SparkSession, folder: str) -> DataFrame:
+    return _read(spark, folder, "natural_corpus").select("rec_no", S.as_text(S.clip(S.from_pairs(F.col("mentions")), F.lit(80))).alias("mentions"))
+
+
+_CLEAN = Q.clean(Q.pairs("mentions"), "length(coalesce(context, ''))")
+
+
+@query(f"SELECT rec_no, {Q.spans_text(_CLEAN)} AS mentions FROM natural_corpus")
+def clean_spans(spark: SparkSession, folder: str) -> DataFrame:
+    spans = S.clean(S.from_pairs(F.col("mentions")), F.length(F.coalesce("context", F.lit(""))))
+    return _read(spark, folder, "natural_corpus").select("rec_no", S.as_text(spans).alias("mentions"))
+
+
+_IN_TOKENS = f"""(SELECT rec_no, f, b, o, list_filter({Q.to_tokens('o', 'm')}, lambda s_: s_ IS NOT NULL) AS sp, {Q.to_tokens('o', 'm')} AS raw, {Q.ids('b')} AS ids FROM
+    (SELECT rec_no, f, b, {Q.offsets('f', 'b')} AS o, m FROM (SELECT rec_no, {Q.pieces('context')} AS f, {Q.tokens('context')} AS b, {_CLEAN} AS m
+      FROM natural_corpus WHERE context IS NOT NULL)))"""
+
+
+def _in_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _read(spark, folder, "natural_corpus").where(F.col("context").isNotNull())
+    rows = rows.select("rec_no", "context", S.clean(S.from_pairs(F.col("mentions")), F.length("context")).alias("m"), K.token_offsets(F.col("context")).alias("o"))
+    rows = rows.withColumn("raw", S.to_tokens(F.col("o"), F.col("m"))).withColumn("ids", K.token_ids(F.col("context")))
+    return rows.withColumn("sp", F.filter("raw", lambda x: x.isNotNull()))
+
+
+@query(f"SELECT rec_no, {Q.spans_text('raw')} AS in_tokens FROM {_IN_TOKENS}")
+def char2token(spark: SparkSession, folder: str) -> DataFrame:
+    return _in_tokens(spark, folder).select("rec_no", S.as_text(F.col("raw")).alias("in_tokens"))
+
+
+# Masking.
+
+_N = '(coalesce(len("table".header), 0) * (coalesce(len("table".rows), 0) + 1))'
+
+
+@query(f"""SELECT rec_no, {Q.ids_text(Q.sample(_N, f'greatest(1, ({_N} * 200 + 999) // 1000)', "'1:' || rec_no || ':t'"))} AS elements
+    FROM natural_corpus WHERE "table" IS NOT NULL AND len("table".header) > 0""")
+def mask_sample_elements(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _read(spark, folder, "natural_corpus").where(F.size(T.header_of(F.col("table"))) > 0)
+    key = F.concat(F.lit("1:"), F.col("rec_no").cast("string"), F.lit(":t"))
+    return rows.select("rec_no", ids_text(encoding.element_sample(F.col("table"), key, 0.2)).alias("elements"))
+
+
+_TAKEN = Q.sample("len(b)", "(len(b) * 150 + 999) // 1000", "'1:' || rec_no || ':c'")
+
+
+@query(f"""
+    WITH x AS (SELECT rec_no, {Q.offsets('f', 'b')} AS o, {_TAKEN} AS k FROM {_CONTEXT}),
+    i AS (SELECT rec_no, o, unnest(k) AS t FROM x), g AS (SELECT *, t - row_number() OVER (PARTITION BY rec_no ORDER BY t) AS island FROM i),
+    s AS (SELECT rec_no, min(o[t + 1].s) AS s, max(o[t + 1].e) AS e FROM g GROUP BY rec_no, island)
+    SELECT rec_no, coalesce(string_agg(s.s || '-' || s.e, ',' ORDER BY s.s), '') AS spans FROM x LEFT JOIN s USING (rec_no) GROUP BY rec_no""")
+def mask_sample_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _read(spark, folder, "natural_corpus").where(F.col("context").isNotNull()).withColumn("o", K.token_offsets(F.col("context")))
+    taken = M.sample_indices(F.size("o"), encoding.percent_ceil(F.size("o"), 0.15), F.concat(F.lit("1:"), F.col("rec_no").cast("string"), F.lit(":c")))
+    return rows.withColumn("k", taken).select("rec_no", S.as_text(S.merge_runs(F.col("k"), F.col("o"))).alias("spans"))
+
+
+@query(f"SELECT rec_no, {Q.ids_text(Q.mask_span('ids', 'sp'))} AS masked, {Q.ids_text(Q.labels('ids', 'sp'))} AS labels FROM {_IN_TOKENS}")
+def mask_span_labels(spark: SparkSession, folder: str) -> DataFrame:
+    ids, sp = F.col("ids"), F.col("sp")
+    return _in_tokens(spark, folder).select("rec_no", ids_text(M.mask_ids(ids, sp, F.lit(""))).alias("masked"), ids_text(M.label_ids(ids, sp)).alias("labels"))
+
+
+_BERT = Q.mask_token("ids", "sp", "'1:' || rec_no || ':'")
+
+
+@query(f"SELECT rec_no, {Q.ids_text(Q.collapse('masked'))} AS masked FROM (SELECT rec_no, {_BERT} AS masked FROM {_IN_TOKENS})")
+def mask_token_bert(spark: SparkSession, folder: str) -> DataFrame:
+    key = F.concat(F.lit("1:"), F.col("rec_no").cast("string"))
+    return _in_tokens(spark, folder).select("rec_no", ids_text(M.mask_ids(F.col("ids"), F.col("sp"), key, "token", "bert", True)).alias("masked"))
+
+
+@query(f"SELECT rec_no, {Q.ids_text('list_transform(ids, lambda x_, i_: CASE WHEN (i_ - 1) % 3 = 0 THEN 1 ELSE x_ END)')} AS ids FROM {_IN_TOKENS}")
+def replace_special(spark: SparkSession, folder: str) -> DataFrame:
+    flags = F.transform("ids", lambda x, i: (i % 3 == 0).cast("int"))
+    return _in_tokens(spark, folder).select("rec_no", ids_text(M.replace_at(F.col("ids"), flags)).alias("ids"))
+
+
+# Encodings and corpora; a small budget, so that all cuts occur.
+
+_SETTINGS = encoding.Settings(max_source=160, max_context=24, max_cell=6)
+_PRE = f"""(SELECT rec_no, {Q.prefixed("coalesce(context, '')")} AS c, {Q.pairs('mentions')} AS m0, length({Q.prefixed("coalesce(context, '')")}) - length(coalesce(context, '')) AS d, "table" FROM natural_corpus)"""
+_SHIFTED = "list_transform(m0, lambda v_: {'s': v_.s + d, 'e': v_.e + d})"
+_BOTH = f"""(q || CASE WHEN length(q) > 0 AND length(fl) > 0 THEN ' ' ELSE '' END || fl)"""
+_SALIENT = f"""
+    WITH {Q.truncated(_PRE, 'c', 24, 155, 6, ', m0, d')},
+    g AS (SELECT *, CASE WHEN none THEN '' ELSE {Q.flat('header', 'rows')} END AS fl, list_filter({_SHIFTED}, lambda y_: y_.s < length(q) AND y_.e <= length(q)) AS mm FROM fitt WHERE none OR kept >= 0),
+    h AS (SELECT rec_no, {_BOTH} AS txt, {Q.clean('mm', 'length(q)')} AS sp0 FROM g),
+    k AS (SELECT rec_no, {Q.pieces('txt')} AS f, {Q.tokens('txt')} AS b, {Q.clean('sp0', 'length(txt)')} AS m FROM h),
+    o AS (SELECT rec_no, b, m, {Q.offsets('f', 'b')} AS o FROM k),
+    z AS (SELECT rec_no, {Q.ids('b')} AS ids, list_filter({Q.to_tokens('o', 'm')}, lambda s_: s_ IS NOT NULL) AS sp FROM o)"""
+_OUT = f"SELECT rec_no, {Q.ids_text(Q.mask_span('ids', 'sp'))} AS input_ids, {Q.ids_text('ids')} AS target_input_ids, {Q.ids_text(Q.labels('ids', 'sp'))} AS labels FROM z"
+
+
+def _texts(df: DataFrame) -> DataFrame:
+    return df.select("rec_no", *(ids_text(F.col(c)).alias(c) for c in ("input_ids", "target_input_ids", "labels")))
+
+
+@query(_SALIENT + _OUT)
+def salient_masking(spark: SparkSession, folder: str) -> DataFrame:
+    return _texts(encoding.salient_masking(_read(spark, folder, "natural_corpus").select("rec_no", "context", "table", "mentions"), "rec_no", _SETTINGS))
+
+
+@query()
+def random_masking(spark: SparkSession, folder: str) -> DataFrame:
+    return _texts(encoding.random_masking(_read(spark, folder, "natural_corpus").select("rec_no", "context", "table", "mentions"), "rec_no", _SETTINGS))
+
+
+_QA_SOURCE = f"""(SELECT rec_no, {Q.prefixed("coalesce(question, '')")} AS c, answers, "table" FROM wtq WHERE "table" IS NOT NULL)"""
+_FIRST = f"list_transform(answers, lambda a_, i_: CASE WHEN i_ = 1 THEN {Q.prefixed('a_')} ELSE a_ END)"
+
+
+@query(f"""
+    WITH {Q.truncated(_QA_SOURCE, 'c', 24, 155, 6, ', answers')},
+    g AS (SELECT rec_no, {_BOTH} AS txt, coalesce(array_to_string({_FIRST}, ', '), '') AS a FROM (SELECT *, {Q.flat('header', 'rows')} AS fl FROM fitt WHERE kept >= 0))
+    SELECT rec_no, {Q.ids_text(Q.ids(Q.tokens('txt')))} AS input_ids, {Q.ids_text(Q.ids(Q.tokens('a')))} AS target_input_ids, {Q.ids_text(Q.ids(Q.tokens('a')))} AS labels FROM g""")
+def qa_encode(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _read(spark, folder, "wtq").where(F.col("table").isNotNull()).select("rec_no", "question", "table", "answers")
+    return _texts(encoding.qa(rows, "rec_no", _SETTINGS, question="question"))
+
+
+def _corpora(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    return {n: _read(spark, folder, f"{n}_corpus").select("rec_no", "context", "table", "mentions", "answers") for n in readers.CORPORA}
+
+
+def _fits(corpus: str) -> str:
+    source = f"""(SELECT rec_no, {Q.prefixed("coalesce(context, '')")} AS c, "table" FROM {corpus}_corpus)"""
+    return f"(WITH {Q.truncated(source, 'c', 128, 1019, 15)} SELECT * FROM fitt WHERE kept >= 0)"
+
+
+@query(f"""
+    SELECT 'natural' AS corpus, 'random_masking' AS method, count(*) AS n FROM {_fits('natural')} WHERE len(header) > 0
+    UNION ALL SELECT 'natural', 'salient_masking', count(*) FROM {_fits('natural')}
+    UNION ALL SELECT 'synthetic', 'qa', count(*) FROM {_fits('synthetic')} UNION ALL SELECT 'sql', 'qa', count(*) FROM {_fits('sql')}""")
+def corpus_union(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding.assemble(_corpora(spark, folder), "rec_no").groupBy("corpus", "method").agg(F.count("*").alias("n"))
+
+
+@query()
+def corpus_encoded(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding.assemble(_corpora(spark, folder), "rec_no")
+
+
+@query("""
+    WITH t AS (SELECT r_regionkey, 'col : r_regionkey | r_name row 1 : ' || r_regionkey || ' | ' || r_name AS flat FROM region)
+    SELECT r_regionkey, item_id, text || ' ' || flat AS both_text FROM t CROSS JOIN eval_items""")
+def pair_table_queries(spark: SparkSession, folder: str) -> DataFrame:
+    # Every question with every table, which is the operator; both tables have a fixed size.
+    tables = readers.grouped_tables(_read(spark, folder, "region"), "r_regionkey", ["r_regionkey", "r_name"], ["r_name"])
+    pairs = tables.crossJoin(_read(spark, folder, "eval_items").select("item_id", "text"))
+    return pairs.select("r_regionkey", "item_id", T.concat_question(F.col("text"), T.linearize(F.col("table"))).alias("both_text"))
+
+
+# Sources, selection, order.
+
+
+@query("SELECT rec_no, id FROM wtq WHERE split = 'train' AND id IN (SELECT id FROM wtq WHERE split = 'test' AND id IS NOT NULL)")
+def fewshot_filter(spark: SparkSession, folder: str) -> DataFrame:
+    wtq = _read(spark, folder, "wtq")
+    ids = readers.select_split(wtq, "test").select("id").distinct()
+    return readers.select_split(wtq, "train").join(ids, "id", "left_semi").select("rec_no", "id")
+
+
+@query("SELECT split, count(*) AS n, count(DISTINCT id) AS n_ids FROM wtq WHERE split IN ('validation', 'test') GROUP BY split")
+def split_counts(spark: SparkSession, folder: str) -> DataFrame:
+    wtq = _read(spark, folder, "wtq")
+    parts = [readers.select_split(wtq, s, predicting=True) for s in ("validation", "test")]
+    return parts[0].unionByName(parts[1]).groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_ids"))
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 1000")
+def head_n(spark: SparkSession, folder: str) -> DataFrame:
+    return _read(spark, folder, "orders").select("o_orderkey", "o_orderdate").orderBy("o_orderdate", "o_orderkey").limit(1000)
+
+
+@query("SELECT user_id, arg_max(event_type, struct_pack(ts := ts, event_id := event_id)) AS event_type, max(struct_pack(ts := ts, event_id := event_id)).event_id AS event_id FROM events GROUP BY user_id")
+def last_wins(spark: SparkSession, folder: str) -> DataFrame:
+    return readers.last_wins(_read(spark, folder, "events"), "user_id", F.struct("ts", "event_id"), ["event_type", "event_id"])
+
+
+@query(r"""
+    WITH x AS (SELECT rec_no, replace(replace(context, ' or ', '\p'), ' and ', '|') || '\\n' || rec_no || '\n' AS s FROM sql_corpus WHERE context IS NOT NULL)
+    SELECT rec_no, array_to_string(list_transform(string_split(s, '|'), lambda v: replace(replace(replace(v, '\n', chr(10)), '\p', '|'), '\\', '\')), chr(31)) AS items FROM x""")
+def tsv_unescape(spark: SparkSession, folder: str) -> DataFrame:
+    s = F.replace(F.replace("context", F.lit(" or "), F.lit("\\p")), F.lit(" and "), F.lit("|"))
+    s = F.concat(s, F.lit("\\\\n"), F.col("rec_no").cast("string"), F.lit("\\n"))
+    rows = _read(spark, folder, "sql_corpus").where(F.col("context").isNotNull())
+    return rows.select("rec_no", F.array_join(X.tsv_unescape_list(s), "\x1f").alias("items"))
+
+
+@query("SELECT rec_no, array_to_string(answers, ', ') AS answer FROM wtq WHERE len(answers) > 0 AND len(list_filter(answers, lambda a: a IS NOT NULL)) > 0")
+def answer_join(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _read(spark, folder, "wtq").where(F.exists("answers", lambda a: a.isNotNull()))
+    return rows.select("rec_no", X.join_answers(F.col("answers")).alias("answer"))
+
+
+@query(f"""SELECT rec_no, regexp_replace(replace(coalesce(question, ''), chr(10), ' '), '^{Q.SPACE}+|{Q.SPACE}+$', '', 'g') AS value FROM wtq""")
+def predictions_sink_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return sinks.prediction_lines(_read(spark, folder, "wtq"), "rec_no", "question")
+
+
+# Typed values and scoring.
+
+
+@query()
+def normalize_text(spark: SparkSession, folder: str) -> DataFrame:
+    cells = _read(spark, folder, "wtq").select(F.explode(F.flatten(F.filter(F.col("table.rows"), lambda r: r.isNotNull()))).alias("cell"))
+    return scoring.normalized_lookup(cells, "cell")
+
+
+_FLOAT = r"^[+-]?([0-9]+(_[0-9]+)*\.?|([0-9]+(_[0-9]+)*)?\.[0-9]+(_[0-9]+)*)([eE][+-]?[0-9]+(_[0-9]+)*)?$"
+_ASCII = "regexp_full_match(cell, '[\\x00-\\x7F]*')"
+
+
+def _strip(s: str) -> str:
+    return f"regexp_replace({s}, '^{Q.SPACE}+|{Q.SPACE}+$', '', 'g')"
+
+
+def _number(s: str) -> str:
+    raw = f"(CASE WHEN regexp_matches({_strip(s)}, '{_FLOAT}') THEN TRY_CAST(replace({_strip(s)}, '_', '') AS DOUBLE) END)"
+    return f"(CASE WHEN abs({raw} - round_even({raw}, 0)) < 1e-6 THEN trunc({raw}) WHEN isfinite({raw}) THEN {raw} END)"
+
+
+_SQL_CELLS = """(SELECT DISTINCT unnest(flatten("table".rows)) AS cell FROM sql_corpus)"""
+
+
+@query(f"SELECT cell, {_number('cell')} AS num FROM {_SQL_CELLS} WHERE cell IS NOT NULL AND {_ASCII}")
+def parse_number(spark: SparkSession, folder: str) -> DataFrame:
+    return _ascii_cells(spark, folder).select("cell", V.parse_number(F.col("cell")).alias("num"))
+
+
+def _ascii_cells(spark: SparkSession, folder: str) -> DataFrame:
+    flat = F.flatten(F.filter(F.col("table.rows"), lambda r: r.isNotNull()))
+    return _read(spark, folder, "sql_corpus").select(F.explode(flat).alias("cell")).where(r"cell is not null and cell rlike '^[\\x00-\\x7F]*$'").distinct()
+
+
+_DATES = """(SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, 'xx-%m-%d')
+    WHEN 2 THEN strftime(o_orderdate, '%Y-XX-xx') ELSE strftime(o_orderdate, '%d-%Y-%m') END AS s FROM orders)"""
+
+
+@query(f"""SELECT o_orderkey, s, CASE WHEN ok THEN y END AS y, CASE WHEN ok THEN m END AS m, CASE WHEN ok THEN d END AS d FROM (
+    SELECT *, coalesce(y IS NOT NULL AND (m = -1 OR m BETWEEN 1 AND 12) AND (d = -1 OR d BETWEEN 1 AND 31) AND NOT (y = -1 AND m = -1 AND d = -1), false) AS ok FROM (
+    SELECT o_orderkey, s, CASE WHEN p[1] IN ('xx', 'xxxx') THEN -1 ELSE TRY_CAST(p[1] AS INT) END AS y, CASE WHEN p[2] = 'xx' THEN -1 ELSE TRY_CAST(p[2] AS INT) END AS m,
+      CASE WHEN p[3] = 'xx' THEN -1 ELSE TRY_CAST(p[3] AS INT) END AS d FROM (SELECT o_orderkey, s, string_split(lower(s), '-') AS p FROM {_DATES})))""")
+def parse_date(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _dates(spark, folder).withColumn("v", V.parse_date(F.col("s")))
+    return rows.select("o_orderkey", "s", F.col("v.y").alias("y"), F.col("v.m").alias("m"), F.col("v.d").alias("d"))
+
+
+def _dates(spark: SparkSession, folder: str) -> DataFrame:
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 4
+    f = lambda x: F.date_format(d, x)
+    s = F.when(k == 0, f("yyyy-MM-dd")).when(k == 1, F.concat(F.lit("xx-"), f("MM-dd"))).when(k == 2, F.concat(f("yyyy"), F.lit("-XX-xx"))).otherwise(f("dd-yyyy-MM"))
+    return _read(spark, folder, "orders").select("o_orderkey", s.alias("s"))
+
+
+@query(f"""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 2 THEN 'number' WHEN 3 THEN 'string' ELSE 'date' END AS kind,
+    CASE WHEN o_orderkey % 4 = 2 THEN split_part(s, '-', 1)::DOUBLE END AS num, lower(s) AS norm FROM {_DATES}""")
+def to_value(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _dates(spark, folder).withColumn("v", V.to_value(F.col("s"), F.lit(None).cast("string"), V.normalize(F.col("s"))))
+    return rows.select("o_orderkey", F.col("v.kind").alias("kind"), F.col("v.num").alias("num"), F.col("v.norm").alias("norm"))
+
+
+# Answers of an order: quantities, ship dates or flags of its lines, by the order's key; predictions are altered for some orders.
+_ITEM = """CASE l_orderkey % 3 WHEN 0 THEN l_quantity::INT || ' units' WHEN 1 THEN strftime(l_shipdate, '%Y-%m-%d') ELSE l_returnflag || '" [' || l_linestatus || ']' END"""
+_CANON = """CASE l_orderkey % 3 WHEN 0 THEN l_quantity::INT || '.0' WHEN 1 THEN strftime(l_shipdate, '%Y-%m-%d') ELSE '' END"""
+_GUESS = """CASE WHEN l_orderkey % 3 = 0 THEN (l_quantity::INT + CASE WHEN l_orderkey % 7 = 0 THEN 1 ELSE 0 END) || '.0000001' WHEN l_orderkey % 3 = 1 THEN strftime(l_shipdate, '%Y-%m-%d')
+    ELSE lower(l_returnflag) || '" ' END"""
+_ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate, l_extendedprice"
+_ANSWERS = f"""
+    o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) AS n FROM lineitem),
+    t0 AS (SELECT l_orderkey AS k, n, CASE l_orderkey % 3 WHEN 0 THEN 'number' WHEN 1 THEN 'date' ELSE 'string' END AS kind,
+      CASE l_orderkey % 3 WHEN 0 THEN (l_quantity::INT)::VARCHAR WHEN 1 THEN strftime(l_shipdate, '%Y-%m-%d') ELSE lower(l_returnflag) || '"' END AS key FROM o),
+    t AS (SELECT k, kind, key, min(n) AS n FROM t0 GROUP BY k, kind, key),
+    p0 AS (SELECT l_orderkey AS k, n, CASE l_orderkey % 3 WHEN 0 THEN 'number' WHEN 1 THEN 'date' ELSE 'string' END AS kind,
+      CASE WHEN l_orderkey % 3 = 0 THEN (l_quantity::INT + CASE WHEN l_orderkey % 7 = 0 THEN 1 ELSE 0 END)::VARCHAR WHEN l_orderkey % 3 = 1 THEN strftime(l_shipdate, '%Y-%m-%d') ELSE lower(l_returnflag) || '"' END AS key
+      FROM o WHERE NOT (l_orderkey % 5 = 0 AND n = 1 AND (SELECT count(*) FROM lineitem y WHERE y.l_orderkey = o.l_orderkey) > 1)),
+    nt AS (SELECT k, count(*) AS nt FROM t GROUP BY k), np AS (SELECT k, count(*) AS lines, count(DISTINCT key) AS np, min(key) AS one FROM p0 GROUP BY k),
+    hit AS (SELECT t.k, count(*) AS hits FROM t WHERE EXISTS (SELECT 1 FROM p0 WHERE p0.k = t.k AND p0.key = t.key) GROUP BY t.k),
+    scored AS (SELECT k AS l_orderkey, CASE WHEN nt = 1 THEN lines = 1 AND coalesce(hits, 0) = 1 ELSE nt = np AND coalesce(hits, 0) = nt END AS correct
+      FROM nt JOIN np USING (k) LEFT JOIN hit USING (k))"""
+
+
+def _answers(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _read(spark, folder, "lineitem")
+    k, q, day = F.col("l_orderkey"), F.col("l_quantity").cast("int"), F.date_format("l_shipdate", "yyyy-MM-dd")
+    item = F.when(k % 3 == 0, F.concat(q.cast("string"), F.lit(" units"))).when(k % 3 == 1, day).otherwise(F.concat("l_returnflag", F.lit('" ['), "l_linestatus", F.lit("]")))
+    canon = F.when(k % 3 == 0, F.concat(q.cast("string"), F.lit(".0"))).when(k % 3 == 1, day).otherwise(F.lit(""))
+    guess = F.when(k % 3 == 0, F.concat((q + (k % 7 == 0).cast("int")).cast("string"), F.lit(".0000001"))).when(k % 3 == 1, day).otherwise(F.concat(F.lower("l_returnflag"), F.lit('" ')))
+    lines = rows.select("l_orderkey", F.struct(*_ORDER.split(", "), item.alias("item"), canon.alias("canon"), guess.alias("guess")).alias("x"))
+    per = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    short = F.when((k % 5 == 0) & (F.size("xs") > 1), F.slice("xs", 2, F.size("xs"))).otherwise(F.col("xs"))
+    return per.select("l_orderkey", F.col("xs.item").alias("originals"), F.col("xs.canon").alias("canonicals"), F.array_join(short["guess"], ", ").alias("prediction"))
+
+
+@query(f"WITH {_ANSWERS} SELECT * FROM scored")
+def denotation_match(spark: SparkSession, folder: str) -> DataFrame:
+    return scoring.denotation_scores(_answers(spark, folder), "prediction", "originals", "canonicals").select("l_orderkey", "correct")
+
+
+@query(f"WITH {_ANSWERS} SELECT count(*) AS examples, count(*) FILTER (correct) AS correct, round((count(*) FILTER (correct) + 1e-9) / (count(*) + 1e-9), 4) AS accuracy FROM scored")
+def denotation_accuracy(spark: SparkSession, folder: str) -> DataFrame:
+    return scoring.accuracy(scoring.denotation_scores(_answers(spark, folder), "prediction", "originals", "canonicals"))
+
+
+@query(f"WITH {_ANSWERS} SELECT k AS l_orderkey, count(*) AS n_values FROM t GROUP BY k")
+def value_dedupe(spark: SparkSession, folder: str) -> DataFrame:
+    return scoring.typed(_answers(spark, folder), "originals", "canonicals", "v").select("l_orderkey", F.size("v").cast("bigint").alias("n_values"))
+
+
+_MULTI = f"""
+    o AS (SELECT l_orderkey, l_quantity, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) AS n, count(*) OVER (PARTITION BY l_orderkey) AS c FROM lineitem),
+    s AS (SELECT l_orderkey, list_sort(list(l_quantity::INT::VARCHAR || l_returnflag)) = list_sort(list(CASE WHEN l_orderkey % 4 = 0 AND n = 1 AND c > 1 THEN 'none' ELSE l_quantity::INT::VARCHAR || l_returnflag END)) AS same
+      FROM o GROUP BY l_orderkey),
+    scored AS (SELECT l_orderkey, same AND l_orderkey % 9 <> 0 AS correct FROM s)"""
+
+
+def _multi(spark: SparkSession, folder: str) -> DataFrame:
+    k, q = F.col("l_orderkey"), F.col("l_quantity").cast("int").cast("string")
+    x = F.struct(*_ORDER.split(", "), F.concat_ws(", ", q, "l_returnflag").alias("truth"), F.concat_ws(", ", F.concat(q, F.lit(".00")), F.concat(F.lower("l_returnflag"), F.lit("  "))).alias("guess"))
+    per = _read(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(x)).alias("xs"))
+    guesses = F.transform("xs", lambda v, i: F.when((k % 4 == 0) & (i == 0) & (F.size("xs") > 1), F.lit("none")).otherwise(v["guess"]))
+    per = per.select("l_orderkey", F.array_join(F.col("xs.truth"), ", ").alias("truth"), F.concat(F.array_join(F.reverse(guesses), ", "), F.when(k % 9 == 0, F.lit(", nan")).otherwise(F.lit(""))).alias("guess"))
+    return scoring.multiset_scores(per, "guess", "truth")
+
+
+@query(f"WITH {_MULTI} SELECT * FROM scored")
+def multiset_match(spark: SparkSession, folder: str) -> DataFrame:
+    return _multi(spark, folder).select("l_orderkey", "correct")
+
+
+@query(f"WITH {_MULTI} SELECT avg(correct::INT) AS accuracy FROM scored")
+def multiset_accuracy(spark: SparkSession, folder: str) -> DataFrame:
+    return scoring.mean_accuracy(_multi(spark, folder))
+
+
+@query("""SELECT 'nu-' || (rec_no - 1) AS ex_id, question AS prediction, array_to_string(t.answers, '|') AS answers
+    FROM wtq JOIN (SELECT id AS tid, arg_max(answers, rec_no) AS answers FROM wtq WHERE split = 'test' AND answers IS NOT NULL GROUP BY id) t ON tid = 'nu-' || (rec_no - 1)""")
+def prediction_join(spark: SparkSession, folder: str) -> DataFrame:
+    wtq = _read(spark, folder, "wtq")
+    lines = scoring.predictions_with_ids(wtq.select((F.col("rec_no") - 1).alias("line"), F.col("question").alias("value")), None)
+    targets = readers.last_wins(readers.select_split(wtq, "test").where("answers is not null"), "id", F.col("rec_no"), ["answers"])
+    found = lines.join(targets.withColumnRenamed("id", "ex_id"), "ex_id")
+    return found.select("ex_id", "prediction", F.array_join("answers", "|").alias("answers"))
+
+
+@query("SELECT count(*) AS test_samples, 0.5::DOUBLE AS test_share FROM (SELECT 1 FROM wtq LIMIT 100000)")
+def metrics_report(spark: SparkSession, folder: str) -> DataFrame:
+    return sinks.metrics(_read(spark, folder, "wtq"), "test", {"share": 0.5}, 100_000)
+
+
+# Collation.
+
+_IDS = f"(SELECT rec_no, {Q.ids(Q.tokens('context'))} AS ids FROM natural_corpus WHERE context IS NOT NULL)"
+
+
+@query(f"""WITH w AS (SELECT rec_no, ids, (ceil(max(len(ids)) OVER (PARTITION BY rec_no // 32) / 8.0) * 8)::INT AS width FROM {_IDS})
+    SELECT rec_no, width, {Q.ids_text("list_concat(ids, list_transform(range(0, width - len(ids)), lambda v_: 1))")} AS ids FROM w""")
+def pad_batch(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _read(spark, folder, "natural_corpus").where(F.col("context").isNotNull()).select("rec_no", K.token_ids(F.col("context")).alias("ids"))
+    rows = collation.batch_width(rows.withColumn("batch", F.expr("rec_no div 32")), "ids", "batch", 8)
+    return rows.select("rec_no", "width", ids_text(collation.pad_to(F.col("ids"), F.col("width"), K.PAD)).alias("ids"))
+
+
+@query(f"""SELECT rec_no, {Q.ids_text('CASE WHEN len(ids) > 0 THEN list_concat([2], ids[1:len(ids) - 1]) ELSE ids END')} AS decoder_input_ids FROM {_IDS}""")
+def decoder_shift(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _read(spark, folder, "natural_corpus").where(F.col("context").isNotNull()).select("rec_no", K.token_ids(F.col("context")).alias("ids"))
+    return rows.select("rec_no", ids_text(collation.shift_right(F.col("ids"))).alias("decoder_input_ids"))
