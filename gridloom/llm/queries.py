@@ -98,8 +98,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-_SIZE = """(coalesce(list_sum(list_transform("table".header, h -> coalesce(length(h), 0))), 0)
-  + coalesce(list_sum(list_transform(flatten("table".rows), c -> coalesce(length(c), 0))), 0))"""
+_SIZE = """(coalesce(list_sum(list_transform("table".header, lambda h: coalesce(length(h), 0))), 0)
+  + coalesce(list_sum(list_transform(flatten("table".rows), lambda c: coalesce(length(c), 0))), 0))"""
 
 
 def oracle_sql() -> dict[str, str]:
