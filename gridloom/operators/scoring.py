@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import text as X
 from gridloom.functions import values as V
+from gridloom.functions.binding import let
 
 
 def normalized_lookup(strings: DataFrame, column: str) -> DataFrame:
@@ -56,10 +57,14 @@ def denotation_scores(df: DataFrame, prediction: str, targets: str, canonicals:
     n, norms = F.size(items), F.col("_n")
     t = _values(items, _canon(df, targets, canonicals), F.slice(norms, 1, n))
     whole, parts = F.slice(norms, n + 1, 1), F.slice(norms, n + 2, F.size(split))
-    single = F.size(t) == 1
-    answers = F.when(single, F.array(line)).otherwise(split)
-    p = _values(answers, answers, F.when(single, whole).otherwise(parts))
-    return df.withColumn("correct", V.denotation_correct(t, p)).drop("_n")
+
+    def score(z: Column) -> Column:
+        single = F.size(z["t"]) == 1
+        answers = F.when(single, F.array(line)).otherwise(split)
+        return V.denotation_correct(z["t"], _values(answers, answers, F.when(single, z["whole"]).otherwise(z["parts"])))
+
+    bound = F.struct(t.alias("t"), whole.alias("whole"), parts.alias("parts"))
+    return df.withColumn("correct", let(bound, score)).drop("_n")
 
 
 def accuracy(scored: DataFrame, by: list[str] = []) -> DataFrame:

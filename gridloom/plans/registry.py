@@ -310,7 +310,7 @@ def _corpora(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 def _fits(corpus: str) -> str:
     source = f"""(SELECT rec_no, {Q.prefixed("coalesce(context, '')")} AS c, "table" FROM {corpus}_corpus)"""
-    return f"(WITH {Q.truncated(source, 'c', 128, 1019, 15)} SELECT * FROM fitt WHERE kept >= 0)"
+    return f"(WITH {Q.truncated(source, 'c', 128, 1019, 15)} SELECT * FROM fitt WHERE none OR kept >= 0)"
 
 
 @query(f"""
@@ -519,7 +519,7 @@ def multiset_accuracy(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.mean_accuracy(_multi(spark, folder))
 
 
-@query("""SELECT 'nu-' || (rec_no - 1) AS ex_id, question AS prediction, array_to_string(t.answers, '|') AS answers
+@query("""SELECT 'nu-' || (rec_no - 1) AS ex_id, question AS prediction, coalesce(array_to_string(t.answers, '|'), '') AS answers
     FROM wtq JOIN (SELECT id AS tid, arg_max(answers, rec_no) AS answers FROM wtq WHERE split = 'test' AND answers IS NOT NULL GROUP BY id) t ON tid = 'nu-' || (rec_no - 1)""")
 def prediction_join(spark: SparkSession, folder: str) -> DataFrame:
     wtq = _read(spark, folder, "wtq")
