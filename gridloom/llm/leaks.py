@@ -111,7 +111,8 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     # An offset needs enough of the item's words; looked up in the documents' lists by document.
     offsets = stage(offsets)
     own = held.join(offsets.select("doc_id").distinct(), "doc_id", "left_semi").distinct()
-    placed = offsets.join(own, "doc_id").join(terms.withColumnRenamed("place", "wanted"), ["item_id", "term"])
+    expected = offsets.join(terms.withColumnRenamed("place", "wanted"), "item_id")
+    placed = expected.join(own, ["doc_id", "term"])
     off = F.col("at") - F.col("shift") - F.col("wanted")
     placed = placed.where(F.abs(off) <= SLACK).groupBy("doc_id", "item_id", "shift", "wanted").agg(F.max((off == 0).cast("int")).alias("exact"), F.first("n_words").alias("n_words"))
     by_offset = Window.partitionBy("doc_id", "item_id", "shift")
