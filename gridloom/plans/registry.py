@@ -15,6 +15,7 @@ from gridloom.functions import tokens as K
 from gridloom.functions import values as V
 from gridloom.operators import collation, encoding, scoring
 from gridloom.operators import truncation as TR
+from gridloom.plans import pipelines
 from gridloom.plans import sql as Q
 from gridloom.sources import readers, sinks
 
@@ -534,6 +535,27 @@ def metrics_report(spark: SparkSession, folder: str) -> DataFrame:
     return sinks.metrics(_read(spark, folder, "wtq"), "test", {"share": 0.5}, 100_000)
 
 
+@query(f"""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 2 THEN printf('N(%.6f)[%s]', split_part(s, '-', 1)::DOUBLE, lower(s)) WHEN 3 THEN 'S[' || s || ']'
+    ELSE printf('D(%d,%d,%d)[%s]', CASE WHEN p[1] = 'xx' THEN -1 ELSE p[1]::INT END, p[2]::INT, p[3]::INT, s) END AS shown
+    FROM (SELECT *, string_split(s, '-') AS p FROM {_DATES})""")
+def value_strings(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _dates(spark, folder).withColumn("n", V.normalize(F.col("s")))
+    value = V.to_value(F.col("s"), F.lit(None).cast("string"), F.col("n"))
+    return rows.withColumn("v", value).select("o_orderkey", V.show_value(F.col("v")).alias("shown"))
+
+
+@query("SELECT rec_no, lower(context) AS context FROM sql_corpus WHERE context IS NOT NULL AND regexp_full_match(context, '[\\x00-\\x7F]*')")
+def lower_case(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _read(spark, folder, "sql_corpus").where(r"context rlike '^[\\x00-\\x7F]*$'")
+    return rows.select("rec_no", pipelines.lower_checked(F.col("context")).alias("context"))
+
+
+@query("SELECT 0::BIGINT AS source_longer, 0::BIGINT AS label_unlike_target")
+def length_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = encoding.assemble(_corpora(spark, folder), "rec_no", _SETTINGS)
+    return pipelines.length_violations(encoded, _SETTINGS.max_source).select("source_longer", "label_unlike_target")
+
+
 # Collation.
 
 _IDS = f"(SELECT rec_no, {Q.ids(Q.tokens('context'))} AS ids FROM natural_corpus WHERE context IS NOT NULL)"
