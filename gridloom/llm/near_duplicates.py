@@ -23,21 +23,21 @@ from pyspark.sql import functions as F
 from gridloom.llm.sets import SKETCH_BITS, bucket_counts, components, joined_cells, likeness, term_sets
 from gridloom.llm.stage import stage
 
-#: Records that may share a variant on average before it keeps a further term.
-BALL_SIZE = 24
+#: Records that may share a variant on average before it keeps a further term; of one term, and of more.
+BALL_SIZE, REFINED_BALL_SIZE = 24, 4
 #: Most terms of a variant.
 MAX_KEPT = 4
 _MASK64 = (1 << 64) - 1
 _MIX = 0x9E3779B97F4A7C15
 
 
-def ball(terms: np.ndarray, counts: np.ndarray, total: int, threshold: float) -> list[int]:
-    """All variants of one set; ``counts`` by bucket, ``total`` the number of sets."""
+def ball(terms: np.ndarray, counts: np.ndarray, total: int, threshold: float, noise: float = 0.0) -> list[int]:
+    """All variants of one set; ``counts`` by bucket, ``total`` the number of sets, ``noise`` what other terms add to a bucket on average."""
     n = len(terms)
     need = max(1, math.ceil(threshold * n - 1e-9))
     freq = counts[terms & ((1 << SKETCH_BITS) - 1)]
     order = np.lexsort((terms, freq))[: n - need + MAX_KEPT]
-    head, freq = terms[order].tolist(), freq[order].tolist()
+    head, freq = terms[order].tolist(), np.maximum(freq[order] - noise, 1).tolist()
     out: list[int] = []
 
     def extend(start: int, mixed: int, expected: float, kept: int) -> None:
@@ -45,7 +45,7 @@ def ball(terms: np.ndarray, counts: np.ndarray, total: int, threshold: float) ->
         for i in range(start, min(n, n - need + kept + 1)):
             h = ((mixed * _MIX) & _MASK64) ^ (head[i] & _MASK64)
             e = expected * freq[i] / total
-            if e <= BALL_SIZE or kept + 1 == MAX_KEPT:
+            if e <= (REFINED_BALL_SIZE if kept else BALL_SIZE) or kept + 1 == MAX_KEPT:
                 out.append(h)
             else:
                 if kept + 1 >= need:
@@ -57,8 +57,14 @@ def ball(terms: np.ndarray, counts: np.ndarray, total: int, threshold: float) ->
     return out
 
 
+def signature(terms: np.ndarray) -> np.uint64:
+    """64 bits of which each term sets one; two sets differ in at least as many terms as their signatures in bits."""
+    return np.bitwise_or.reduce(np.left_shift(np.uint64(1), (terms.view(np.uint64) >> np.uint64(SKETCH_BITS)) & np.uint64(63)), initial=np.uint64(0))
+
+
 def _variants(sets: DataFrame, counts: np.ndarray, total: int, threshold: float) -> DataFrame:
     shared = sets.sparkSession.sparkContext.broadcast(counts.astype(np.int32 if total < 1 << 31 else np.int64))
+    noise = float(counts.sum()) / len(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
@@ -67,14 +73,18 @@ def _variants(sets: DataFrame, counts: np.ndarray, total: int, threshold: float)
             lists = batch.column(1)
             ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
             for lo in range(0, len(ids), 1024):
-                found, sizes = [], []
+                found, sizes, signs = [], [], []
                 for k in range(lo, min(lo + 1024, len(ids))):
-                    got = ball(flat[ends[k] : ends[k + 1]], counts, total, threshold)
+                    terms = flat[ends[k] : ends[k + 1]]
+                    got = ball(terms, counts, total, threshold, noise)
                     found += got
                     sizes.append(len(got))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(found, np.uint64).view(np.int64)), pa.array(np.repeat(ids[lo : lo + 1024], sizes))], ["variant", "id"])
+                    signs.append(signature(terms))
+                n = np.diff(ends[lo : lo + len(sizes) + 1]).astype(np.int32)
+                cols = [np.array(found, np.uint64).view(np.int64), *(np.repeat(c, sizes) for c in (ids[lo : lo + 1024], n, np.array(signs, np.uint64).view(np.int64)))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["variant", "id", "n", "sign"])
 
-    return sets.select("id", "terms").mapInArrow(run, "variant bigint, id bigint")
+    return sets.select("id", "terms").mapInArrow(run, "variant bigint, id bigint, n int, sign bigint")
 
 
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
@@ -84,8 +94,10 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     """
     counts, total = bucket_counts(sets, "terms"), max(1, sets.count())
     v = _variants(sets, counts, total, threshold)
-    x, y = v.select("variant", F.col("id").alias("a")), v.select("variant", F.col("id").alias("b"))
-    pairs = x.join(y, "variant").where("a < b").select("a", "b").distinct()
+    x, y = (v.select("variant", F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sign").alias(f"s{c}")) for c in "ab")
+    # Sets of that likeness differ in no more terms than this, so most chance collisions go before anything is looked up.
+    may = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= (1 - threshold) / (1 + threshold) * (F.col("na") + F.col("nb")) + 1e-9
+    pairs = x.join(y, "variant").where(F.col("a") < F.col("b")).where(may).select("a", "b").distinct()
     left = sets.select(F.col("id").alias("a"), F.col("terms").alias("ta"))
     right = sets.select(F.col("id").alias("b"), F.col("terms").alias("tb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", likeness(F.col("ta"), F.col("tb")).alias("likeness")).where(F.col("likeness") >= threshold - 1e-12)
