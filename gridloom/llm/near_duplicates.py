@@ -27,33 +27,56 @@ from gridloom.llm.stage import stage
 BALL_SIZE, REFINED_BALL_SIZE = 24, 4
 #: Most terms of a variant.
 MAX_KEPT = 4
+#: Variants are counted in 2**HOT_BITS buckets to find hot ones; fewer than HOT_LEAST sets aren't a hot bucket.
+HOT_BITS, HOT_LEAST = 16, 1000
+SMALLER, LARGER, EQUAL = 0, 1, 2
 _MASK64 = (1 << 64) - 1
 _MIX = 0x9E3779B97F4A7C15
 
 
-def ball(terms: np.ndarray, counts: np.ndarray, total: int, threshold: float, noise: float = 0.0) -> list[int]:
-    """All variants of one set; ``counts`` by bucket, ``total`` the number of sets, ``noise`` what other terms add to a bucket on average."""
+def ball(terms: np.ndarray, counts: np.ndarray, total: int, threshold: float, noise: float = 0.0) -> tuple[list[int], list[int]]:
+    """All variants of one set, and the place of the first kept term of each in the set's order.
+
+    ``counts`` by bucket, ``total`` the number of sets, ``noise`` what other terms add to a bucket on average.
+    """
     n = len(terms)
     need = max(1, math.ceil(threshold * n - 1e-9))
     freq = counts[terms & ((1 << SKETCH_BITS) - 1)]
     order = np.lexsort((terms, freq))[: n - need + MAX_KEPT]
     head, freq = terms[order].tolist(), np.maximum(freq[order] - noise, 1).tolist()
     out: list[int] = []
+    first: list[int] = []
 
-    def extend(start: int, mixed: int, expected: float, kept: int) -> None:
+    def extend(start: int, mixed: int, expected: float, kept: int, begin: int) -> None:
         # The next kept term is among the first n - need + kept + 1, as n - need at most aren't shared.
         for i in range(start, min(n, n - need + kept + 1)):
             h = ((mixed * _MIX) & _MASK64) ^ (head[i] & _MASK64)
             e = expected * freq[i] / total
+            at = begin if kept else i
             if e <= (REFINED_BALL_SIZE if kept else BALL_SIZE) or kept + 1 == MAX_KEPT:
                 out.append(h)
+                first.append(at)
             else:
                 if kept + 1 >= need:
                     out.append(h)
+                    first.append(at)
                 # A larger partner can need more shared terms, so a short chain goes on besides.
-                extend(i + 1, h, e, kept + 1)
+                extend(i + 1, h, e, kept + 1, at)
+
+    extend(0, 1, total, 0, 0)
+    return out, first
+
 
-    extend(0, 1, total, 0)
+def split_by_size(variant: int, n: int, first: int, threshold: float) -> list[tuple[int, int]]:
+    """A hot variant of a set of n terms as (variant, role) for each size that a like set may have.
+
+    No term before place ``first`` is shared, which bounds what is, and so the partner's size. Roles: SMALLER or LARGER than the partner, EQUAL.
+    """
+    most = min(math.floor((n - first) * (1 + threshold) / threshold - n + 1e-9), math.floor(n / threshold + 1e-9))
+    out = []
+    for m in range(max(1, math.ceil(threshold * n - 1e-9)), most + 1):
+        key = (((variant * _MIX) & _MASK64) ^ ((min(n, m) << 32) | max(n, m))) * _MIX & _MASK64
+        out.append((key, EQUAL if m == n else SMALLER if n < m else LARGER))
     return out
 
 
@@ -62,42 +85,88 @@ def signature(terms: np.ndarray) -> np.uint64:
     return np.bitwise_or.reduce(np.left_shift(np.uint64(1), (terms.view(np.uint64) >> np.uint64(SKETCH_BITS)) & np.uint64(63)), initial=np.uint64(0))
 
 
-def _variants(sets: DataFrame, counts: np.ndarray, total: int, threshold: float) -> DataFrame:
-    shared = sets.sparkSession.sparkContext.broadcast(counts.astype(np.int32 if total < 1 << 31 else np.int64))
-    noise = float(counts.sum()) / len(counts)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            lists = batch.column(1)
-            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-            for lo in range(0, len(ids), 1024):
-                found, sizes, signs = [], [], []
-                for k in range(lo, min(lo + 1024, len(ids))):
-                    terms = flat[ends[k] : ends[k + 1]]
-                    got = ball(terms, counts, total, threshold, noise)
-                    found += got
-                    sizes.append(len(got))
-                    signs.append(signature(terms))
-                n = np.diff(ends[lo : lo + len(sizes) + 1]).astype(np.int32)
-                cols = [np.array(found, np.uint64).view(np.int64), *(np.repeat(c, sizes) for c in (ids[lo : lo + 1024], n, np.array(signs, np.uint64).view(np.int64)))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["variant", "id", "n", "sign"])
-
-    return sets.select("id", "terms").mapInArrow(run, "variant bigint, id bigint, n int, sign bigint")
+class _Balls:
+    """The variants of all sets of a table (id, terms)."""
+
+    def __init__(self, sets: DataFrame, threshold: float):
+        self.sets, self.threshold = sets, threshold
+        counts, self.total = bucket_counts(sets, "terms"), max(1, sets.count())
+        self.noise = float(counts.sum()) / len(counts)
+        self.counts = sets.sparkSession.sparkContext.broadcast(counts.astype(np.int32 if self.total < 1 << 31 else np.int64))
+        self.hot = np.zeros(1 << HOT_BITS, bool)
+        self.hot = self._hot()
+
+    def _hot(self) -> np.ndarray:
+        """Buckets of variants that hold a variant of a thousandth of all sets, or more; found by counts of a fixed size."""
+        shared, total, threshold, noise = self.counts, self.total, self.threshold, self.noise
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = np.zeros(1 << HOT_BITS, np.int64)
+            for batch in batches:
+                ends, flat = batch.column(0).offsets.to_numpy(), batch.column(0).values.to_numpy()
+                for lo in range(0, batch.num_rows, 1024):
+                    at = ends[lo : lo + 1025]
+                    got = [x >> (64 - HOT_BITS) for a, b in zip(at, at[1:]) for x in ball(flat[a:b], shared.value, total, threshold, noise)[0]]
+                    n += np.bincount(np.array(got, np.int64), minlength=len(n))
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["b", "n"])
+
+        got = self.sets.select("terms").mapInArrow(run, "b int, n bigint").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
+        n = np.zeros(1 << HOT_BITS, np.int64)
+        n[got.column("b").to_numpy()] = got.column("n").to_numpy()
+        return n > 2 * n.mean() + max(HOT_LEAST, self.total / 1000)
+
+    def variants(self, cross: bool) -> DataFrame:
+        """(variant, role, id, n, sign): those that meet others of their own kind, or for ``cross`` SMALLER and LARGER ones of hot buckets."""
+        shared, total, threshold, noise, hot = self.counts, self.total, self.threshold, self.noise, self.hot
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts = shared.value
+            for batch in batches:
+                ids = batch.column(0).to_numpy()
+                ends, flat = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
+                for lo in range(0, len(ids), 1024):
+                    found, roles, sizes, signs = [], [], [], []
+                    for k in range(lo, min(lo + 1024, len(ids))):
+                        terms = flat[ends[k] : ends[k + 1]]
+                        got, first = ball(terms, counts, total, threshold, noise)
+                        got = np.array(got, np.uint64)
+                        is_hot = hot[(got >> np.uint64(64 - HOT_BITS)).astype(np.int64)]
+                        split = [x for j in np.flatnonzero(is_hot) for x in split_by_size(int(got[j]), len(terms), first[j], threshold) if (x[1] != EQUAL) == cross]
+                        own = [got[:0] if cross else got[~is_hot], np.array([x[0] for x in split], np.uint64)]
+                        found += own
+                        roles += [np.full(len(own[0]), EQUAL, np.int32), np.array([x[1] for x in split], np.int32)]
+                        sizes.append(len(own[0]) + len(own[1]))
+                        signs.append(signature(terms))
+                    n = np.diff(ends[lo : lo + len(sizes) + 1]).astype(np.int32)
+                    rest = (np.repeat(c, sizes) for c in (ids[lo : lo + 1024], n, np.array(signs, np.uint64).view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.concatenate(found).view(np.int64), np.concatenate(roles), *rest)], ["variant", "role", "id", "n", "sign"])
+
+        return self.sets.select("id", "terms").mapInArrow(run, "variant bigint, role int, id bigint, n int, sign bigint")
 
 
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     """All pairs of different sets of a likeness of ``threshold`` or more: (a, b, likeness), a < b.
 
-    ``sets`` has id BIGINT (unique) and terms ARRAY<BIGINT> (no repeats, not empty) and is read several times.
+    ``sets`` has id BIGINT (unique) and terms ARRAY<BIGINT> (no repeats, not empty) and is read several times. A variant that many
+    sets share without being alike is split by the sizes that its sets and their partners can have, so sets of one size that can't be alike
+    aren't paired.
     """
-    counts, total = bucket_counts(sets, "terms"), max(1, sets.count())
-    v = _variants(sets, counts, total, threshold)
-    x, y = (v.select("variant", F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sign").alias(f"s{c}")) for c in "ab")
-    # Sets of that likeness differ in no more terms than this, so most chance collisions go before anything is looked up.
-    may = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= (1 - threshold) / (1 + threshold) * (F.col("na") + F.col("nb")) + 1e-9
-    pairs = x.join(y, "variant").where(F.col("a") < F.col("b")).where(may).select("a", "b").distinct()
+    balls = _Balls(sets, threshold)
+
+    def sides(x: DataFrame, y: DataFrame) -> DataFrame:
+        x, y = (v.select("variant", F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sign").alias(f"s{c}")) for c, v in (("a", x), ("b", y)))
+        # Sets of that likeness differ in no more terms than this, so most chance collisions go before anything is looked up.
+        may = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= (1 - threshold) / (1 + threshold) * (F.col("na") + F.col("nb")) + 1e-9
+        return x.join(y, "variant").where(may)
+
+    v = balls.variants(False).drop("role")
+    pairs = sides(v, v).where("a < b").select("a", "b")
+    if balls.hot.any():
+        v = stage(balls.variants(True))
+        met = sides(v.where(F.col("role") == SMALLER), v.where(F.col("role") == LARGER))
+        pairs = pairs.union(met.select(F.least("a", "b"), F.greatest("a", "b")))
+    pairs = pairs.distinct()
     left = sets.select(F.col("id").alias("a"), F.col("terms").alias("ta"))
     right = sets.select(F.col("id").alias("b"), F.col("terms").alias("tb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", likeness(F.col("ta"), F.col("tb")).alias("likeness")).where(F.col("likeness") >= threshold - 1e-12)

@@ -219,10 +219,29 @@ def test_balls_of_like_sets_meet():
         a = set(r.sample(range(200), r.randint(1, 16)))
         b = {x for x in a if r.random() > 0.2} | set(r.sample(range(200), r.randint(0, 3)))
         if b and likeness(a, b) >= 0.6:
-            one, two = (set(near_duplicates.ball(np.array(sorted(s), np.int64), counts, 1000, 0.6)) for s in (a, b))
+            one, two = (set(near_duplicates.ball(np.array(sorted(s), np.int64), counts, 1000, 0.6)[0]) for s in (a, b))
             assert one & two
 
 
+@pytest.mark.parametrize("least", [0, 30])
+def test_hot_variants_are_split(spark, monkeypatch, least):
+    """Half of the records share a long boilerplate without being alike; some are alike beyond it."""
+    monkeypatch.setattr(near_duplicates, "HOT_LEAST", least)
+    monkeypatch.setattr(near_duplicates, "BALL_SIZE", 0)
+    monkeypatch.setattr(near_duplicates, "REFINED_BALL_SIZE", 0)
+    r = random.Random(11)
+    boiler = [f"b{i}" for i in range(12)]
+    texts = [boiler[: r.randint(9, 12)] + [f"u{i}-{j}" for j in range(r.randint(0, 9))] for i in range(150)]
+    texts += [t[:-1] + ["z"] for t in texts[:40]] + [[r.choice("abcdefghij") for _ in range(r.randint(1, 9))] for _ in range(100)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "rec_no bigint, question string").repartition(3)
+    sets = {}
+    for i, t in enumerate(texts):
+        sets.setdefault(frozenset(plain_words(" ".join(t))), i)
+    want = {i: sum(s != t and likeness(s, t) >= 0.6 for t in sets) for s, i in sets.items()}
+    got = near_duplicates.groups({"q": (df, "question", "words")})
+    assert {x.class_id: x.n_links for x in got.collect()} == want
+
+
 def test_components(spark):
     r = random.Random(7)
     edges = [(r.randint(0, 400), r.randint(0, 400)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1040)] + [(5, 5)]
