@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.sets import SKETCH_BITS, bucket_counts, components, joined_cells, likeness, term_sets
 from gridloom.llm.stage import stage
 
-#: Records that may share a variant on average before it keeps a further term; of one term, and of more.
-BALL_SIZE, REFINED_BALL_SIZE = 24, 4
+#: Records that may share a variant on average before it keeps a further term.
+BALL_SIZE = 4
 #: Most terms of a variant.
 MAX_KEPT = 4
 #: Variants are counted in 2**HOT_BITS buckets to find hot ones; fewer than HOT_LEAST sets aren't a hot bucket.
@@ -44,6 +44,8 @@ def ball(terms: np.ndarray, counts: np.ndarray, total: int, threshold: float, no
     freq = counts[terms & ((1 << SKETCH_BITS) - 1)]
     order = np.lexsort((terms, freq))[: n - need + MAX_KEPT]
     head, freq = terms[order].tolist(), np.maximum(freq[order] - noise, 1).tolist()
+    # A single term's count may also exceed the size by what chance adds to a bucket.
+    single = BALL_SIZE + 2 * math.sqrt(noise)
     out: list[int] = []
     first: list[int] = []
 
@@ -53,7 +55,7 @@ def ball(terms: np.ndarray, counts: np.ndarray, total: int, threshold: float, no
             h = ((mixed * _MIX) & _MASK64) ^ (head[i] & _MASK64)
             e = expected * freq[i] / total
             at = begin if kept else i
-            if e <= (REFINED_BALL_SIZE if kept else BALL_SIZE) or kept + 1 == MAX_KEPT:
+            if e <= (BALL_SIZE if kept else single) or kept + 1 == MAX_KEPT:
                 out.append(h)
                 first.append(at)
             else:

@@ -228,7 +228,6 @@ def test_hot_variants_are_split(spark, monkeypatch, least):
     """Half of the records share a long boilerplate without being alike; some are alike beyond it."""
     monkeypatch.setattr(near_duplicates, "HOT_LEAST", least)
     monkeypatch.setattr(near_duplicates, "BALL_SIZE", 0)
-    monkeypatch.setattr(near_duplicates, "REFINED_BALL_SIZE", 0)
     r = random.Random(11)
     boiler = [f"b{i}" for i in range(12)]
     texts = [boiler[: r.randint(9, 12)] + [f"u{i}-{j}" for j in range(r.randint(0, 9))] for i in range(150)]
