@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.sets import SKETCH_BITS, bucket_counts, components, joined_cells, likeness, term_sets
+from gridloom.llm.sets import SKETCH_BITS, bucket_counts, components, joined_cells, likeness, may_be_like, signature, term_sets
 from gridloom.llm.stage import stage
 
 #: Records that may share a variant on average before it keeps a further term.
@@ -82,11 +82,6 @@ def split_by_size(variant: int, n: int, first: int, threshold: float) -> list[tu
     return out
 
 
-def signature(terms: np.ndarray) -> np.uint64:
-    """64 bits of which each term sets one; two sets differ in at least as many terms as their signatures in bits."""
-    return np.bitwise_or.reduce(np.left_shift(np.uint64(1), (terms.view(np.uint64) >> np.uint64(SKETCH_BITS)) & np.uint64(63)), initial=np.uint64(0))
-
-
 class _Balls:
     """The variants of all sets of a table (id, terms)."""
 
@@ -158,8 +153,8 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
 
     def sides(x: DataFrame, y: DataFrame) -> DataFrame:
         x, y = (v.select("variant", F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sign").alias(f"s{c}")) for c, v in (("a", x), ("b", y)))
-        # Sets of that likeness differ in no more terms than this, so most chance collisions go before anything is looked up.
-        may = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= (1 - threshold) / (1 + threshold) * (F.col("na") + F.col("nb")) + 1e-9
+        # Most chance collisions go before anything is looked up.
+        may = may_be_like(F.col("sa"), F.col("na"), F.col("sb"), F.col("nb"), threshold)
         return x.join(y, "variant").where(may)
 
     v = balls.variants(False).drop("role")

@@ -73,6 +73,16 @@ def likeness(a: Column, b: Column) -> Column:
     return shared / F.greatest(F.size(a) + F.size(b) - shared, F.lit(1))
 
 
+def signature(terms: np.ndarray) -> np.uint64:
+    """64 bits of which each term sets one; two sets differ in at least as many terms as their signatures in bits."""
+    return np.bitwise_or.reduce(np.left_shift(np.uint64(1), (terms.view(np.uint64) >> np.uint64(SKETCH_BITS)) & np.uint64(63)), initial=np.uint64(0))
+
+
+def may_be_like(sign_a: Column, size_a: Column, sign_b: Column, size_b: Column, threshold: float) -> Column:
+    """Whether sets of these signatures and sizes can have the likeness: then they differ in a bounded number of terms."""
+    return F.bit_count(sign_a.bitwiseXOR(sign_b)) <= (1 - threshold) / (1 + threshold) * (size_a + size_b) + 1e-9
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected groups of an edge list (a, b BIGINT): (node, component), the least node naming the group.
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.sets import SKETCH_BITS, bucket_of, joined_cells, term_sets
+from gridloom.llm.sets import SKETCH_BITS, bucket_of, joined_cells, may_be_like, signature, term_sets
 from gridloom.llm.stage import stage
 
 TRAIN, EVAL = 0, 1
@@ -60,7 +60,7 @@ def indexed_part(terms: np.ndarray, other_largest: np.ndarray, count: np.ndarray
 
 
 def _index(vectors: DataFrame, stats: _Stats, least: float) -> DataFrame:
-    """(id, side, index ARRAY<BIGINT>) of vectors (id, side, terms)."""
+    """(id, side, index ARRAY<BIGINT>, n, sign) of vectors (id, side, terms)."""
     shared = vectors.sparkSession.sparkContext.broadcast((stats.count, stats.largest))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,11 +68,13 @@ def _index(vectors: DataFrame, stats: _Stats, least: float) -> DataFrame:
         for batch in batches:
             sides = batch.column(1).to_numpy()
             ends, flat = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy()
-            parts = [indexed_part(flat[ends[k] : ends[k + 1]], largest[1 - s], count, least) for k, s in enumerate(sides)]
+            vectors = [flat[a:b] for a, b in zip(ends, ends[1:])]
+            parts = [indexed_part(v, largest[1 - s], count, least) for v, s in zip(vectors, sides)]
             index = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *parts])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), index], ["id", "side", "index"])
+            n, sign = np.diff(ends).astype(np.int32), np.array([signature(v) for v in vectors], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), index, pa.array(n), pa.array(sign)], ["id", "side", "index", "n", "sign"])
 
-    return vectors.select("id", "side", "terms").mapInArrow(run, "id bigint, side int, index array<bigint>")
+    return vectors.select("id", "side", "terms").mapInArrow(run, "id bigint, side int, index array<bigint>, n int, sign bigint")
 
 
 def _verified(pairs: DataFrame, vectors: DataFrame, likeness: float, name: str) -> DataFrame:
@@ -109,22 +111,24 @@ def overlaps(records: DataFrame, likeness: float = 0.6) -> DataFrame:
     tables = rows.select("id", "side", F.col("t_terms").alias("terms")).join(members.where("id = table_id").select("id"), "id", "left_semi")
     tables = stage(tables)
     index = _index(tables, _Stats(tables), least)
-    lists = stage(index.select("id", "side", F.explode("index").alias("term")))
-    x = lists.where(F.col("side") == TRAIN).select("term", F.col("id").alias("a"))
-    y = lists.where(F.col("side") == EVAL).select("term", F.col("id").alias("b"))
-    like_tables = stage(_verified(x.join(y, "term").select("a", "b").distinct(), tables, likeness, "table_likeness"))
+    lists = stage(index.select("id", "side", "n", "sign", F.explode("index").alias("term")))
+    x = lists.where(F.col("side") == TRAIN).select("term", F.col("id").alias("a"), F.col("n").alias("na"), F.col("sign").alias("sa"))
+    y = lists.where(F.col("side") == EVAL).select("term", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sign").alias("sb"))
+    # Pairs that share a listed term but can't be like go inside the join.
+    may = may_be_like(F.col("sa"), F.col("na"), F.col("sb"), F.col("nb"), likeness)
+    like_tables = stage(_verified(x.join(y, "term").where(may).select("a", "b").distinct(), tables, likeness, "table_likeness"))
 
     # Questions, only of records whose table has a like one in the other split.
     used = like_tables.select(F.col("a").alias("table_id"), F.lit(TRAIN).alias("side")).union(like_tables.select("b", F.lit(EVAL))).distinct()
     heads = members.where("id = class_id").join(used, ["table_id", "side"], "left_semi").select("id", "table_id")
     questions = stage(rows.select("id", "side", F.col("q_terms").alias("terms")).join(heads, "id"))
     index = stage(_index(questions, _Stats(questions), least).join(heads, "id"))
-    x = index.where(F.col("side") == TRAIN).select("table_id", F.col("id").alias("qa"), F.explode("index").alias("term"))
-    y = index.where(F.col("side") == EVAL).select("table_id", F.col("id").alias("qb"), F.explode("index").alias("term"))
+    x = index.where(F.col("side") == TRAIN).select("table_id", F.col("id").alias("qa"), F.col("n").alias("na"), F.col("sign").alias("sa"), F.explode("index").alias("term"))
+    y = index.where(F.col("side") == EVAL).select("table_id", F.col("id").alias("qb"), F.col("n").alias("nb"), F.col("sign").alias("sb"), F.explode("index").alias("term"))
     # A list for each term within a pair of like tables.
-    x = like_tables.join(x.withColumnRenamed("table_id", "a"), "a").select("a", "b", "term", "qa", "table_likeness")
-    y = like_tables.select("a", "b").join(y.withColumnRenamed("table_id", "b"), "b").select("a", "b", "term", "qb")
-    pairs = x.join(y, ["a", "b", "term"]).select(F.col("qa").alias("a"), F.col("qb").alias("b"), "table_likeness").distinct()
+    x = like_tables.join(x.withColumnRenamed("table_id", "a"), "a").select("a", "b", "term", "qa", "na", "sa", "table_likeness")
+    y = like_tables.select("a", "b").join(y.withColumnRenamed("table_id", "b"), "b").select("a", "b", "term", "qb", "nb", "sb")
+    pairs = x.join(y, ["a", "b", "term"]).where(may).select(F.col("qa").alias("a"), F.col("qb").alias("b"), "table_likeness").distinct()
     found = stage(_verified(pairs, questions, likeness, "question_likeness"))
     train = members.where(F.col("side") == TRAIN).select(F.col("class_id").alias("a"), F.col("id").alias("train_rec"))
     held = members.where(F.col("side") == EVAL).select(F.col("class_id").alias("b"), F.col("id").alias("eval_rec"))
