@@ -395,7 +395,6 @@ def normalize_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _FLOAT = r"^[+-]?([0-9]+(_[0-9]+)*\.?|([0-9]+(_[0-9]+)*)?\.[0-9]+(_[0-9]+)*)([eE][+-]?[0-9]+(_[0-9]+)*)?$"
-_ASCII = "regexp_full_match(cell, '[\\x00-\\x7F]*')"
 
 
 def _strip(s: str) -> str:
@@ -410,14 +409,11 @@ def _number(s: str) -> str:
 _SQL_CELLS = """(SELECT DISTINCT unnest(flatten("table".rows)) AS cell FROM sql_corpus)"""
 
 
-@query(f"SELECT cell, {_number('cell')} AS num FROM {_SQL_CELLS} WHERE cell IS NOT NULL AND {_ASCII}")
+@query(f"SELECT cell, {_number('cell')} AS num FROM {_SQL_CELLS} WHERE cell IS NOT NULL")
 def parse_number(spark: SparkSession, folder: str) -> DataFrame:
-    return _ascii_cells(spark, folder).select("cell", V.parse_number(F.col("cell")).alias("num"))
-
-
-def _ascii_cells(spark: SparkSession, folder: str) -> DataFrame:
     flat = F.flatten(F.filter(F.col("table.rows"), lambda r: r.isNotNull()))
-    return _read(spark, folder, "sql_corpus").select(F.explode(flat).alias("cell")).where(r"cell is not null and cell rlike '^[\\x00-\\x7F]*$'").distinct()
+    cells = _read(spark, folder, "sql_corpus").select(F.explode(flat).alias("cell")).where("cell is not null").distinct()
+    return cells.select("cell", V.parse_number(F.col("cell")).alias("num"))
 
 
 _DATES = """(SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, 'xx-%m-%d')
@@ -544,9 +540,9 @@ def value_strings(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("v", value).select("o_orderkey", V.show_value(F.col("v")).alias("shown"))
 
 
-@query("SELECT rec_no, lower(context) AS context FROM sql_corpus WHERE context IS NOT NULL AND regexp_full_match(context, '[\\x00-\\x7F]*')")
+@query("SELECT rec_no, lower(context) AS context FROM sql_corpus WHERE context IS NOT NULL")
 def lower_case(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _read(spark, folder, "sql_corpus").where(r"context rlike '^[\\x00-\\x7F]*$'")
+    rows = _read(spark, folder, "sql_corpus").where(F.col("context").isNotNull())
     return rows.select("rec_no", pipelines.lower_checked(F.col("context")).alias("context"))
 
 
