@@ -62,40 +62,49 @@ class _Flat:
         return max(low + 1, min(target, high)), _ANY
 
 
+#: Piece counts tried beyond the least: to cut between rows only, and to keep the limit at all.
+MORE_FOR_ROWS, MORE_FOR_LIMIT = 2, 8
+
+
 def cut_points(flat: _Flat, room: int) -> list[tuple[int, str]]:
-    """Where pieces after the first begin, so that each has at most ``room`` code points."""
-    size = flat.size
-    count = max(1, -(-size // room))
-    while True:
-        step = size / count
-        cuts: list[tuple[int, str]] = []
-        low, fits = 0, True
-        for k in range(1, count):
-            # What is left must fit into the pieces left.
-            least = size - (count - k) * room
-            target = max(round(k * step), least, low + 1)
-            high = min(low + room, size - 1)
-            if least > high:
-                fits = False
-                break
-            place, kind = flat.snap(min(target, high), max(low, least - 1), high, max(1, int(step / 2)))
-            if place <= low or place >= size:
-                fits = False
-                break
-            cuts.append((place, kind))
-            low = place
-        if fits and size - low <= room and _strong_enough(cuts, count, size, room):
-            return cuts
-        count += 1
-        if count > 4 * -(-size // room) + 8:
-            # No boundaries serve; equal lengths always fit.
-            count = -(-size // room)
-            return [(k * size // count, _ANY) for k in range(1, count)]
-
-
-def _strong_enough(cuts: list[tuple[int, str]], count: int, size: int, room: int) -> bool:
-    """Whether to accept weaker cuts than rows: only where adding a few pieces can't help."""
-    return all(kind == _ROW for _, kind in cuts) or count >= -(-size // room) + 2
+    """Where pieces after the first begin, so that each has at most ``room`` code points.
+
+    The least number of pieces is taken with which all cuts are between rows, or else, of the first few numbers tried, that with
+    the fewest other cuts. Where no number keeps the limit at boundaries, pieces of equal length do.
+    """
+    least = max(1, -(-flat.size // room))
+    best: tuple[int, list[tuple[int, str]]] | None = None
+    for more in range(MORE_FOR_LIMIT + 1):
+        cuts = _balanced(flat, room, least + more)
+        if cuts is not None:
+            weak = sum(kind != _ROW for _, kind in cuts)
+            if not weak:
+                return cuts
+            if best is None or weak < best[0]:
+                best = (weak, cuts)
+        if best is not None and more >= MORE_FOR_ROWS:
+            return best[1]
+    return [(k * flat.size // least, _ANY) for k in range(1, least)]
+
+
+def _balanced(flat: _Flat, room: int, count: int) -> list[tuple[int, str]] | None:
+    """Cuts near ``count`` equal parts, or None if a part exceeds ``room``."""
+    size, step = flat.size, flat.size / count
+    cuts: list[tuple[int, str]] = []
+    low = 0
+    for k in range(1, count):
+        # What is left must fit into the pieces left.
+        least = size - (count - k) * room
+        high = min(low + room, size - 1)
+        if least > high:
+            return None
+        target = min(max(round(k * step), least, low + 1), high)
+        place, kind = flat.snap(target, max(low, least - 1), high, max(1, int(step / 2)))
+        if place <= low or place >= size:
+            return None
+        cuts.append((place, kind))
+        low = place
+    return cuts if size - low <= room else None
 
 
 def pieces(header: list[str] | None, rows: list[list[str] | None] | None, max_chars: int, overlap: int) -> list[dict]:
