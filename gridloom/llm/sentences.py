@@ -1,20 +1,30 @@
 """Problem 8: sentence boundaries across languages, by a linear-chain model over characters.
 
-Every character is tagged as inside a sentence or as its boundary. Characters that can't end one (inside a
-quotation or bracket, a point inside a number, file name or address, a block without marks) are fixed as
-inside and the end of a block as boundary; for the others a linear-chain model scores the tags by what stands around
-the mark and by the tag before, and Viterbi decoding takes the best sequence. The weights are learned by an averaged
-structured perceptron from a bounded sample of documents, labelled by general knowledge of the writing
-systems (``teach``: abbreviations, titles, ordinals, case, reporting clauses). In Thai, which has no end mark, the candidates are
-spaces, and the sample is stripped of punctuation before learning.
+Every character of a text is tagged: boundary (the last character of a sentence) or inside. The model scores a tag by
+the window around the character and by the tag before it, and Viterbi decoding takes the best sequence. Two kinds of
+things are fixed by definition instead of scored: a blank line and the end of the text are boundaries, and a quotation or
+bracket is never cut inside. Nothing else is a rule: there are no lists of abbreviations, titles or months.
+
+Features. Each character has the classes of its window: its own, the one before, the white space after and the next
+character. Where the window could be a boundary at all (learned), n-grams are added: the mark with its closing
+signs, the token before, the token before that, the token after, their shapes and the block's first token.
+
+Supervision comes from the edges of blocks, which are sentence boundaries without doubt (``Evidence``). A place is learned as a
+boundary if what stands before it is also met at the ends of blocks and what stands after it is also met at their
+starts, and as inside if either never is, over enough occurrences. That tells "Prof." or "am 3." (never at an end) from "etc."
+(at times at an end), and a reporting clause (never at a start) from a sentence. Neighbouring blocks joined by a space, or by nothing after
+wide marks, add places that are known to be boundaries. Scripts without end marks are learned from copies stripped of punctuation.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+import unicodedata
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,221 +32,388 @@ from pyspark.sql import functions as F
 #: Documents that the weights are learned from; the sample is the least by hash of the id.
 TRAINING_DOCS = 2000
 ROUNDS = 5
-
-# Abbreviations that stand before what they belong to.
-LEADING = set(
-    "mr mrs ms dr prof gen st ft mt no nos vol pp p fig eq approx cf i.e e.g vs jan feb mar apr jun jul aug sep sept oct nov dec rev hon sgt capt lt "
-    "nr s ca bzw vgl abs art hr fr "
-    "m mm mme mlle env ex "
-    "sr sra srta dra d núm pág págs av aprox ee ud "
-    "проф ул рис стр табл см акад им т е "
-    "डॉ श्री प्रो "
-    "د أ م ص".split()
-)
-# Abbreviations that can end a sentence as well.
-TRAILING = set("etc p.m a.m ltd co jr inc corp u.s u.k usa usw uu u.a ff др пр г гг н.э".split())
-# German words before an ordinal.
-BEFORE_ORDINAL = set("am im vom zum beim den dem der das die des seit bis ab".split())
-
+#: Occurrences that a context needs as evidence; contexts with fewer are judged by their shape.
+ENOUGH = 12
+#: Least share of block edges among the occurrences of a context that can be a sentence's edge.
+EDGE_SHARE = 0.02
+
+# Signs that end sentences, and signs that open and close quotations and brackets.
+_POINT, _DOTS, _LATIN_MARKS, _WIDE = ".", "…", "?!؟", "。！？｡।॥"
+_MARKS = _POINT + _DOTS + _LATIN_MARKS + _WIDE
 _OPEN = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "【": "】", "「": "」", "『": "』", "《": "》", "〈": "〉", "«": "»", "„": "“”", "“": "”", "‘": "’", "‚": "‘’"}
 _CLOSERS = "".join(_OPEN.values()) + "\"'"
-_MARKS = ".?!…。！？｡।॥؟"
-_WIDE = "。！？｡।॥؟"
-_THAI = "ก-ฺเ-๎"
+_OPENERS = "".join(_OPEN) + "\"'"
+_SIGNS = re.compile("[" + re.escape("".join(_OPEN) + _CLOSERS) + "]")
 _BLANK_LINE = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
-_EVENT = re.compile(rf"[{_MARKS}]+|[\"'()\[\]{{}}（）［］【】「」『』《》〈〉«»„“”‘’‚]|(?<=[{_THAI}])[  ](?=[{_THAI}])")
-_FLAT_TABLE = re.compile(r"\s*col : .* row 1 : |(?:[^|]* \| ){3}", re.S)
-_QUERY = re.compile(r"\s*select\s.+\sfrom\s", re.S)
-_LIST_MARK = re.compile(r"(?:[-•*]|\(\d{1,3}\)|\d{1,3}[.)])[^\S\n]")
-_LAST_TOKEN = re.compile(r"[^\s\"“”„«»‘(\[（「『]*$")
-#: A sentence that follows without a space.
-_JOINED = re.compile(r"(?<=\w\w)[.?!…]+(?=[^\W\d_])(?![a-z])|[.?!…][\"”»)’']+")
-_THE = re.compile(r"(?<![a-zA-Z])The$")
-_WORD_BEFORE = re.compile(r"(\S+)\s+$")
+_DIGITS = re.compile(r"\d+")
+_INVISIBLE = re.compile("[​-‏⁠﻿­]")
+_IN_TOKEN = re.compile(f"[{_MARKS}]+(?=.)")
+
+_CLASSES = "edge space lower upper han kana thai letter digit mark_on_letter point dots latin_mark wide comma colon opener closer quote dash bullet bar other".split()
+_K = len(_CLASSES)
+_C = {name: k for k, name in enumerate(_CLASSES)}
+_LISTS = np.isin(_CLASSES, ["dash", "bullet", "digit", "opener", "edge"])
+_NONE, _ONE, _SPACES, _LINE = range(4)
+_GAPS = 4
+
+
+@lru_cache(maxsize=1)
+def _class_table() -> np.ndarray:
+    """The class of every code point, by Unicode category and block."""
+
+    def of(ch: str) -> str:
+        if ch in _POINT:
+            return "point"
+        if ch in _DOTS:
+            return "dots"
+        if ch in _LATIN_MARKS:
+            return "latin_mark"
+        if ch in _WIDE:
+            return "wide"
+        if ch in "\"'":
+            return "quote"
+        if ch in _CLOSERS:
+            return "closer"
+        if ch in _OPEN or ch in "¿¡":
+            return "opener"
+        if ch in ",،，、;；":
+            return "comma"
+        if ch in ":：":
+            return "colon"
+        if ch == "|":
+            return "bar"
+        if ch in "•*·":
+            return "bullet"
+        if ch.isspace():
+            return "space"
+        o, category = ord(ch), unicodedata.category(ch)
+        if 0x0E00 <= o <= 0x0E7F and category[0] in "LM":
+            return "thai"
+        if category[0] == "M":
+            return "mark_on_letter"
+        if category[0] == "N":
+            return "digit"
+        if category == "Pd":
+            return "dash"
+        if category in ("Lu", "Lt"):
+            return "upper"
+        if category == "Ll":
+            return "lower"
+        if category[0] == "L":
+            return "kana" if 0x3040 <= o <= 0x30FF or 0xFF66 <= o <= 0xFF9F else "han" if 0x2E80 <= o <= 0x9FFF or 0xF900 <= o <= 0xFAFF or o >= 0x20000 else "letter"
+        return "other"
+
+    table = np.full(0x110000, _C["other"], np.uint8)
+    for o in range(0x20000):
+        if not 0xD800 <= o < 0xE000:
+            table[o] = _C[of(chr(o))]
+    table[0x20000:0x32000] = _C["han"]
+    return table
+
+
+def windows(text: str) -> np.ndarray:
+    """The window of every character as one number: class before, own class, white space after, class of what follows; white space characters get -1."""
+    n = len(text)
+    cls = _class_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
+    at = np.arange(n)
+    solid = cls != _C["space"]
+    after = np.minimum.accumulate(np.where(solid, at, n)[::-1])[::-1]
+    nxt = np.append(after[1:], n)
+    before = np.maximum.accumulate(np.where(solid, at, -1))
+    prev = np.append(-1, before[:-1])
+    padded = np.append(cls, _C["edge"])
+    lines = np.append(0, np.cumsum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 10))
+    width = nxt - at - 1
+    gap = np.where(width == 0, _NONE, np.where(lines[nxt] > lines[at + 1], _LINE, np.where(width == 1, _ONE, _SPACES)))
+    # A line break tells something only before what can begin a list item, and in scripts whose spaces do.
+    gap[(gap == _LINE) & ~_LISTS[padded[nxt]] & (cls != _C["thai"])] = _ONE
+    code = ((padded[prev] * _K + cls) * _GAPS + gap) * _K + padded[nxt]
+    return np.where(solid, code, -1)
+
+
+def _backed_off(code: int) -> tuple[int, int]:
+    """The window without the class before, and the own class alone."""
+    return code % (_K * _GAPS * _K), code // (_GAPS * _K) % _K
 
 
 class Block:
-    """A text between blank lines: its candidates and what stands around them."""
-
-    __slots__ = ("text", "start", "ends", "features", "kinds")
-
-    def __init__(self, text: str, start: int):
-        self.text, self.start = text, start
-        self.ends: list[int] = []  # place after the candidate's last character
-        self.features: list[tuple] = []
-        if _FLAT_TABLE.match(text) or _QUERY.match(text):
-            return
-        events = [(m.start(), m.end()) for m in _EVENT.finditer(text)]
-        if events:
-            self._candidates(events, self._spans(events))
-
-    def _spans(self, events: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        """Outermost quotations and brackets as (first, last) places; unmatched signs count as none."""
-        text, n = self.text, len(self.text)
-        stack: list[tuple[str, int]] = []
-        spans: list[tuple[int, int]] = []
-        for a, b in events:
-            ch = text[a]
-            if b - a > 1 or ch in _MARKS or ch in "  ":
-                continue
-            if ch == "'" and 0 < a < n - 1 and text[a - 1].isalnum() and text[a + 1].isalnum():
-                continue
-            at = next((k for k in range(len(stack) - 1, -1, -1) if ch in stack[k][0]), None)
-            if at is not None and (ch not in "\"'" or a == n - 1 or not text[a + 1].isalnum() or not text[a - 1].isspace()):
-                spans.append((stack[at][1], a))
-                del stack[at:]
-            elif ch in "\"'":
-                if (a == 0 or not text[a - 1].isalnum() or ch == '"') and a < n - 1 and not text[a + 1].isspace():
-                    stack.append((ch, a))
-            elif ch in _OPEN:
-                stack.append((_OPEN[ch], a))
-        spans.sort()
-        outer: list[tuple[int, int]] = []
-        for s in spans:
-            if not outer or s[0] > outer[-1][1]:
-                outer.append(s)
-        return outer
-
-    def _candidates(self, events: list[tuple[int, int]], spans: list[tuple[int, int]]) -> None:
-        text = self.text
-        k = 0
-        for a, b in events:
-            while k < len(spans) and spans[k][1] < a:
+    """A text between blank lines (without invisible characters), with its windows and outermost quotations and brackets."""
+
+    def __init__(self, text: str, codes: np.ndarray | None = None):
+        self.text = text
+        self.codes = windows(text) if codes is None else codes
+        self.first = text.split(None, 1)[0][:12].lower()
+        self._closing: dict[int, int] | None = None
+        self._spans: list[tuple[int, int]] = []
+
+    @property
+    def spans(self) -> list[tuple[int, int]]:
+        if self._closing is None:
+            self._spans = _outermost(self.text)
+            self._closing = {b: a for a, b in self._spans}
+        return self._spans
+
+    def opening(self, at: int) -> int | None:
+        """Where the outermost quotation or bracket opens that closes at this place."""
+        return self.spans and self._closing.get(at)
+
+    def inside(self, places: list[int]) -> list[bool]:
+        """Whether each of the ascending places stands inside a quotation or bracket, or on its opening sign."""
+        out, k, spans = [], 0, self.spans
+        for p in places:
+            while k < len(spans) and spans[k][1] <= p:
                 k += 1
-            inside = k < len(spans) and spans[k][0] <= a <= spans[k][1]
-            ch = text[a]
-            if ch in "  ":
-                if not inside:
-                    self._add(a, a, "thai", spans[k - 1] if k else None)
-            elif ch in _MARKS:
-                if not inside:
-                    self._add(a, b, "wide" if text[b - 1] in _WIDE else "dots" if text[a:b].strip(".…") == "" and (b - a > 1 or ch == "…") else "point" if ch == "." else "mark", None)
-            elif inside and a == spans[k][1]:
-                inner = text[spans[k][0] + 1 : a].rstrip()
-                if inner and inner[-1] in _MARKS:
-                    self._add(a, a + 1, "close", spans[k])
-
-    def _add(self, a: int, b: int, kind: str, span: tuple[int, int] | None) -> None:
-        text = self.text
-        rest = text[b : b + 80].replace("​", "")
-        follow = rest.lstrip()
-        if not follow:
-            return  # the end of the block
-        gap = rest[: len(rest) - len(follow)]
-        nxt = follow[0]
-        opened = nxt in "\"'([«„“‘（「『《"
-        first = follow.lstrip("\"'([«„“‘（「『《¿¡ ")[:1] if opened else nxt
-        kind_next = (
-            "list" if "\n" in gap and _LIST_MARK.match(follow)
-            else "spanish" if nxt in "¿¡"
-            else "upper" if first.isupper()
-            else "lower" if first.islower()
-            else "digit" if first.isdigit()
-            else "to" if first == "と"
-            else "letter" if first.isalpha()
-            else "closer" if nxt in _CLOSERS and not opened
-            else "other"
-        )
-        token = _JOINED.split(_LAST_TOKEN.search(text[max(0, a - 30) : a]).group())[-1] if kind == "point" else ""
-        word = token.lower()
-        shape = ""
-        if kind == "point":
-            line = text.rfind("\n", 0, a - len(token)) + 1
-            if not text[line : a - len(token)].strip() and token.isdigit() and len(token) <= 3 and gap and "\n" not in gap and (not text[:line].strip() or text[:line].rstrip()[-1] in _MARKS + _CLOSERS):
-                shape = "list"
-            elif not token:
-                shape = "bare"
-            elif len(token) == 1 and token.isupper():
-                shape = "initial"
-            elif word in TRAILING:
-                before = _WORD_BEFORE.search(text[max(0, a - len(token) - 20) : a - len(token)])
-                shape = "attribute" if word in ("u.s", "u.k") and before and _THE.search(before.group(1)) else "trailing"
-            elif word in LEADING:
-                shape = "leading"
-            elif len(token) == 1 and token.isalpha():
-                shape = "initial"
-            elif token.isdigit():
-                before = _WORD_BEFORE.search(text[max(0, a - len(token) - 12) : a - len(token)])
-                shape = "ordinal" if len(token) <= 3 and before and before.group(1).lower().strip("\"„(") in BEFORE_ORDINAL else "number"
-            elif re.fullmatch(r"(?:\w\.)+\w", token):
-                shape = "trailing"
-            else:
-                shape = "word" if token[-1].isalnum() else "sign"
-        place = _place(text, span[0]) if kind == "close" else ""
-        if kind_next == "letter" and place == "amid":
-            kind_next = "to"  # the clause around the quotation goes on
-        gap_kind = "none" if not gap else "line" if "\n" in gap else "space"
-        self.ends.append(b)
-        self.features.append((kind, shape, kind_next, gap_kind, word if shape in ("leading", "trailing") else "", "quote" if opened else "", place))
+            out.append(k < len(spans) and spans[k][0] <= p)
+        return out
+
+
+def _outermost(text: str) -> list[tuple[int, int]]:
+    """Outermost quotations and brackets as (first, last) places; unmatched signs count as none."""
+    n = len(text)
+    stack: list[tuple[str, int]] = []
+    waiting: Counter = Counter()  # closing sign -> how many on the stack wait for it
+    spans: list[tuple[int, int]] = []
+    for m in _SIGNS.finditer(text):
+        ch, a = m.group(), m.start()
+        if ch == "'" and 0 < a < n - 1 and text[a - 1].isalnum() and text[a + 1].isalnum():
+            continue
+        if waiting[ch] and (ch not in "\"'" or a == n - 1 or not text[a + 1].isalnum() or not text[a - 1].isspace()):
+            while True:
+                closing, begin = stack.pop()
+                waiting.subtract(closing)
+                if ch in closing:
+                    break
+            spans.append((begin, a))
+        elif ch in "\"'":
+            if (a == 0 or not text[a - 1].isalnum() or ch == '"') and a < n - 1 and not text[a + 1].isspace():
+                stack.append((ch, a))
+                waiting.update(ch)
+        elif ch in _OPEN:
+            stack.append((_OPEN[ch], a))
+            waiting.update(_OPEN[ch])
+    spans.sort()
+    outer: list[tuple[int, int]] = []
+    for s in spans:
+        if not outer or s[0] > outer[-1][1]:
+            outer.append(s)
+    return outer
+
+
+def _shape(token: str) -> str:
+    """Kinds of characters of a token, runs shortened: 'Xx', 'X', '0', 'x.x', with its length up to 5."""
+    out = ""
+    for ch in token[-8:]:
+        c = "X" if ch.isupper() else "x" if ch.islower() else "0" if ch.isdigit() else "w" if ch.isalpha() else "~" if unicodedata.category(ch)[0] == "M" else ch
+        if c != "~" and out[-1:] != c:
+            out += c
+    return f"{out}{min(len(token), 5)}"
+
+
+def _plain(token: str, lower: bool = True) -> str:
+    """In lower case, numbers by their length up to 3."""
+    return _DIGITS.sub(lambda m: "0" * min(len(m.group()), 3), token.lower() if lower else token)
+
+
+def context(block: Block, at: int) -> tuple:
+    """What stands around a character, as strings: (mark, token before, one more before, token after, ...)."""
+    text = block.text
+    j = at
+    while j >= 0 and (text[j] in _CLOSERS or text[j].isspace()):
+        j -= 1
+    closed = text[j + 1 : at + 1].replace(" ", "").replace("\xa0", "")
+    e = j + 1
+    while j >= 0 and text[j] in _MARKS:
+        j -= 1
+    mark = text[j + 1 : e][-3:]
+    begin = j + 1
+    while begin > 0 and not text[begin - 1].isspace() and text[begin - 1] not in _OPENERS:
+        begin -= 1
+    token = text[begin : j + 1]
+    inner = _IN_TOKEN.split(token)[-1]
+    p = begin
+    while p > 0 and (text[p - 1].isspace() or text[p - 1] in _OPENERS):
+        p -= 1
+    # A token that begins a line after a finished one may be a list mark.
+    line = p == 0 or "\n" in text[p:begin] and text[p - 1] in _MARKS + _CLOSERS
+    q = p
+    while q > 0 and not text[q - 1].isspace() and text[q - 1] not in _OPENERS and p - q < 24:
+        q -= 1
+    k, n = at + 1, len(text)
+    while k < n and text[k].isspace():
+        k += 1
+    gap = text[at + 1 : k]
+    opened = ""
+    while k < n and (text[k] in _OPENERS or text[k] in "¿¡") or opened and k < n and text[k].isspace():
+        opened += text[k]
+        k += 1
+    r = k
+    while r < n and not text[r].isspace() and text[r] not in _CLOSERS and r - k < 24:
+        r += 1
+    after = text[k:r]
+    opening = block.opening(at) if closed else None
+    place = "" if opening is None else _place(text, opening)
+    return (
+        mark,
+        closed[-1:],
+        _plain(token[-16:]),
+        _plain(inner[-16:]),
+        "^" if line else _plain(_IN_TOKEN.split(text[max(q, p - 16) : p])[-1], False),
+        _shape(token),
+        int(block.codes[at]) // _K % _GAPS,
+        bool(opened.strip("¿¡ ")),
+        _DIGITS.sub("0", after[:16].lower()),
+        _DIGITS.sub("0", after[:2].lower()),
+        _start(opened, after),
+        place,
+    )
+
+
+def _start(opened: str, after: str) -> str:
+    if "¿" in opened or "¡" in opened:
+        return "inverted"
+    return _CLASSES[_class_table()[ord(after[0])]] if after else "sign" if opened else "edge"
 
 
 def _place(text: str, opening: int) -> str:
-    """Where a quotation stands in its sentence: after an introduction, at the start, or amid it."""
-    before = text[max(0, opening - 20) : opening].rstrip()
-    return "start" if not before or before[-1] in _MARKS + _CLOSERS else "introduced" if before[-1] in ":：,，،、" else "amid"
-
-
-def teach(f: tuple) -> bool:
-    """The label of a candidate by general rules, for training."""
-    kind, shape, nxt, gap, _, _, _ = f
-    if kind == "thai":
-        return True
-    if nxt == "list":
-        return True
-    if kind == "wide":
-        return nxt not in ("closer", "to")
-    if nxt in ("lower", "other", "closer", "to"):
-        return False
-    if kind == "close":
-        return nxt != "digit" or gap != "none"
-    if kind == "dots":
-        return gap != "none" and nxt in ("upper", "digit", "spanish", "letter")
-    if kind == "mark":
-        return nxt != "digit" or gap != "none"
-    if gap == "none" and (nxt == "digit" or shape in ("initial", "bare", "leading", "list")):
-        return False
-    if shape in ("list", "leading", "initial", "ordinal", "attribute"):
-        return False
-    return shape != "bare"
-
-
-def blocks(text: str, strip_marks: bool = False) -> Iterator[Block]:
-    """The parts of a text between blank lines that aren't blank."""
-    at = 0
-    for m in [*_BLANK_LINE.finditer(text), None]:
-        end = m.start() if m else len(text)
-        part = text[at:end]
-        if part.strip():
-            yield Block(re.sub(rf"[{_MARKS}]", "", part) if strip_marks else part, at)
-        at = m.end() if m else end
-
+    """What stands before a quotation: nothing or a finished sentence, an introducing sign, or a part of a sentence."""
+    k = opening
+    while k > 0 and text[k - 1].isspace():
+        k -= 1
+    return "start" if k == 0 or text[k - 1] in _MARKS + _CLOSERS else "introduced" if text[k - 1] in ":：,，،、" else "amid"
+
+
+_MARK, _CLOSED, _TOKEN, _INNER, _BEFORE, _SHAPE, _GAP, _OPENED, _AFTER, _TWO, _START, _PLACE = range(12)
+
+
+def _left_keys(c: tuple) -> list[tuple]:
+    """What stands before, from the most specific context to the most general."""
+    m = c[_MARK][:1] + "." * (len(c[_MARK]) > 1)
+    return [("bt", m, c[_BEFORE], c[_TOKEN]), ("t", m, c[_TOKEN]), ("i", m, c[_INNER]), ("b", m, c[_BEFORE]), ("bs", m, c[_BEFORE] == "^", c[_SHAPE]), ("m", m, c[_CLOSED] != "")]
+
+
+def _right_keys(c: tuple) -> list[tuple]:
+    # First letters tell words apart only in scripts without spaces or case.
+    two = [] if c[_START] in ("upper", "lower", "digit") else [("2", c[_TWO], c[_START])]
+    return [("a", c[_AFTER]), *two, ("s", c[_START])]
+
+
+def candidates(block: Block) -> list[int]:
+    """Places that could be learned as boundaries: after marks and the signs that close them, and letters of scripts without marks before a single space."""
+    text, codes = block.text, block.codes
+    own, nxt, gap = codes // (_GAPS * _K) % _K, codes % _K, codes // _K % _GAPS
+    ends = (own == _C["point"]) | (own == _C["dots"]) | (own == _C["latin_mark"]) | (own == _C["wide"]) | (own == _C["closer"]) | (own == _C["quote"])
+    tight = (gap == _NONE) & ((nxt == _C["point"]) | (nxt == _C["dots"]) | (nxt == _C["latin_mark"]) | (nxt == _C["wide"]) | (nxt == _C["closer"]) | (nxt == _C["quote"]))
+    bare = (own == _C["thai"]) & (gap == _ONE) & (nxt == _C["thai"])
+    places = np.flatnonzero((codes >= 0) & (nxt != _C["edge"]) & (ends & ~tight | bare)).tolist()
+    out = []
+    for p, within in zip(places, block.inside(places)):
+        if within:
+            continue
+        if text[p] in _CLOSERS:
+            opening = block.opening(p)
+            inner = text[opening + 1 : p].rstrip()[-1:] if opening is not None else ""
+            if not inner or inner not in _MARKS:
+                continue
+        out.append(p)
+    return out
 
-def _active(f: tuple) -> list[tuple]:
-    """Features of a candidate: all it has together, and parts of it for combinations not met in training."""
-    kind, shape, nxt, gap, word, quote, last = f
-    return [("all", f), ("core", kind, shape, nxt, gap != "none"), ("word", word, nxt), ("mark", kind, nxt), ("shape", kind, shape), ("quote", quote, last, nxt)]
 
+class Evidence:
+    """How often a context stands at the edge of a block and how often within one."""
+
+    def __init__(self, blocks: list[Block]):
+        self.edge: Counter = Counter()
+        self.within: Counter = Counter()
+        for b in blocks:
+            n = len(b.text.rstrip())
+            if b.text[n - 1] not in _MARKS and not (b.text[n - 1] in _CLOSERS and b.text[: n - 1].rstrip()[-1:] in tuple(_MARKS)):
+                continue  # a heading, table or query, or cut off
+            self.edge.update(_left_keys(context(b, n - 1)))
+            self.edge.update(_right_keys(context(Block(" " + b.text), 0)))
+            for p in candidates(b):
+                c = context(b, p)
+                self.within.update(_left_keys(c))
+                self.within.update(_right_keys(c))
+
+    def can_be_edge(self, keys: list[tuple]) -> bool:
+        for key in keys:
+            edge, within = self.edge[key], self.within[key]
+            if edge + within >= ENOUGH or key is keys[-1]:
+                return edge >= EDGE_SHARE * (edge + within) and edge > 0
+        return False
 
-def viterbi(features: list[tuple], weights: dict, cache: dict | None = None) -> list[int]:
-    """The best tags, 1 for boundary, of the candidates of a block."""
-    if not features:
-        return []
-    scores = []
-    for f in features:
-        s = cache.get(f) if cache is not None else None
-        if s is None:
-            s = sum(weights.get(x, 0.0) for x in _active(f))
-            if cache is not None:
-                cache[f] = s
-        scores.append(s)
-    step = [[weights.get(("step", i, j), 0.0) for j in (0, 1)] for i in (0, 1)]
-    best, back = [0.0, scores[0]], []
-    for s in scores[1:]:
-        to0 = (best[0] + step[0][0], 0), (best[1] + step[1][0], 1)
-        to1 = (best[0] + step[0][1] + s, 0), (best[1] + step[1][1] + s, 1)
-        a, b = max(to0), max(to1)
-        back.append((a[1], b[1]))
-        best = [a[0], b[0]]
+    def label(self, block: Block, at: int) -> bool:
+        """The label of a candidate for training."""
+        c = context(block, at)
+        if not c[_MARK]:
+            return True  # the space of a script without marks
+        if block.text.count(" | ") > 2:
+            return False  # a flattened table is one unit
+        if c[_GAP] == _NONE and c[_START] in ("lower", "digit") and not c[_CLOSED] and c[_MARK][-1] not in _WIDE:
+            return False  # inside a number, file name or address
+        return self.can_be_edge(_left_keys(c)) and self.can_be_edge(_right_keys(c))
+
+
+def _features(block: Block, at: int) -> tuple[tuple, list[tuple]]:
+    """n-grams around a character: (signs and shapes together, which are few, and words)."""
+    mark, closed, token, inner, before, shape, gap, opened, after, two, start, place = context(block, at)
+    signs = (mark, closed, gap, start, shape, before == "^", place, opened, "|" in block.text, min(len(after), 5))
+    words = [("t", mark, token), ("i", mark, inner), ("ti", inner, start), ("bt", before, token), ("b", mark, before), ("bs", before, shape), ("a", after, gap == _NONE), ("a2", two, start), ("ca", closed != "", after), ("c2", mark, two), ("f", block.first, mark)]
+    return signs, words
+
+
+def _sign_features(signs: tuple) -> list[tuple]:
+    mark, closed, gap, start, shape, line, place, opened, bar, length = signs
+    return [("core", mark, closed, gap, start), ("shape", mark, shape, start, gap == _NONE), ("line", line, shape, gap), ("place", place, closed, start), ("open", opened, start, mark), ("bar", bar, mark), ("list", gap == _LINE, start, length)]
+
+
+class Model:
+    """Weights of windows and n-grams, of tags in a row, and which windows n-grams are looked at for."""
+
+    def __init__(self, window: np.ndarray, open_: np.ndarray, weights: dict, step: list[list[float]]):
+        self.window, self.open, self.weights, self.step = window, open_, weights, step
+        self.signs: dict[tuple, float] = {}  # known sums
+
+    def places(self, block: Block) -> list[int]:
+        """Where the tag isn't settled by the window alone."""
+        codes = block.codes
+        found = np.flatnonzero(self.open[codes] & (codes >= 0)).tolist()
+        last = len(block.text.rstrip()) - 1
+        if found and found[-1] == last:
+            found.pop()
+        return [p for p, within in zip(found, block.inside(found)) if not within] if found else found
+
+    def ends(self, block: Block) -> list[int]:
+        """Places of the characters tagged as boundary, without the block's last."""
+        places = self.places(block)
+        if not places:
+            return []
+        weights, sums, scores = self.weights, self.signs, []
+        for p in places:
+            signs, words = _features(block, p)
+            known = sums.get(signs)
+            if known is None:
+                if len(sums) > 100_000:
+                    sums.clear()
+                known = sums[signs] = sum(weights.get(f, 0.0) for f in _sign_features(signs))
+            scores.append(known + float(self.window[block.codes[p]]) + sum([weights[f] for f in words if f in weights]))
+        return [p for p, tag in zip(places, viterbi(places, scores, self.step)) if tag]
+
+
+def viterbi(places: list[int], scores: list[float], step: list[list[float]]) -> list[int]:
+    """The best tags of the characters at ``places``; all characters between them are inside."""
+    best = [0.0, scores[0]]
+    back: list[tuple[int, int]] = []
+    for k in range(1, len(places)):
+        s = scores[k]
+        if places[k] == places[k - 1] + 1:
+            hop = step
+        else:  # by way of the tag inside
+            hop = [[step[0][0] + step[0][0], step[0][0] + step[0][1]], [step[1][0] + step[0][0], step[1][0] + step[0][1]]]
+        to0 = max((best[0] + hop[0][0], 0), (best[1] + hop[1][0], 1))
+        to1 = max((best[0] + hop[0][1] + s, 0), (best[1] + hop[1][1] + s, 1))
+        back.append((to0[1], to1[1]))
+        best = [to0[0], to1[0]]
     tag = int(best[1] > best[0])
     tags = [tag]
     for links in reversed(back):
@@ -245,47 +422,147 @@ def viterbi(features: list[tuple], weights: dict, cache: dict | None = None) ->
     return tags[::-1]
 
 
-def train(texts: list[str], rounds: int = ROUNDS) -> dict:
-    """Averaged structured perceptron; the same texts in the same order give the same weights."""
-    data = []
+def _parts(text: str) -> Iterator[tuple[int, str]]:
+    """(place, text) of the parts between blank lines that aren't blank."""
+    at = 0
+    for m in [*_BLANK_LINE.finditer(text), None]:
+        end = m.start() if m else len(text)
+        if text[at:end].strip():
+            yield at, text[at:end]
+        at = m.end() if m else end
+
+
+def _training_blocks(texts: list[str]) -> tuple[list[Block], list[tuple[Block, int | None]]]:
+    """The blocks themselves, and what is trained on: blocks, stripped copies and joined neighbours with the place of their seam."""
+    blocks: list[Block] = []
+    data: list[tuple[Block, int | None]] = []
     for text in texts:
-        for strip in (False, True):
-            # Stripped of marks, only the spaces of scripts without marks are left as candidates.
-            if strip and not re.search(f"[{_THAI}]", text):
-                continue
-            for block in blocks(text, strip):
-                if block.features:
-                    data.append((block.features, [int(teach(f)) for f in block.features]))
+        before: str | None = None
+        for _, part in _parts(_INVISIBLE.sub("", text)):
+            block = Block(part)
+            blocks.append(block)
+            data.append((block, None))
+            part = part.strip()
+            own = block.codes[block.codes >= 0] // (_GAPS * _K) % _K
+            bare = bool((own == _C["thai"]).mean() > 0.5)
+            if bare:
+                stripped = re.sub(f"[{_MARKS}]", "", part)
+                if stripped.strip():
+                    data.append((Block(stripped), None))
+            if before is not None and (bare or before[-1] in _MARKS):
+                data.append((Block(before + ("" if before[-1] in _WIDE else " ") + part), len(before) - 1))
+            before = part if bare or part[-1] in _MARKS else None
+    return blocks, data
+
+
+def train(texts: list[str], rounds: int = ROUNDS) -> Model:
+    """Averaged structured perceptron over windows and n-grams; the same texts in the same order give the same weights."""
+    blocks, joined = _training_blocks(texts)
+    evidence = Evidence(blocks)
+    size = _K * _GAPS * _K * _K
+    seen, hits = np.zeros(size), np.zeros(size)
+    data = []
+    for block, seam in joined:
+        gold = {p for p in candidates(block) if p == seam or evidence.label(block, p)}
+        if seam is not None and (seam + 1 >= len(block.text) or any(block.inside([seam]))):
+            continue
+        codes = block.codes[: len(block.text.rstrip()) - 1]
+        seen += np.bincount(codes[codes >= 0], minlength=size)
+        hits += np.bincount(codes[sorted(gold)], minlength=size) if gold else 0
+        data.append((block, gold))
+    window, open_ = _windows(seen, hits)
+    model = Model(window, open_, {}, [[0.0, 0.0], [0.0, 0.0]])
+    rows = []
+    counts: Counter = Counter()
+    for block, gold in data:
+        places = model.places(block)
+        if places:
+            found = [_sign_features(signs) + words for signs, words in (_features(block, p) for p in places)]
+            for f in found:
+                counts.update(f)
+            rows.append((places, found, [int(p in gold) for p in places], [float(window[block.codes[p]]) for p in places]))
+    known = frozenset(f for f, n in counts.items() if n >= 3)
+    rows = [(places, [[f for f in fs if f in known] for fs in found], gold, base) for places, found, gold, base in rows]
     weights: dict = defaultdict(float)
     total: dict = defaultdict(float)
     step = 1
     for _ in range(rounds):
-        for features, gold in data:
-            got = viterbi(features, weights)
+        for places, found, gold, base in rows:
+            hop = [[weights["step", i, j] for j in (0, 1)] for i in (0, 1)]
+            got = viterbi(places, [b + sum(weights[f] for f in fs) for b, fs in zip(base, found)], hop)
             if got != gold:
-                for k, (f, g, p) in enumerate(zip(features, gold, got)):
+                for k, (fs, g, p) in enumerate(zip(found, gold, got)):
                     if g != p:
-                        for x in _active(f):
-                            weights[x] += g - p
-                            total[x] += step * (g - p)
-                    if k:
-                        for tags, sign in ((gold, 1), (got, -1)):
-                            x = ("step", tags[k - 1], tags[k])
-                            weights[x] += sign
-                            total[x] += step * sign
+                        for f in fs:
+                            weights[f] += g - p
+                            total[f] += step * (g - p)
+                for tags, sign in ((gold, 1), (got, -1)):
+                    for f in _steps(places, tags):
+                        weights[f] += sign
+                        total[f] += step * sign
             step += 1
-    return {x: w - total[x] / step for x, w in weights.items()}
-
-
-def sentence_ends(text: str | None, weights: dict, cache: dict | None = None) -> list[int]:
+    final = {f: w - total[f] / step for f, w in weights.items() if w or total[f]}
+    hop = [[final.pop(("step", i, j), 0.0) for j in (0, 1)] for i in (0, 1)]
+    return Model(window, open_, final, hop)
+
+
+def _steps(places: list[int], tags: list[int]) -> Iterator[tuple]:
+    for k in range(1, len(places)):
+        if places[k] == places[k - 1] + 1:
+            yield "step", tags[k - 1], tags[k]
+        else:
+            yield "step", tags[k - 1], 0
+            yield "step", 0, tags[k]
+
+
+def _windows(seen: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds of a boundary for every window, and whether one was ever seen there; rare windows count by their parts."""
+    size = len(seen)
+    part, own = (np.array(x) for x in zip(*map(_backed_off, range(size))))
+    for weaker, n in ((own, _K), (part, _K * _GAPS * _K)):
+        less_seen, less_hits = np.bincount(weaker, seen, n), np.bincount(weaker, hits, n)
+        if weaker is own:
+            prior = (less_hits / np.maximum(less_seen, 1))[own]
+        else:
+            prior = ((less_hits[part] + prior * 2) / (less_seen[part] + 2))
+    share = (hits + prior * 2) / (seen + 2)
+    odds = np.log(np.maximum(share, 1e-6) / np.maximum(1 - share, 1e-6))
+    return odds, share > 1e-4
+
+
+def sentence_ends(text: str | None, model: Model) -> list[int]:
     """Numbers of code points up to and including each sentence's last character that isn't white space."""
+    if not text:
+        return []
+    hidden = [m.start() for m in _INVISIBLE.finditer(text)]
+    at = None
+    if hidden:
+        # Tagged without invisible characters; places are those of the text as it is.
+        at = np.delete(np.arange(len(text)), hidden)
+        text, whole = _INVISIBLE.sub("", text), text
     out: list[int] = []
-    for block in blocks(text) if text else ():
-        for end, tag in zip(block.ends, viterbi(block.features, weights, cache)):
-            if tag:
-                out.append(block.start + len(block.text[:end].rstrip()))
-        out.append(block.start + len(block.text.rstrip()))
-    return out
+    codes = windows(text)
+    for begin, part in _parts(text):
+        own = codes[begin : begin + len(part)]
+        first = len(part) - len(part.lstrip())
+        own[first] = own[first] % (_K * _GAPS * _K) + _C["edge"] * (_K * _GAPS * _K)
+        block = Block(part, own)
+        out += [begin + p + 1 for p in model.ends(block)]
+        out.append(begin + len(part.rstrip()))
+    if at is None:
+        return out
+    # Invisible characters after a sentence's last visible one belong to it.
+    found = []
+    for e in out:
+        stop = int(at[e]) if e < len(at) else len(whole)
+        found.append(len(whole[:stop].rstrip()) if whole[int(at[e - 1]) + 1 : stop].strip() else int(at[e - 1]) + 1)
+    return found
+
+
+def seam_recall(texts: list[str], model: Model) -> tuple[int, int]:
+    """(found, all) of the seams of neighbouring blocks joined as in training: boundaries that are known without any rule."""
+    seams = [(b, seam) for b, seam in _training_blocks(texts)[1] if seam is not None and seam + 1 < len(b.text) and not any(b.inside([seam]))]
+    return sum(seam in model.ends(b) for b, seam in seams), len(seams)
 
 
 def _sample(docs: DataFrame, n: int) -> list[str]:
@@ -297,23 +574,23 @@ def _sample(docs: DataFrame, n: int) -> list[str]:
     return [r["text"] for r in rows.orderBy("h", "doc_id", "text").limit(n).collect()]
 
 
-def sentences(docs: DataFrame, weights: dict | None = None) -> DataFrame:
+def sentences(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """Every document's sentences: (doc_id, sentence_no, end_pos), numbered from 0 in a document.
 
     Null, empty and blank texts have none; repeated rows repeat their sentences; an empty table gives an empty result; white
-    space at either side of a sentence is left out. Without ``weights`` they are learned from ``TRAINING_DOCS`` documents (in the driver; the sample
+    space at either side of a sentence is left out. Without ``model`` one is learned from ``TRAINING_DOCS`` documents (in the driver; the sample
     is bounded). Narrow but for the sample: no shuffle.
     """
-    if weights is None:
-        weights = train(_sample(docs, TRAINING_DOCS))
-    shared = docs.sparkSession.sparkContext.broadcast(dict(weights))
+    if model is None:
+        model = train(_sample(docs, TRAINING_DOCS))
+    shared = docs.sparkSession.sparkContext.broadcast((model.window, model.open, model.weights, model.step))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, cache = shared.value, {}
+        model = Model(*shared.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 ids, texts = batch.column(0).slice(lo, 512), batch.column(1).slice(lo, 512).to_pylist()
-                found = [sentence_ends(t, weights, cache) for t in texts]
+                found = [sentence_ends(t, model) for t in texts]
                 keys = ids.take(pa.array([i for i, e in enumerate(found) for _ in e], pa.int64()))
                 yield pa.RecordBatch.from_arrays([keys, pa.array([k for e in found for k in range(len(e))], pa.int32()), pa.array([x for e in found for x in e], pa.int32())], ["doc_id", "sentence_no", "end_pos"])
 

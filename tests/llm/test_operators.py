@@ -350,7 +350,7 @@ PARTS = [
     ['"Was it 7?" asked Ann, still reading.', "“Check it. It moved.” was the note.", "(See the note on score.)", "Nobody knew why... but he stayed."],
     ["Am 27. Mai 1966 hat Dr. Bell geprüft.", "Siehe Nr. 5 ff. der Akte, z. B. den Eintrag."],
     ["El Sr. Bell ganó en EE. UU. aquel año.", "¡Qué columna tan rara!", "¿Cuántos barcos faltan?"],
-    ["Проф. Г. Белл нашёл ещё 5 записей.", "«Строка пуста», — сказал он.", "См. рис. 2 на стр. 3."],
+    ["Проф. Г. Белл нашёл ещё 5 записей.", "«Строка пуста», — сказал Белов.", "См. рис. 2 на стр. 3."],
     ["Ann wrote: “It is empty.”", "Row 5 ends the table."],
 ]
 TIGHT = [["真是奇怪的一列！", "记录员写道：「这一列是空的。」", "平均值是2.5分，比去年略低。"], ["「列は空です。」と記録係が言った。", "不思議ですね！", "ア……いや、イが正しい。"], ["boats lent 5 more.", "Mrs. Bell agreed."]]
@@ -360,38 +360,80 @@ def docs_for(parts, gap):
     return "\n\n".join(gap.join(p) for p in parts), [s for p in parts for s in p]
 
 
+@pytest.fixture(scope="module")
 def model():
-    texts = [r for gap in (" ", "\n") for r in [docs_for(PARTS, gap)[0]]] + [docs_for(TIGHT, "")[0]]
-    return sentences.train(texts * 10)
+    import pyarrow.parquet as pq
 
+    return sentences.train([t for t in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).slice(0, 2000).column("text").to_pylist() if t])
 
-@pytest.mark.parametrize(("parts", "gap"), [(PARTS, " "), (PARTS, "\n"), (PARTS, " "), (TIGHT, "")])
-def test_sentences(parts, gap):
+
+def cut(text, model):
+    ends = sentences.sentence_ends(text, model)
+    return [text[a:b].strip() for a, b in zip([0, *ends], ends)]
+
+
+@pytest.mark.parametrize(("parts", "gap"), [(PARTS, " "), (PARTS, "\n"), (TIGHT, "")])
+def test_sentences(parts, gap, model):
     text, want = docs_for(parts, gap)
-    ends = sentences.sentence_ends(text, model())
-    assert [text[a:b].strip() for a, b in zip([0, *ends], ends)] == [s.replace("\n", " ") for s in want]
+    assert [s.replace("\n", " ") for s in cut(text, model)] == [s.replace("\n", " ") for s in want]
+
+
+def test_sentence_blocks(model):
+    assert cut("A heading\n\nselect x from w where a = 'B. C'\n\ncol : A. B | C row 1 : d. E | f \n", model) == ["A heading", "select x from w where a = 'B. C'", "col : A. B | C row 1 : d. E | f"]
+    assert cut("1. One is here.\n2. Two is here.", model) == ["1. One is here.", "2. Two is here."]
+    assert cut("ไม่มีใครรู้ ค่าคือ 86.0 คะแนน ใช่", model) == ["ไม่มีใครรู้", "ค่าคือ 86.0 คะแนน", "ใช่"]
+    assert sentences.sentence_ends(None, model) == sentences.sentence_ends("", model) == sentences.sentence_ends(" \n\n ", model) == []
+
+
+@pytest.mark.parametrize("gap", [1, 5, 80, 100, 5000])
+def test_gaps_of_any_width(model, gap):
+    text = "The first sentence ends here." + " " * gap + "The second one starts here. Third."
+    assert sentences.sentence_ends(text, model) == [29, 56 + gap, 63 + gap]
+    assert cut("See " + "a" * gap + ".csv and www." + "b.c" * gap + ".org now. The end.", model)[1] == "The end."
+
+
+def test_invisible_characters_keep_places(model):
+    plain, hidden = "The cat sat. The dog ran.", "The c​at sat.​ The dog ran.​"
+    assert sentences.sentence_ends(plain, model) == [12, 25] and sentences.sentence_ends(hidden, model) == [14, 28]
+
+
+def test_held_out_seams_are_found(model):
+    """Boundaries that are known without any rule, of documents not learned from, in every language."""
+    import pyarrow.parquet as pq
+
+    docs = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["lang", "text"]).slice(2000, 3000).to_pylist()
+    for lang in ("en", "de", "es", "fr", "ru", "zh", "ja", "ar", "hi", "th"):
+        found, all_ = sentences.seam_recall([d["text"] for d in docs if d["lang"] == lang and d["text"]], model)
+        assert all_ > 40 and found >= 0.99 * all_
+
 
+def test_viterbi_equals_search():
+    from itertools import product
 
-def test_sentence_blocks():
-    w = model()
+    r = random.Random(12)
+    for _ in range(200):
+        places = sorted(r.sample(range(12), r.randint(1, 6)))
+        scores = [r.gauss(0, 2) for _ in places]
+        step = [[r.gauss(0, 1) for _ in range(2)] for _ in range(2)]
+        step[0][0] = 0.0
 
-    def cut(t):
-        ends = sentences.sentence_ends(t, w)
-        return [t[a:b].strip() for a, b in zip([0, *ends], ends)]
+        def value(tags):
+            full = [0] * (places[-1] + 1)
+            for p, t in zip(places, tags):
+                full[p] = t
+            return sum(s for s, t in zip(scores, tags) if t) + sum(step[a][b] for a, b in zip(full[places[0] :], full[places[0] + 1 :]))
 
-    assert cut("A heading\n\nselect x from w where a = 'B. C'\n\ncol : A. B | C row 1 : d. E | f \n") == ["A heading", "select x from w where a = 'B. C'", "col : A. B | C row 1 : d. E | f"]
-    assert cut("1. One is here.\n2. Two is here.") == ["1. One is here.", "2. Two is here."]
-    assert cut("ไม่มีใครรู้ ค่าคือ 86.0 คะแนน ใช่") == ["ไม่มีใครรู้", "ค่าคือ 86.0 คะแนน", "ใช่"]
-    assert sentences.sentence_ends(None, w) == sentences.sentence_ends("", w) == sentences.sentence_ends(" \n\n ", w) == []
+        best = max(product((0, 1), repeat=len(places)), key=value)
+        assert value(sentences.viterbi(places, scores, step)) == pytest.approx(value(best))
 
 
-def test_sentence_table(spark):
+def test_sentence_table(spark, model):
     text = docs_for(PARTS, " ")[0]
-    df = spark.createDataFrame([(1, text, 0), (2, None, 0), (3, " ", 0), (4, "no end", 0), (5, "A bc. " * 20_000, 0), (1, text, 0)], "doc_id bigint, text string, end_pos int")
-    rows = sentences.sentences(df).collect()
+    df = spark.createDataFrame([(1, text, 0), (2, None, 0), (3, " ", 0), (4, "no end", 0), (5, "The cat sat. " * 20_000, 0), (1, text, 0)], "doc_id bigint, text string, end_pos int")
+    rows = sentences.sentences(df, model).collect()
     by = {i: sorted(r.end_pos for r in rows if r.doc_id == i) for i in (1, 2, 3, 4, 5)}
     assert by[2] == by[3] == [] and by[4] == [6] and len(by[5]) == 20_000 and max(by[1]) == len(text)
-    assert sentences.sentences(df.where("false")).count() == 0
+    assert sentences.sentences(df.where("false")).count() == 0 and sentences.sentences(df).count() > 0
 
 
 def test_registered_queries_with_sql(spark):
