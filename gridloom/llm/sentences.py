@@ -53,6 +53,7 @@ _CLASSES = "edge space lower upper han kana thai letter digit mark_on_letter poi
 _K = len(_CLASSES)
 _C = {name: k for k, name in enumerate(_CLASSES)}
 _LISTS = np.isin(_CLASSES, ["dash", "bullet", "digit", "opener", "edge"])
+_ENDS = np.isin(_CLASSES, ["point", "dots", "latin_mark", "wide", "closer", "quote"])
 _NONE, _ONE, _SPACES, _LINE = range(4)
 _GAPS = 4
 
@@ -111,24 +112,69 @@ def _class_table() -> np.ndarray:
     return table
 
 
-def windows(text: str) -> np.ndarray:
-    """The window of every character as one number: class before, own class, white space after, class of what follows; white space characters get -1."""
-    n = len(text)
-    cls = _class_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
-    at = np.arange(n)
-    solid = cls != _C["space"]
-    after = np.minimum.accumulate(np.where(solid, at, n)[::-1])[::-1]
-    nxt = np.append(after[1:], n)
-    before = np.maximum.accumulate(np.where(solid, at, -1))
-    prev = np.append(-1, before[:-1])
-    padded = np.append(cls, _C["edge"])
-    lines = np.append(0, np.cumsum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 10))
-    width = nxt - at - 1
-    gap = np.where(width == 0, _NONE, np.where(lines[nxt] > lines[at + 1], _LINE, np.where(width == 1, _ONE, _SPACES)))
-    # A line break tells something only before what can begin a list item, and in scripts whose spaces do.
-    gap[(gap == _LINE) & ~_LISTS[padded[nxt]] & (cls != _C["thai"])] = _ONE
-    code = ((padded[prev] * _K + cls) * _GAPS + gap) * _K + padded[nxt]
-    return np.where(solid, code, -1)
+class Page:
+    """A text with what is looked up at every character: its window, and the next and last signs that bound a word.
+
+    A window is one number: class before, own class, white space after, class of what follows; white space has -1.
+    """
+
+    def __init__(self, text: str):
+        self.text = text
+        n = len(text)
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        cls = _class_table()[points].astype(np.int64)
+        at = np.arange(n)
+        solid = cls != _C["space"]
+        self.solid = np.append(np.minimum.accumulate(np.where(solid, at, n)[::-1])[::-1], [n, n])
+        nxt = self.solid[1 : n + 1]
+        before = np.maximum.accumulate(np.where(solid, at, -1))
+        prev = np.append(-1, before[:-1])
+        padded = np.append(cls, _C["edge"])
+        lines = np.append(0, np.cumsum(points == 10))
+        width = nxt - at - 1
+        gap = np.where(width == 0, _NONE, np.where(lines[nxt] > lines[np.minimum(at + 1, n)], _LINE, np.where(width == 1, _ONE, _SPACES)))
+        # A line break tells something only before what can begin a list item, and in scripts whose spaces do.
+        gap[(gap == _LINE) & ~_LISTS[padded[nxt]] & (cls != _C["thai"])] = _ONE
+        code = ((padded[prev] * _K + cls) * _GAPS + gap) * _K + padded[nxt]
+        self.codes = np.where(solid, code, -1)
+        opens, closes, marks = (table[points] for table in _sign_tables())
+        last = lambda where: np.append(np.maximum.accumulate(np.where(where, at, -1)), -1)  # noqa: E731  (of -1: none)
+        self.last_break = last(~solid | opens)
+        self.next_stop = np.append(np.minimum.accumulate(np.where(~solid | closes, at, n)[::-1])[::-1], n)
+        self.last_inner, self.last_unmarked, self.last_word = last(solid & ~closes), last(~marks), last(solid & ~opens)
+
+    def anchors(self, places: list[int], begins: list[int]) -> list[tuple[int, ...]]:
+        """Of each place in a block that begins at the other number: the end of its marks and of the token before, where that and the word before begin and end, and where the text goes on."""
+        at, begin = np.array(places, np.int64), np.array(begins, np.int64)
+        inner = np.maximum(self.last_inner[at], begin - 1)
+        j = np.maximum(self.last_unmarked[inner], begin - 1)
+        first = np.where(j >= begin, np.maximum(self.last_break[j] + 1, begin), begin)
+        p = np.maximum(self.last_word[first - 1] + 1, begin)
+        q = np.maximum(self.last_break[p - 1] + 1, begin)
+        gap = self.codes[at] // _K % _GAPS
+        return list(zip(places, begins, (inner + 1).tolist(), (j + 1).tolist(), first.tolist(), p.tolist(), q.tolist(), self.solid[at + 1].tolist(), gap.tolist()))
+
+    def blocks(self) -> list[Block]:
+        """The parts between blank lines that aren't blank."""
+        out, at, text = [], 0, self.text
+        for m in [*_BLANK_LINE.finditer(text), None]:
+            end = m.start() if m else len(text)
+            begin = min(int(self.solid[at]), end)
+            if begin < end:
+                # Nothing stands before the first character.
+                self.codes[begin] = self.codes[begin] % (_K * _GAPS * _K) + _C["edge"] * (_K * _GAPS * _K)
+                out.append(Block(self, begin, end))
+            at = m.end() if m else end
+        return out
+
+
+@lru_cache(maxsize=1)
+def _sign_tables() -> np.ndarray:
+    """Which code points open and close quotations and brackets, and which end sentences."""
+    tables = np.zeros((3, 0x110000), bool)
+    for table, signs in zip(tables, (_OPENERS, _CLOSERS, _MARKS)):
+        table[[ord(c) for c in signs]] = True
+    return tables
 
 
 def _backed_off(code: int) -> tuple[int, int]:
@@ -137,25 +183,42 @@ def _backed_off(code: int) -> tuple[int, int]:
 
 
 class Block:
-    """A text between blank lines (without invisible characters), with its windows and outermost quotations and brackets."""
+    """A part of a page from its first character that isn't white space to its end; ``last`` is the last such character."""
 
-    def __init__(self, text: str, codes: np.ndarray | None = None):
-        self.text = text
-        self.codes = windows(text) if codes is None else codes
-        self.first = text.split(None, 1)[0][:12].lower()
-        self._closing: dict[int, int] | None = None
-        self._spans: list[tuple[int, int]] = []
+    __slots__ = ("page", "begin", "end", "last", "bar", "_spans", "_closing", "_first")
+
+    def __init__(self, page: Page, begin: int, end: int):
+        self.page, self.begin, self.end = page, begin, end
+        k = end - 1
+        while page.text[k].isspace():
+            k -= 1
+        self.last = k
+        self.bar = page.text.find("|", begin, end) >= 0
+        self._spans: list[tuple[int, int]] | None = None
+        self._closing: dict[int, int] = {}
+        self._first: str | None = None
+
+    @property
+    def string(self) -> str:
+        return self.page.text[self.begin : self.last + 1]
+
+    @property
+    def first(self) -> str:
+        """The first token."""
+        if self._first is None:
+            self._first = self.page.text[self.begin : min(self.begin + 12, self.end)].split(None, 1)[0].lower()
+        return self._first
 
     @property
     def spans(self) -> list[tuple[int, int]]:
-        if self._closing is None:
-            self._spans = _outermost(self.text)
+        if self._spans is None:
+            self._spans = [(a + self.begin, b + self.begin) for a, b in _outermost(self.page.text[self.begin : self.end])]
             self._closing = {b: a for a, b in self._spans}
         return self._spans
 
     def opening(self, at: int) -> int | None:
         """Where the outermost quotation or bracket opens that closes at this place."""
-        return self.spans and self._closing.get(at)
+        return self._closing.get(at) if self.spans else None
 
     def inside(self, places: list[int]) -> list[bool]:
         """Whether each of the ascending places stands inside a quotation or bracket, or on its opening sign."""
@@ -214,72 +277,66 @@ def _plain(token: str, lower: bool = True) -> str:
     return _DIGITS.sub(lambda m: "0" * min(len(m.group()), 3), token.lower() if lower else token)
 
 
-def context(block: Block, at: int) -> tuple:
-    """What stands around a character, as strings: (mark, token before, one more before, token after, ...)."""
-    text = block.text
-    j = at
-    while j >= 0 and (text[j] in _CLOSERS or text[j].isspace()):
-        j -= 1
-    closed = text[j + 1 : at + 1].replace(" ", "").replace("\xa0", "")
-    e = j + 1
-    while j >= 0 and text[j] in _MARKS:
-        j -= 1
-    mark = text[j + 1 : e][-3:]
-    begin = j + 1
-    while begin > 0 and not text[begin - 1].isspace() and text[begin - 1] not in _OPENERS:
-        begin -= 1
-    token = text[begin : j + 1]
-    inner = _IN_TOKEN.split(token)[-1]
-    p = begin
-    while p > 0 and (text[p - 1].isspace() or text[p - 1] in _OPENERS):
-        p -= 1
+@lru_cache(maxsize=200_000)
+def _token(token: str) -> tuple[str, str, str]:
+    """A token in plain form, its part after the last inner mark, and its shape."""
+    return _plain(token[-16:]), _plain(_IN_TOKEN.split(token)[-1][-16:]), _shape(token)
+
+
+@lru_cache(maxsize=200_000)
+def _word_before(word: str) -> str:
+    return _plain(_IN_TOKEN.split(word)[-1], False)
+
+
+@lru_cache(maxsize=200_000)
+def _word_after(word: str) -> tuple[str, str, str]:
+    low = word.lower()
+    return _DIGITS.sub("0", low[:16]), _DIGITS.sub("0", low[:2]), _CLASSES[_class_table()[ord(word[0])]]
+
+
+def _right(block: Block, k: int) -> tuple[str, str, str, str]:
+    """(opening signs, token in plain form, its first two characters, kind of its start) at a place of the block."""
+    text, end, solid = block.page.text, block.end, block.page.solid
+    begin = k
+    while k < end and (text[k] in _OPENERS or text[k] in "¿¡"):
+        k = int(solid[k + 1])
+    k = min(k, end)
+    opened = text[begin:k]
+    word = text[k : min(int(block.page.next_stop[k]), end, k + 24)]
+    if not word:
+        return opened, "", "", "sign" if opened else "edge"
+    after, two, start = _word_after(word)
+    return opened, after, two, "inverted" if "¿" in opened or "¡" in opened else start
+
+
+def context(block: Block, anchor: tuple[int, ...]) -> tuple:
+    """What stands around a character, as strings: (mark, closing sign, token before, ...)."""
+    at, b, e, j, begin, p, q, k, gap = anchor
+    text = block.page.text
+    closed = text[at] if e <= at and text[at] in _CLOSERS else ""
+    token, inner, shape = _token(text[max(begin, j - 40) : j])
     # A token that begins a line after a finished one may be a list mark.
-    line = p == 0 or "\n" in text[p:begin] and text[p - 1] in _MARKS + _CLOSERS
-    q = p
-    while q > 0 and not text[q - 1].isspace() and text[q - 1] not in _OPENERS and p - q < 24:
-        q -= 1
-    k, n = at + 1, len(text)
-    while k < n and text[k].isspace():
-        k += 1
-    gap = text[at + 1 : k]
-    opened = ""
-    while k < n and (text[k] in _OPENERS or text[k] in "¿¡") or opened and k < n and text[k].isspace():
-        opened += text[k]
-        k += 1
-    r = k
-    while r < n and not text[r].isspace() and text[r] not in _CLOSERS and r - k < 24:
-        r += 1
-    after = text[k:r]
-    opening = block.opening(at) if closed else None
-    place = "" if opening is None else _place(text, opening)
-    return (
-        mark,
-        closed[-1:],
-        _plain(token[-16:]),
-        _plain(inner[-16:]),
-        "^" if line else _plain(_IN_TOKEN.split(text[max(q, p - 16) : p])[-1], False),
-        _shape(token),
-        int(block.codes[at]) // _K % _GAPS,
-        bool(opened.strip("¿¡ ")),
-        _DIGITS.sub("0", after[:16].lower()),
-        _DIGITS.sub("0", after[:2].lower()),
-        _start(opened, after),
-        place,
-    )
-
-
-def _start(opened: str, after: str) -> str:
-    if "¿" in opened or "¡" in opened:
-        return "inverted"
-    return _CLASSES[_class_table()[ord(after[0])]] if after else "sign" if opened else "edge"
-
-
-def _place(text: str, opening: int) -> str:
+    if p == b or "\n" in text[p:begin] and text[p - 1] in _MARKS + _CLOSERS:
+        before = "^"
+    else:
+        before = _word_before(text[max(q, p - 16) : p])
+    opened, after, two, start = _right(block, k)
+    place = ""
+    if closed and (opening := block.opening(at)) is not None:
+        place = _place(text, opening, b)
+    return text[max(j, e - 3) : e], closed, token, inner, before, shape, gap, bool(opened.strip("¿¡ ")), after, two, start, place
+
+
+def contexts(block: Block, places: list[int]) -> list[tuple]:
+    return [context(block, x) for x in block.page.anchors(places, [block.begin] * len(places))]
+
+
+def _place(text: str, opening: int, begin: int) -> str:
     """What stands before a quotation: nothing or a finished sentence, an introducing sign, or a part of a sentence."""
     k = opening
-    while k > 0 and text[k - 1].isspace():
+    while k > begin and text[k - 1].isspace():
         k -= 1
-    return "start" if k == 0 or text[k - 1] in _MARKS + _CLOSERS else "introduced" if text[k - 1] in ":：,，،、" else "amid"
+    return "start" if k == begin or text[k - 1] in _MARKS + _CLOSERS else "introduced" if text[k - 1] in ":：,，،、" else "amid"
 
 
 _MARK, _CLOSED, _TOKEN, _INNER, _BEFORE, _SHAPE, _GAP, _OPENED, _AFTER, _TWO, _START, _PLACE = range(12)
@@ -291,20 +348,20 @@ def _left_keys(c: tuple) -> list[tuple]:
     return [("bt", m, c[_BEFORE], c[_TOKEN]), ("t", m, c[_TOKEN]), ("i", m, c[_INNER]), ("b", m, c[_BEFORE]), ("bs", m, c[_BEFORE] == "^", c[_SHAPE]), ("m", m, c[_CLOSED] != "")]
 
 
-def _right_keys(c: tuple) -> list[tuple]:
+def _right_keys(right: tuple[str, str, str]) -> list[tuple]:
+    after, two_, start = right
     # First letters tell words apart only in scripts without spaces or case.
-    two = [] if c[_START] in ("upper", "lower", "digit") else [("2", c[_TWO], c[_START])]
-    return [("a", c[_AFTER]), *two, ("s", c[_START])]
+    two = [] if start in ("upper", "lower", "digit") else [("2", two_, start)]
+    return [("a", after), *two, ("s", start)]
 
 
 def candidates(block: Block) -> list[int]:
     """Places that could be learned as boundaries: after marks and the signs that close them, and letters of scripts without marks before a single space."""
-    text, codes = block.text, block.codes
+    text, codes = block.page.text, block.page.codes[block.begin : block.last]
     own, nxt, gap = codes // (_GAPS * _K) % _K, codes % _K, codes // _K % _GAPS
-    ends = (own == _C["point"]) | (own == _C["dots"]) | (own == _C["latin_mark"]) | (own == _C["wide"]) | (own == _C["closer"]) | (own == _C["quote"])
-    tight = (gap == _NONE) & ((nxt == _C["point"]) | (nxt == _C["dots"]) | (nxt == _C["latin_mark"]) | (nxt == _C["wide"]) | (nxt == _C["closer"]) | (nxt == _C["quote"]))
+    ends = _ENDS[own]
     bare = (own == _C["thai"]) & (gap == _ONE) & (nxt == _C["thai"])
-    places = np.flatnonzero((codes >= 0) & (nxt != _C["edge"]) & (ends & ~tight | bare)).tolist()
+    places = (np.flatnonzero((codes >= 0) & (ends & ~((gap == _NONE) & _ENDS[nxt]) | bare)) + block.begin).tolist()
     out = []
     for p, within in zip(places, block.inside(places)):
         if within:
@@ -318,6 +375,11 @@ def candidates(block: Block) -> list[int]:
     return out
 
 
+def _finished(part: str) -> bool:
+    """Whether a text ends with a mark, or a mark and a closing sign."""
+    return part[-1] in _MARKS or part[-1] in _CLOSERS and part[:-1].rstrip()[-1:] in tuple(_MARKS)
+
+
 class Evidence:
     """How often a context stands at the edge of a block and how often within one."""
 
@@ -325,15 +387,14 @@ class Evidence:
         self.edge: Counter = Counter()
         self.within: Counter = Counter()
         for b in blocks:
-            n = len(b.text.rstrip())
-            if b.text[n - 1] not in _MARKS and not (b.text[n - 1] in _CLOSERS and b.text[: n - 1].rstrip()[-1:] in tuple(_MARKS)):
+            if not _finished(b.string):
                 continue  # a heading, table or query, or cut off
-            self.edge.update(_left_keys(context(b, n - 1)))
-            self.edge.update(_right_keys(context(Block(" " + b.text), 0)))
-            for p in candidates(b):
-                c = context(b, p)
+            self.edge.update(_right_keys(_right(b, b.begin)[1:]))
+            *within, edge = contexts(b, [*candidates(b), b.last])
+            self.edge.update(_left_keys(edge))
+            for c in within:
                 self.within.update(_left_keys(c))
-                self.within.update(_right_keys(c))
+                self.within.update(_right_keys(c[_AFTER : _START + 1]))
 
     def can_be_edge(self, keys: list[tuple]) -> bool:
         for key in keys:
@@ -342,22 +403,21 @@ class Evidence:
                 return edge >= EDGE_SHARE * (edge + within) and edge > 0
         return False
 
-    def label(self, block: Block, at: int) -> bool:
-        """The label of a candidate for training."""
-        c = context(block, at)
+    def label(self, block: Block, c: tuple) -> bool:
+        """The label of a candidate by its context, for training."""
         if not c[_MARK]:
             return True  # the space of a script without marks
-        if block.text.count(" | ") > 2:
+        if block.string.count(" | ") > 2:
             return False  # a flattened table is one unit
         if c[_GAP] == _NONE and c[_START] in ("lower", "digit") and not c[_CLOSED] and c[_MARK][-1] not in _WIDE:
             return False  # inside a number, file name or address
-        return self.can_be_edge(_left_keys(c)) and self.can_be_edge(_right_keys(c))
+        return self.can_be_edge(_left_keys(c)) and self.can_be_edge(_right_keys(c[_AFTER : _START + 1]))
 
 
-def _features(block: Block, at: int) -> tuple[tuple, list[tuple]]:
+def _features(block: Block, around: tuple) -> tuple[tuple, list[tuple]]:
     """n-grams around a character: (signs and shapes together, which are few, and words)."""
-    mark, closed, token, inner, before, shape, gap, opened, after, two, start, place = context(block, at)
-    signs = (mark, closed, gap, start, shape, before == "^", place, opened, "|" in block.text, min(len(after), 5))
+    mark, closed, token, inner, before, shape, gap, opened, after, two, start, place = around
+    signs = (mark, closed, gap, start, shape, before == "^", place, opened, block.bar, min(len(after), 5))
     words = [("t", mark, token), ("i", mark, inner), ("ti", inner, start), ("bt", before, token), ("b", mark, before), ("bs", before, shape), ("a", after, gap == _NONE), ("a2", two, start), ("ca", closed != "", after), ("c2", mark, two), ("f", block.first, mark)]
     return signs, words
 
@@ -374,30 +434,45 @@ class Model:
         self.window, self.open, self.weights, self.step = window, open_, weights, step
         self.signs: dict[tuple, float] = {}  # known sums
 
-    def places(self, block: Block) -> list[int]:
+    def places(self, page: Page) -> np.ndarray:
         """Where the tag isn't settled by the window alone."""
-        codes = block.codes
-        found = np.flatnonzero(self.open[codes] & (codes >= 0)).tolist()
-        last = len(block.text.rstrip()) - 1
-        if found and found[-1] == last:
-            found.pop()
-        return [p for p, within in zip(found, block.inside(found)) if not within] if found else found
-
-    def ends(self, block: Block) -> list[int]:
-        """Places of the characters tagged as boundary, without the block's last."""
-        places = self.places(block)
-        if not places:
-            return []
-        weights, sums, scores = self.weights, self.signs, []
-        for p in places:
-            signs, words = _features(block, p)
-            known = sums.get(signs)
-            if known is None:
-                if len(sums) > 100_000:
-                    sums.clear()
-                known = sums[signs] = sum(weights.get(f, 0.0) for f in _sign_features(signs))
-            scores.append(known + float(self.window[block.codes[p]]) + sum([weights[f] for f in words if f in weights]))
-        return [p for p, tag in zip(places, viterbi(places, scores, self.step)) if tag]
+        return np.flatnonzero(self.open[page.codes] & (page.codes >= 0))
+
+    def ends(self, page: Page) -> list[int]:
+        """Places of the characters tagged as boundary, those at the end of a block included."""
+        blocks = page.blocks()
+        found = self.places(page)
+        begins = np.array([b.begin for b in blocks], np.int64)
+        owner = np.searchsorted(begins, found, "right") - 1
+        before_last = found < np.array([b.last for b in blocks], np.int64)[owner]
+        found, owner = found[before_last], owner[before_last]
+        anchors = page.anchors(found.tolist(), begins[owner].tolist())
+        bases = self.window[page.codes[found]].tolist()
+        ends = np.searchsorted(owner, np.arange(len(blocks)), "right").tolist()
+        weights, sums, out, i = self.weights, self.signs, [], 0
+        for block, end in zip(blocks, ends):
+            if i < end:
+                places, scores = [], []
+                mine = anchors[i:end]
+                for x, within, base in zip(mine, block.inside([x[0] for x in mine]), bases[i:end]):
+                    if within:
+                        continue
+                    signs, words = _features(block, context(block, x))
+                    known = sums.get(signs)
+                    if known is None:
+                        if len(sums) > 100_000:
+                            sums.clear()
+                        known = sums[signs] = sum(weights.get(f, 0.0) for f in _sign_features(signs))
+                    for f in words:
+                        if f in weights:
+                            known += weights[f]
+                    places.append(x[0])
+                    scores.append(known + base)
+                if places:
+                    out += [p for p, tag in zip(places, viterbi(places, scores, self.step)) if tag]
+                i = end
+            out.append(block.last)
+        return out
 
 
 def viterbi(places: list[int], scores: list[float], step: list[list[float]]) -> list[int]:
@@ -422,35 +497,23 @@ def viterbi(places: list[int], scores: list[float], step: list[list[float]]) ->
     return tags[::-1]
 
 
-def _parts(text: str) -> Iterator[tuple[int, str]]:
-    """(place, text) of the parts between blank lines that aren't blank."""
-    at = 0
-    for m in [*_BLANK_LINE.finditer(text), None]:
-        end = m.start() if m else len(text)
-        if text[at:end].strip():
-            yield at, text[at:end]
-        at = m.end() if m else end
-
-
 def _training_blocks(texts: list[str]) -> tuple[list[Block], list[tuple[Block, int | None]]]:
     """The blocks themselves, and what is trained on: blocks, stripped copies and joined neighbours with the place of their seam."""
     blocks: list[Block] = []
     data: list[tuple[Block, int | None]] = []
     for text in texts:
         before: str | None = None
-        for _, part in _parts(_INVISIBLE.sub("", text)):
-            block = Block(part)
+        for block in Page(_INVISIBLE.sub("", text)).blocks():
             blocks.append(block)
             data.append((block, None))
-            part = part.strip()
-            own = block.codes[block.codes >= 0] // (_GAPS * _K) % _K
-            bare = bool((own == _C["thai"]).mean() > 0.5)
+            part = block.string
+            own = block.page.codes[block.begin : block.end]
+            bare = bool((own[own >= 0] // (_GAPS * _K) % _K == _C["thai"]).mean() > 0.5)
             if bare:
-                stripped = re.sub(f"[{_MARKS}]", "", part)
-                if stripped.strip():
-                    data.append((Block(stripped), None))
+                data += [(x, None) for x in Page(re.sub(f"[{_MARKS}]", "", part)).blocks()]
             if before is not None and (bare or before[-1] in _MARKS):
-                data.append((Block(before + ("" if before[-1] in _WIDE else " ") + part), len(before) - 1))
+                seam = Page(before + ("" if before[-1] in _WIDE else " ") + part).blocks()
+                data += [(x, len(before) - 1) for x in seam]
             before = part if bare or part[-1] in _MARKS else None
     return blocks, data
 
@@ -463,37 +526,43 @@ def train(texts: list[str], rounds: int = ROUNDS) -> Model:
     seen, hits = np.zeros(size), np.zeros(size)
     data = []
     for block, seam in joined:
-        gold = {p for p in candidates(block) if p == seam or evidence.label(block, p)}
-        if seam is not None and (seam + 1 >= len(block.text) or any(block.inside([seam]))):
+        if seam is not None and any(block.inside([seam])):
             continue
-        codes = block.codes[: len(block.text.rstrip()) - 1]
-        seen += np.bincount(codes[codes >= 0], minlength=size)
+        could = candidates(block)
+        gold = {p for p, c in zip(could, contexts(block, could)) if p == seam or evidence.label(block, c)}
+        codes = block.page.codes
+        own = codes[block.begin : block.last]
+        seen += np.bincount(own[own >= 0], minlength=size)
         hits += np.bincount(codes[sorted(gold)], minlength=size) if gold else 0
         data.append((block, gold))
     window, open_ = _windows(seen, hits)
-    model = Model(window, open_, {}, [[0.0, 0.0], [0.0, 0.0]])
-    rows = []
     counts: Counter = Counter()
+    found = []
     for block, gold in data:
-        places = model.places(block)
+        codes = block.page.codes[block.begin : block.last]
+        places = (np.flatnonzero(open_[codes] & (codes >= 0)) + block.begin).tolist()
+        places = [p for p, within in zip(places, block.inside(places)) if not within] if places else places
         if places:
-            found = [_sign_features(signs) + words for signs, words in (_features(block, p) for p in places)]
-            for f in found:
+            fs = [_sign_features(signs) + words for signs, words in (_features(block, c) for c in contexts(block, places))]
+            for f in fs:
                 counts.update(f)
-            rows.append((places, found, [int(p in gold) for p in places], [float(window[block.codes[p]]) for p in places]))
-    known = frozenset(f for f, n in counts.items() if n >= 3)
-    rows = [(places, [[f for f in fs if f in known] for fs in found], gold, base) for places, found, gold, base in rows]
+            found.append((places, fs, [int(p in gold) for p in places], window[block.page.codes[places]].tolist()))
+    # What differs in rare words only is learned from once.
+    rows: dict = {}
+    for places, fs, gold, base in found:
+        near = tuple(b - a == 1 for a, b in zip(places, places[1:]))
+        rows.setdefault((near, tuple(tuple(f for f in x if counts[f] >= 3) for x in fs), tuple(gold)), (places, gold, base))
     weights: dict = defaultdict(float)
     total: dict = defaultdict(float)
     step = 1
     for _ in range(rounds):
-        for places, found, gold, base in rows:
+        for (_, fs, _), (places, gold, base) in rows.items():
             hop = [[weights["step", i, j] for j in (0, 1)] for i in (0, 1)]
-            got = viterbi(places, [b + sum(weights[f] for f in fs) for b, fs in zip(base, found)], hop)
+            got = viterbi(places, [b + sum([weights[f] for f in x if f in weights]) for b, x in zip(base, fs)], hop)
             if got != gold:
-                for k, (fs, g, p) in enumerate(zip(found, gold, got)):
+                for x, g, p in zip(fs, gold, got):
                     if g != p:
-                        for f in fs:
+                        for f in x:
                             weights[f] += g - p
                             total[f] += step * (g - p)
                 for tags, sign in ((gold, 1), (got, -1)):
@@ -530,39 +599,31 @@ def _windows(seen: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return odds, share > 1e-4
 
 
-def sentence_ends(text: str | None, model: Model) -> list[int]:
-    """Numbers of code points up to and including each sentence's last character that isn't white space."""
-    if not text:
-        return []
-    hidden = [m.start() for m in _INVISIBLE.finditer(text)]
-    at = None
+def sentence_ends(texts: list[str | None], model: Model) -> list[list[int]]:
+    """Of each text the numbers of code points up to and including each sentence's last character that isn't white space.
+
+    The texts are tagged as one page, with blank lines between them.
+    """
+    whole = "\n\n".join(t or "" for t in texts)
+    begins = np.cumsum([0, *(len(t or "") + 2 for t in texts)])
+    hidden = [m.start() for m in _INVISIBLE.finditer(whole)]
+    ends = np.array(model.ends(Page(_INVISIBLE.sub("", whole) if hidden else whole)), np.int64) if whole.strip() else np.empty(0, np.int64)
     if hidden:
-        # Tagged without invisible characters; places are those of the text as it is.
-        at = np.delete(np.arange(len(text)), hidden)
-        text, whole = _INVISIBLE.sub("", text), text
-    out: list[int] = []
-    codes = windows(text)
-    for begin, part in _parts(text):
-        own = codes[begin : begin + len(part)]
-        first = len(part) - len(part.lstrip())
-        own[first] = own[first] % (_K * _GAPS * _K) + _C["edge"] * (_K * _GAPS * _K)
-        block = Block(part, own)
-        out += [begin + p + 1 for p in model.ends(block)]
-        out.append(begin + len(part.rstrip()))
-    if at is None:
-        return out
-    # Invisible characters after a sentence's last visible one belong to it.
-    found = []
-    for e in out:
-        stop = int(at[e]) if e < len(at) else len(whole)
-        found.append(len(whole[:stop].rstrip()) if whole[int(at[e - 1]) + 1 : stop].strip() else int(at[e - 1]) + 1)
-    return found
+        # Tagged without invisible characters; places are those of the text as it is, and they belong to the character before.
+        gone = np.zeros(len(whole), bool)
+        gone[hidden] = True
+        at = np.flatnonzero(~gone)
+        following = np.append(at, len(whole))
+        stops = following[ends + 1]
+        ends = np.where(gone[np.minimum(at[ends] + 1, len(whole) - 1)], stops - 1, at[ends])
+    cuts = np.searchsorted(ends, begins)
+    return [(ends[cuts[k] : cuts[k + 1]] + 1 - begins[k]).tolist() for k in range(len(texts))]
 
 
 def seam_recall(texts: list[str], model: Model) -> tuple[int, int]:
     """(found, all) of the seams of neighbouring blocks joined as in training: boundaries that are known without any rule."""
-    seams = [(b, seam) for b, seam in _training_blocks(texts)[1] if seam is not None and seam + 1 < len(b.text) and not any(b.inside([seam]))]
-    return sum(seam in model.ends(b) for b, seam in seams), len(seams)
+    seams = [(b, seam) for b, seam in _training_blocks(texts)[1] if seam is not None and not any(b.inside([seam]))]
+    return sum(seam in model.ends(b.page) for b, seam in seams), len(seams)
 
 
 def _sample(docs: DataFrame, n: int) -> list[str]:
@@ -590,7 +651,7 @@ def sentences(docs: DataFrame, model: Model | None = None) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 ids, texts = batch.column(0).slice(lo, 512), batch.column(1).slice(lo, 512).to_pylist()
-                found = [sentence_ends(t, model) for t in texts]
+                found = sentence_ends(texts, model)
                 keys = ids.take(pa.array([i for i, e in enumerate(found) for _ in e], pa.int64()))
                 yield pa.RecordBatch.from_arrays([keys, pa.array([k for e in found for k in range(len(e))], pa.int32()), pa.array([x for e in found for x in e], pa.int32())], ["doc_id", "sentence_no", "end_pos"])
 

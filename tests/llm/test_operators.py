@@ -368,7 +368,7 @@ def model():
 
 
 def cut(text, model):
-    ends = sentences.sentence_ends(text, model)
+    ends = sentences.sentence_ends([text], model)[0]
     return [text[a:b].strip() for a, b in zip([0, *ends], ends)]
 
 
@@ -382,19 +382,19 @@ def test_sentence_blocks(model):
     assert cut("A heading\n\nselect x from w where a = 'B. C'\n\ncol : A. B | C row 1 : d. E | f \n", model) == ["A heading", "select x from w where a = 'B. C'", "col : A. B | C row 1 : d. E | f"]
     assert cut("1. One is here.\n2. Two is here.", model) == ["1. One is here.", "2. Two is here."]
     assert cut("ไม่มีใครรู้ ค่าคือ 86.0 คะแนน ใช่", model) == ["ไม่มีใครรู้", "ค่าคือ 86.0 คะแนน", "ใช่"]
-    assert sentences.sentence_ends(None, model) == sentences.sentence_ends("", model) == sentences.sentence_ends(" \n\n ", model) == []
+    assert sentences.sentence_ends([None, "", " \n\n "], model) == [[], [], []] and sentences.sentence_ends([], model) == []
 
 
 @pytest.mark.parametrize("gap", [1, 5, 80, 100, 5000])
 def test_gaps_of_any_width(model, gap):
     text = "The first sentence ends here." + " " * gap + "The second one starts here. Third."
-    assert sentences.sentence_ends(text, model) == [29, 56 + gap, 63 + gap]
+    assert sentences.sentence_ends([text], model)[0] == [29, 56 + gap, 63 + gap]
     assert cut("See " + "a" * gap + ".csv and www." + "b.c" * gap + ".org now. The end.", model)[1] == "The end."
 
 
 def test_invisible_characters_keep_places(model):
     plain, hidden = "The cat sat. The dog ran.", "The c​at sat.​ The dog ran.​"
-    assert sentences.sentence_ends(plain, model) == [12, 25] and sentences.sentence_ends(hidden, model) == [14, 28]
+    assert sentences.sentence_ends([plain, hidden, None], model) == [[12, 25], [14, 28], []]
 
 
 def test_held_out_seams_are_found(model):
