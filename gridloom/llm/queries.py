@@ -42,6 +42,10 @@ def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_corpora(corpora, _read(spark, folder, "size_limits"))
 
 
+def p3_rejoined(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.rejoined(p3_pieces(spark, folder), _read(spark, folder, "size_limits"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_pieces(spark, folder).where("piece = 0 and n_pieces > 1").select("corpus", "rec_no")
 
@@ -86,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_shares": p2_shares,
         "p3_found": p3_found,
         "p3_pieces": p3_pieces,
+        "p3_rejoined": p3_rejoined,
         "p4_found": p4_found,
         "p4_groups": p4_groups,
         "p5_found": p5_found,
@@ -108,4 +113,13 @@ def oracle_sql() -> dict[str, str]:
             SELECT 'wtq' AS corpus, rec_no FROM wtq WHERE {_SIZE} > (SELECT max_chars FROM size_limits WHERE corpus = 'wtq')
             UNION ALL
             SELECT 'synthetic' AS corpus, rec_no FROM synthetic_corpus WHERE {_SIZE} > (SELECT max_chars FROM size_limits WHERE corpus = 'synthetic')""",
+        # Every table comes back from its pieces; no piece breaks a limit, lacks rows that would fit, or cuts a row that fits.
+        "p3_rejoined": f"""
+            WITH tables AS (SELECT 'wtq' AS corpus, rec_no, "table" FROM wtq UNION ALL SELECT 'synthetic', rec_no, "table" FROM synthetic_corpus)
+            SELECT corpus, rec_no, md5(
+                array_to_string(list_transform(coalesce("table".header, []), lambda h: coalesce(h, '')), '')
+                || array_to_string(list_transform(flatten(coalesce("table".rows, [])), lambda c: coalesce(c, '')), '')) AS text_md5,
+                CAST(0 AS BIGINT) AS over_limit, CAST(0 AS BIGINT) AS wrong_overlap, CAST(0 AS BIGINT) AS short,
+                CAST(0 AS BIGINT) AS cut_rows
+            FROM tables JOIN size_limits USING (corpus) WHERE {_SIZE} > max_chars""",
     }

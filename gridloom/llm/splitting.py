@@ -1,11 +1,12 @@
 """Problem 3: tables over a size limit as pieces under it, by balanced targets.
 
 The text of a table is its header names and its cells, row by row; its size is their code points, null
-counting 0. The piece count starts at the least that can hold the text, with targets of equal length; each
-target snaps to the strongest boundary near it (between rows, then between cells, then after white space inside
-a cell, else anywhere), and while any piece breaks the limit a piece is added. Every piece carries the header
-where the header leaves at least half of the limit free, and repeats the last rows of the piece before, as
-many of the wanted ones as the limit allows.
+counting 0. A row that fits a piece is never cut; a larger one may be cut between its cells, a larger cell
+before its words, and a larger word anywhere. The piece count starts at the least that holds the text
+together with what is repeated, with targets of equal length; each target snaps to the strongest boundary near it, and while
+any piece breaks the limit a piece is added. Room for the last rows of the piece before is planned from the start:
+a piece repeats as many of the wanted ones as fit beside its first own row, and the header too where that leaves room
+for it.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PIECE = "piece int, n_pieces int, header array<string>, rows array<array<string>>, n_chars int, header_repeated boolean, overlap_rows int, start_row int, start_cell int, start_char int, cut string"
+PIECE = "piece int, n_pieces int, header array<string>, rows array<array<string>>, n_chars int, header_repeated boolean, overlap_rows int, overlap_short int, start_row int, start_cell int, start_char int, cut string"
 _ROW, _CELL, _SPACE, _ANY = "row", "cell", "space", "char"
+#: The largest part of the limit that a header may take to be repeated; larger ones stand in the first pieces only.
+HEADER_SHARE = 0.5
 
 
 def table_chars(table: str = "table") -> Column:
@@ -31,148 +34,190 @@ def table_chars(table: str = "table") -> Column:
     return total(t["header"]) + rows
 
 
-class _Flat:
-    """A table's cells laid end to end, with the places at which it may be cut."""
-
-    def __init__(self, cells: list[tuple[int, int, str | None]], n_rows: int):
-        self.cells = cells  # (row, cell, text)
-        self.starts, self.row_starts, at, last = [], [], 0, -1
-        for r, _, s in cells:
-            if r != last:
-                self.row_starts.append(at)
-                last = r
-            self.starts.append(at)
-            at += len(s or "")
-        self.size = at
-        spaces: list[int] = []
-        for (_, _, s), begin in zip(cells, self.starts):
-            if s and len(s) > 1:
-                spaces += [begin + k for k in range(1, len(s)) if s[k - 1].isspace() and not s[k].isspace()]
-        self.cuts = [(_ROW, sorted(set(self.row_starts))), (_CELL, sorted(set(self.starts))), (_SPACE, spaces)]
-
-    def snap(self, target: int, low: int, high: int, reach: int) -> tuple[int, str]:
-        """The strongest boundary within ``reach`` of the target and in (low, high], the nearest of its kind."""
-        lo, hi = max(low + 1, target - reach), min(high, target + reach)
-        for kind, places in self.cuts:
-            i, j = bisect_left(places, lo), bisect_right(places, hi)
-            if i < j:
-                k = bisect_left(places, target, i, j)
-                near = [places[x] for x in (k - 1, k) if i <= x < j]
-                return min(near, key=lambda p: (abs(p - target), p)), kind
-        return max(low + 1, min(target, high)), _ANY
-
-
-#: Piece counts tried beyond the least: to cut between rows only, and to keep the limit at all.
-MORE_FOR_ROWS, MORE_FOR_LIMIT = 2, 8
-
-
-def cut_points(flat: _Flat, room: int) -> list[tuple[int, str]]:
-    """Where pieces after the first begin, so that each has at most ``room`` code points.
-
-    The least number of pieces is taken with which all cuts are between rows, or else, of the first few numbers tried, that with
-    the fewest other cuts. Where no number keeps the limit at boundaries, pieces of equal length do.
-    """
-    least = max(1, -(-flat.size // room))
-    best: tuple[int, list[tuple[int, str]]] | None = None
-    for more in range(MORE_FOR_LIMIT + 1):
-        cuts = _balanced(flat, room, least + more)
-        if cuts is not None:
-            weak = sum(kind != _ROW for _, kind in cuts)
-            if not weak:
-                return cuts
-            if best is None or weak < best[0]:
-                best = (weak, cuts)
-        if best is not None and more >= MORE_FOR_ROWS:
-            return best[1]
-    return [(k * flat.size // least, _ANY) for k in range(1, least)]
-
-
-def _balanced(flat: _Flat, room: int, count: int) -> list[tuple[int, str]] | None:
-    """Cuts near ``count`` equal parts, or None if a part exceeds ``room``."""
-    size, step = flat.size, flat.size / count
-    cuts: list[tuple[int, str]] = []
-    low = 0
-    for k in range(1, count):
-        # What is left must fit into the pieces left.
-        least = size - (count - k) * room
-        high = min(low + room, size - 1)
-        if least > high:
-            return None
-        target = min(max(round(k * step), least, low + 1), high)
-        place, kind = flat.snap(target, max(low, least - 1), high, max(1, int(step / 2)))
-        if place <= low or place >= size:
-            return None
-        cuts.append((place, kind))
-        low = place
-    return cuts if size - low <= room else None
-
-
-def pieces(header: list[str] | None, rows: list[list[str] | None] | None, max_chars: int, overlap: int) -> list[dict]:
+class _Units:
+    """What is never cut, in order: (row, cell, char, texts), with sizes and the kinds of the boundaries before them."""
+
+    def __init__(self, header: list[str | None], rows: list[list[str | None]], limit: int, grain: int):
+        self.places: list[tuple[int, int, int]] = []
+        self.texts: list[list[str | None]] = []
+        self.kinds: list[str] = []
+        self.sums = [0]
+        for r, row in enumerate([header, *rows] if header else rows, -1 if header else 0):
+            if sum(len(c or "") for c in row) <= limit:
+                self._add(r, 0, 0, row, _ROW)
+                continue
+            for c, cell in enumerate(row):
+                kind = _CELL if c else _ROW
+                if len(cell or "") <= limit:
+                    self._add(r, c, 0, [cell], kind)
+                    continue
+                for at, part, how in _parts_of(cell, limit, grain):
+                    self._add(r, c, at, [part], how if at else kind)
+        # The places of each kind of boundary, and of all at least as strong.
+        self.cuts = [(kind, [k for k, x in enumerate(self.kinds) if x == kind]) for kind in (_ROW, _CELL, _SPACE, _ANY)]
+
+    def _add(self, r: int, c: int, at: int, texts: list[str | None], kind: str) -> None:
+        self.places.append((r, c, at))
+        self.texts.append(texts)
+        self.kinds.append(kind)
+        self.sums.append(self.sums[-1] + sum(len(x or "") for x in texts))
+
+    def size(self, a: int, b: int) -> int:
+        return self.sums[b] - self.sums[a]
+
+    def snap(self, target: float, low: int, high: int, reach: float) -> int:
+        """The unit from ``low`` to ``high`` before which to cut: at the strongest boundary within ``reach`` characters of the target, or else in the whole range; the nearest of its kind."""
+        sums = self.sums
+        near = max(low, bisect_left(sums, target - reach)), min(high, bisect_right(sums, target + reach) - 1)
+        middle = bisect_left(sums, target)
+        for lo, hi in (near, (low, high)):
+            for _, places in self.cuts:
+                i, j = bisect_left(places, lo), bisect_right(places, hi)
+                if i < j:
+                    k = bisect_left(places, middle, i, j)
+                    return min((places[x] for x in (k - 1, k) if i <= x < j), key=lambda u: (abs(sums[u] - target), u))
+        raise AssertionError("no boundary")
+
+    def last_rows(self, a: int, b: int, n: int) -> list[int]:
+        """Sizes of the last n rows (or parts of rows) of the units from a to b, in order."""
+        out: list[int] = []
+        k = b - 1
+        while k >= a and self.places[k][0] >= 0:
+            r, size = self.places[k][0], 0
+            while k >= a and self.places[k][0] == r:
+                size += self.size(k, k + 1)
+                k -= 1
+            if len(out) == n:
+                break
+            out.append(size)
+        return out[::-1]
+
+
+def _parts_of(cell: str, limit: int, grain: int) -> Iterator[tuple[int, str, str]]:
+    """(place, part, boundary before it) of a cell over the limit: its words with the white space after them, larger ones in parts of ``grain``."""
+    starts = [0, *(k for k in range(1, len(cell)) if cell[k - 1].isspace() and not cell[k].isspace()), len(cell)]
+    for a, b in zip(starts, starts[1:]):
+        if b - a <= limit:
+            yield a, cell[a:b], _SPACE
+        else:
+            for k in range(a, b, grain):
+                yield k, cell[k : min(k + grain, b)], _SPACE if k == a else _ANY
+
+
+class _Layout:
+    """Where pieces can end, given what they repeat."""
+
+    def __init__(self, units: _Units, head: int, limit: int, overlap: int):
+        self.units, self.head, self.limit, self.overlap = units, head, limit, overlap
+        self.n = len(units.places)
+
+    def begin(self, s: int, tail: list[int]) -> tuple[int, bool, int]:
+        """(repeated rows, whether the header is repeated, the furthest end) of a piece whose own units begin at s; ``tail``: sizes of the last rows of the piece before."""
+        used = self.units.size(s, s + 1)
+        again = 0
+        if s:
+            for size in reversed(tail):
+                if used + size > self.limit:
+                    break
+                used += size
+                again += 1
+        header = bool(s) and self.units.places[s][0] >= 0 and 0 < self.head <= self.limit - used
+        room = self.limit - used - header * self.head
+        return again, header, bisect_right(self.units.sums, self.units.sums[s + 1] + room) - 1
+
+    def tail(self, s: int, e: int, before: list[int], again: int) -> list[int]:
+        rows = self.units.last_rows(s, e, self.overlap) if self.overlap else []
+        if len(rows) < self.overlap and again:
+            rows = before[len(before) - again :][len(rows) - self.overlap :] + rows
+        return rows[-self.overlap :] if self.overlap else []
+
+    def least(self) -> int:
+        """How many pieces there are if each is filled up."""
+        s, count, tail = 0, 0, []
+        while s < self.n:
+            again, _, e = self.begin(s, tail)
+            tail = self.tail(s, e, tail, again)
+            s, count = e, count + 1
+        return count
+
+    def place(self, count: int) -> list[tuple[int, int, bool]] | None:
+        """(first unit, repeated rows, repeated header) of at most ``count`` pieces near equal length, or None if the last exceeds the limit."""
+        units, out, s, tail = self.units, [], 0, []
+        for left in range(count, 0, -1):
+            again, header, e = self.begin(s, tail)
+            out.append((s, again, header))
+            if e == self.n:
+                return out
+            if left == 1:
+                return None
+            step = units.size(s, self.n) / left
+            cut = units.snap(units.sums[s] + step, s + 1, e, step / 2)
+            tail = self.tail(s, cut, tail, again)
+            s = cut
+        return None
+
+    def pieces(self) -> list[tuple[int, int, bool]]:
+        """Adds pieces until all keep the limit; at one unit a piece they do."""
+        count = self.least()
+        while (found := self.place(count)) is None:
+            count = max(count + 1, count * 51 // 50)
+        return found
+
+
+def pieces(header: list[str] | None, rows: list[list[str] | None] | None, max_chars: int, overlap: int, header_share: float = HEADER_SHARE) -> list[dict]:
     """The pieces of one table; a table within the limit is one piece.
 
     Joining the pieces' own parts (without repeated header and rows) in order gives the table back: a cut inside a
     row splits it into two rows of which the second begins at cell start_cell, one inside a cell splits the cell at
-    start_char. A header that takes more than half of the limit isn't repeated: it is cut like a first row.
+    start_char. overlap_short counts wanted rows of the piece before that don't fit beside the piece's first own row (or part of a row). The header stands in the
+    first piece (start_row -1; cut like a row if it exceeds the limit) and again in those with header_repeated, unless it takes more
+    than ``header_share`` of the limit.
     """
     header, rows = list(header or []), [list(r) if r is not None else [] for r in rows or []]
     head = sum(len(h or "") for h in header)
     whole = head + sum(len(c or "") for r in rows for c in r)
     if whole <= max_chars:
-        return [dict(piece=0, n_pieces=1, header=header, rows=rows, n_chars=whole, header_repeated=False, overlap_rows=0, start_row=0, start_cell=0, start_char=0, cut="none")]
-    repeat = head * 2 <= max_chars
-    body = [(r, c, s) for r, row in enumerate(rows) for c, s in enumerate(row)]
-    if not repeat:
-        body = [(-1, c, s) for c, s in enumerate(header)] + body
-    room = max_chars - head if repeat else max_chars
-    flat = _Flat(body, len(rows))
-    cuts = cut_points(flat, max(1, room))
-    begins, ends = [0, *(p for p, _ in cuts)], [*(p for p, _ in cuts), flat.size]
+        return [dict(piece=0, n_pieces=1, header=header, rows=rows, n_chars=whole, header_repeated=False, overlap_rows=0, overlap_short=0, start_row=-1 if header else 0, start_cell=0, start_char=0, cut="none")]
+    repeat = head <= header_share * max_chars
+    units = _Units(header, rows, max_chars, max(1, (max_chars - repeat * head) // 4))
+    layout = _Layout(units, head if repeat else 0, max_chars, overlap)
+    starts = layout.pieces()
     out: list[dict] = []
-    done_rows: list[list[str | None]] = []
-    at = 0  # the first cell that isn't wholly given out
-    offset = 0
-    for k, (begin, end) in enumerate(zip(begins, ends)):
-        own: list[tuple[int, int, str | None]] = []
-        first = None
-        last_piece = k == len(begins) - 1
-        while at < len(body):
-            r, c, s = body[at]
-            start = flat.starts[at] + offset
-            length = len(s or "") - offset
-            # Empty cells at a seam stay with the row they belong to.
-            if start >= end and not last_piece and (length or not own or own[-1][0] != r or start > end):
-                break
-            take = length if last_piece else min(length, end - start)
-            if first is None:
-                first = (r, c, offset)
-            own.append((r, c, None if s is None else s[offset : offset + take]))
-            if take < length:
-                offset += take
-                break
-            at, offset = at + 1, 0
-        by_row: dict[int, list[str | None]] = {}
-        for r, _, s in own:
-            by_row.setdefault(r, []).append(s)
-        names = by_row.pop(-1, []) if not repeat else header
-        new_rows = list(by_row.values())
-        size = sum(len(s or "") for _, _, s in own) + (head if repeat else 0)
-        again: list[list[str | None]] = []
-        for row in reversed(done_rows[-overlap:] if overlap > 0 else []):
-            extra = sum(len(s or "") for s in row)
-            if size + extra > max_chars:
-                break
-            again.insert(0, row)
-            size += extra
-        out.append(dict(piece=k, n_pieces=len(begins), header=names, rows=again + new_rows, n_chars=size, header_repeated=repeat, overlap_rows=len(again), start_row=max(first[0], -1) if first else 0, start_cell=first[1] if first else 0, start_char=first[2] if first else 0, cut="none" if k == 0 else cuts[k - 1][1]))
-        done_rows = new_rows
+    before: list[list[str | None]] = []
+    for k, ((s, again, again_header), e) in enumerate(zip(starts, [*(x[0] for x in starts[1:]), len(units.places)])):
+        names: list[str | None] = list(header) if again_header else []
+        own: list[list[str | None]] = []
+        last = None
+        for u in range(s, e):
+            r, _, at = units.places[u]
+            if r < 0:
+                _join(names, units.texts[u], at and u > s)
+            elif r == last:
+                _join(own[-1], units.texts[u], at)
+            else:
+                own.append(list(units.texts[u]))
+            last = r
+        repeated = before[len(before) - again :] if again else []
+        size = units.size(s, e) + sum(len(c or "") for r in repeated for c in r) + again_header * head
+        row, cell, at = units.places[s]
+        out.append(dict(piece=k, n_pieces=len(starts), header=names, rows=repeated + own, n_chars=size, header_repeated=again_header, overlap_rows=again, overlap_short=min(overlap, len(before)) - again, start_row=row, start_cell=cell, start_char=at, cut=units.kinds[s] if k else "none"))
+        before = repeated + own
     return out
 
 
+def _join(row: list[str | None], texts: list[str | None], inside: int) -> None:
+    """Adds cells to a row; the first goes on the row's last cell if it begins inside it."""
+    if inside:
+        row[-1] += texts[0]
+    else:
+        row += texts
+
+
 def split_tables(records: DataFrame, max_chars: int, overlap_rows: int, key: str = "rec_no", table: str = "table") -> DataFrame:
     """The pieces of the tables over ``max_chars``: ``key`` and the columns of ``PIECE``, one row a piece.
 
     Tables within the limit aren't cut and don't come out, nor do null tables. Null rows become rows without cells, null
-    cells stay null. A limit under 1 is refused. Sizes are computed by native expressions, so only oversized tables
+    cells stay null, rows without cells stay rows. A limit under 1 is refused. Sizes are computed by native expressions, so only oversized tables
     reach Python. The rows that a piece repeats are the last of the piece before, as stored there.
     """
     if max_chars < 1 or overlap_rows < 0:
@@ -204,3 +249,34 @@ def split_corpora(corpora: dict[str, DataFrame], limits: DataFrame) -> DataFrame
     if found is None:
         raise ValueError("no limit names one of the corpora")
     return found
+
+
+def rejoined(pieces_: DataFrame, limits: DataFrame) -> DataFrame:
+    """What the pieces of each table amount to: (corpus, rec_no, text_md5, over_limit, wrong_overlap, short, cut_rows), one row a table.
+
+    text_md5 is that of the pieces' own parts in order; over_limit counts pieces over the limit, wrong_overlap pieces whose repeated rows aren't the last of
+    the piece before, short pieces that lack wanted rows though they would fit beside the piece's first row, cut_rows cuts inside a row of a table whose rows all fit.
+    A group is the pieces of one table.
+    """
+    text = lambda cells: F.array_join(F.transform(cells, lambda c: F.coalesce(c, F.lit(""))), "")
+    own = F.expr("slice(rows, overlap_rows + 1, size(rows))")
+    names = F.when(F.col("header_repeated"), F.lit("")).otherwise(text(F.col("header")))
+    sizes = F.transform("rows", lambda r: F.length(text(r)))
+    order = Window.partitionBy("corpus", "rec_no").orderBy("piece")
+    before = F.lag("rows").over(order)
+    p = pieces_.join(F.broadcast(limits.limit(1000).select("corpus", "max_chars", F.col("overlap_rows").alias("wanted"))), "corpus")
+    p = p.withColumn("own_text", F.concat(names, text(F.flatten(own)))).withColumn("before", before).withColumn("sizes", sizes)
+    p = p.withColumn("had", F.coalesce(F.size("before"), F.lit(0)))
+    same = F.expr("slice(before, had - overlap_rows + 1, overlap_rows) <=> slice(rows, 1, overlap_rows)")
+    wanted = F.least("wanted", "had")
+    needed = F.expr("aggregate(slice(before, had - overlap_rows, 1), 0, (n, r) -> n + aggregate(r, 0, (m, c) -> m + coalesce(length(c), 0)))")
+    first = F.coalesce(F.expr("sizes[overlap_rows]"), F.lit(0))
+    repeats = F.expr("aggregate(slice(sizes, 1, overlap_rows), 0, (n, x) -> n + x)")
+    short = (F.col("piece") > 0) & (F.col("overlap_rows") < wanted) & (repeats + needed + first <= F.col("max_chars"))
+    return p.groupBy("corpus", "rec_no").agg(
+        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "own_text"))), lambda x: x["own_text"]), "")).alias("text_md5"),
+        F.sum((F.col("n_chars") > F.col("max_chars")).cast("int")).alias("over_limit"),
+        F.sum((~(same | (F.col("overlap_rows") == 0))).cast("int")).alias("wrong_overlap"),
+        F.sum(short.cast("int")).alias("short"),
+        F.sum((F.col("cut").isin(_CELL, _SPACE, _ANY) & (F.col("start_row") >= 0)).cast("int")).alias("cut_rows"),
+    )

@@ -121,11 +121,9 @@ def joined_back(pieces):
     header, rows = [], []
     for p in pieces:
         own = [list(r) for r in p["rows"][p["overlap_rows"] :]]
-        if p["header_repeated"] or p["piece"] == 0 and not own:
-            header = p["header"] if p["header_repeated"] else header + p["header"]
-        elif p["header"]:
+        if not p["header_repeated"]:
             part = list(p["header"])
-            if p["piece"] and p["start_row"] == -1 and p["start_char"]:
+            if part and p["start_row"] == -1 and p["start_char"]:
                 header[-1] += part.pop(0)
             header += part
         if own and p["piece"] and p["start_row"] >= 0 and (p["start_cell"] or p["start_char"]):
@@ -134,11 +132,12 @@ def joined_back(pieces):
                 rows[-1][-1] += first.pop(0)
             rows[-1] += first
         rows += own
-    return header, [r for r in rows if r]
+    return header, rows
 
 
 def test_pieces_round_trip():
     r = random.Random(3)
+    chars = lambda row: sum(len(x or "") for x in row)
     word = lambda m: r.choice([None, "", "a b c", " ".join("w" * r.randint(1, 5) for _ in range(r.randint(0, m))), "字" * r.randint(0, m), "é😀" * r.randint(0, m)])
     for _ in range(1500):
         n = r.randint(0, 5)
@@ -149,7 +148,16 @@ def test_pieces_round_trip():
         assert all(size(p["header"], p["rows"]) == p["n_chars"] <= limit for p in out)
         assert all(p["overlap_rows"] <= overlap for p in out)
         assert (len(out) > 1) == (size(header, rows) > limit)
-        assert joined_back(out) == (header, [x for x in rows if x])
+        assert joined_back(out) == (header, rows)
+        if all(chars(x) <= limit for x in [header, *rows]):
+            assert all(p["cut"] == "row" for p in out[1:])
+        for a, b in zip(out, out[1:]):
+            k = b["overlap_rows"]
+            wanted = min(overlap, len(a["rows"]))
+            assert k <= wanted and b["overlap_short"] == wanted - k and (not k or b["rows"][:k] == a["rows"][-k:])
+            if k < wanted:  # one more row of the piece before wouldn't fit beside the first own row
+                first = b["rows"][k] if len(b["rows"]) > k else []
+                assert sum(map(chars, a["rows"][len(a["rows"]) - k - 1 :])) + (chars(first) if b["start_row"] >= 0 else chars(b["header"])) > limit
 
 
 def test_pieces_are_cut_between_rows_and_overlap():
@@ -157,8 +165,21 @@ def test_pieces_are_cut_between_rows_and_overlap():
     out = splitting.pieces(["ab", "cd"], rows, 64, 2)
     assert all(p["header"] == ["ab", "cd"] for p in out) and {p["cut"] for p in out[1:]} == {"row"}
     for a, b in zip(out, out[1:]):
-        k = b["overlap_rows"]
-        assert k >= 1 and b["rows"][:k] == a["rows"][-k:]
+        assert b["overlap_rows"] == 2 and b["rows"][:2] == a["rows"][-2:]
+    # Rows that leave no room for two in a piece make a piece each, however many they are.
+    out = splitting.pieces(["h"], [["x" * 60]] * 200, 100, 2)
+    assert len(out) == 200 and {p["cut"] for p in out[1:]} == {"row"} and {p["overlap_rows"] for p in out} == {0}
+
+
+def test_pieces_are_balanced_and_few():
+    r = random.Random(13)
+    for _ in range(50):
+        rows = [["x" * r.randint(1, 9), "y"] for _ in range(r.randint(50, 400))]
+        out = splitting.pieces(["h"], rows, 100, 1)
+        total = sum(len(c) for row in rows for c in row)
+        assert len(out) <= 1.1 * total / (100 - 1 - 10 - 9) + 2
+        own = [sum(len(c) for row in p["rows"][p["overlap_rows"] :] for c in row) for p in out]
+        assert min(own) >= 0.5 * max(own)
 
 
 def test_split_tables(spark):
