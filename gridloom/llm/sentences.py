@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 #: Documents that the weights are learned from; the sample is the least by hash of the id.
 TRAINING_DOCS = 2000
 ROUNDS = 5
-#: Occurrences that a context needs as evidence; contexts with fewer are judged by their shape.
-ENOUGH = 12
+#: By how much the right tag must win in training.
+MARGIN = 2.0
+#: Occurrences that a context needs as evidence that it can be an edge, and that it never is one; those with fewer are judged by less specific contexts.
+ENOUGH, NEVER = 12, 30
 #: Least share of block edges among the occurrences of a context that can be a sentence's edge.
 EDGE_SHARE = 0.02
 
@@ -280,7 +282,8 @@ def _plain(token: str, lower: bool = True) -> str:
 @lru_cache(maxsize=200_000)
 def _token(token: str) -> tuple[str, str, str]:
     """A token in plain form, its part after the last inner mark, and its shape."""
-    return _plain(token[-16:]), _plain(_IN_TOKEN.split(token)[-1][-16:]), _shape(token)
+    inner = _IN_TOKEN.split(token)[-1]
+    return _plain(token[-16:]), _plain((token if inner.isdigit() else inner)[-16:]), _shape(token)
 
 
 @lru_cache(maxsize=200_000)
@@ -344,8 +347,10 @@ _MARK, _CLOSED, _TOKEN, _INNER, _BEFORE, _SHAPE, _GAP, _OPENED, _AFTER, _TWO, _S
 
 def _left_keys(c: tuple) -> list[tuple]:
     """What stands before, from the most specific context to the most general."""
-    m = c[_MARK][:1] + "." * (len(c[_MARK]) > 1)
-    return [("bt", m, c[_BEFORE], c[_TOKEN]), ("t", m, c[_TOKEN]), ("i", m, c[_INNER]), ("b", m, c[_BEFORE]), ("bs", m, c[_BEFORE] == "^", c[_SHAPE]), ("m", m, c[_CLOSED] != "")]
+    m = c[_MARK][:1] + "." * (len(c[_MARK]) > 1) + c[_CLOSED]
+    # In scripts without spaces the last characters stand for the word.
+    suffix = [("e", m, c[_INNER][-4:])] if c[_INNER][-1:] > "\u2e80" else []
+    return [("bt", m, c[_BEFORE], c[_TOKEN]), ("t", m, c[_TOKEN]), ("i", m, c[_INNER]), *suffix, ("b", m, c[_BEFORE]), ("bs", m, c[_BEFORE] == "^", c[_SHAPE]), ("m", m)]
 
 
 def _right_keys(right: tuple[str, str, str]) -> list[tuple]:
@@ -386,21 +391,27 @@ class Evidence:
     def __init__(self, blocks: list[Block]):
         self.edge: Counter = Counter()
         self.within: Counter = Counter()
+        places: list[tuple] = []
         for b in blocks:
             if not _finished(b.string):
                 continue  # a heading, table or query, or cut off
             self.edge.update(_right_keys(_right(b, b.begin)[1:]))
             *within, edge = contexts(b, [*candidates(b), b.last])
             self.edge.update(_left_keys(edge))
+            places += within
             for c in within:
                 self.within.update(_left_keys(c))
+        # What follows is counted only after what can be an end.
+        for c in places:
+            if self.can_be_edge(_left_keys(c)):
                 self.within.update(_right_keys(c[_AFTER : _START + 1]))
 
     def can_be_edge(self, keys: list[tuple]) -> bool:
         for key in keys:
-            edge, within = self.edge[key], self.within[key]
-            if edge + within >= ENOUGH or key is keys[-1]:
-                return edge >= EDGE_SHARE * (edge + within) and edge > 0
+            edge, n = self.edge[key], self.edge[key] + self.within[key]
+            share = edge >= EDGE_SHARE * n and edge > 0
+            if key is keys[-1] or share and n >= ENOUGH or n >= NEVER:
+                return share
         return False
 
     def label(self, block: Block, c: tuple) -> bool:
@@ -418,7 +429,7 @@ def _features(block: Block, around: tuple) -> tuple[tuple, list[tuple]]:
     """n-grams around a character: (signs and shapes together, which are few, and words)."""
     mark, closed, token, inner, before, shape, gap, opened, after, two, start, place = around
     signs = (mark, closed, gap, start, shape, before == "^", place, opened, block.bar, min(len(after), 5))
-    words = [("t", mark, token), ("i", mark, inner), ("ti", inner, start), ("bt", before, token), ("b", mark, before), ("bs", before, shape), ("a", after, gap == _NONE), ("a2", two, start), ("ca", closed != "", after), ("c2", mark, two), ("f", block.first, mark)]
+    words = [("t", mark, token), ("i", mark, inner), ("e", mark, inner[-4:]), ("ti", inner, start), ("bt", before, token), ("b", mark, before), ("bs", before, shape), ("a", after, gap == _NONE), ("a2", two, start), ("ca", closed != "", after), ("c2", mark, two), ("f", block.first, mark)]
     return signs, words
 
 
@@ -558,7 +569,8 @@ def train(texts: list[str], rounds: int = ROUNDS) -> Model:
     for _ in range(rounds):
         for (_, fs, _), (places, gold, base) in rows.items():
             hop = [[weights["step", i, j] for j in (0, 1)] for i in (0, 1)]
-            got = viterbi(places, [b + sum([weights[f] for f in x if f in weights]) for b, x in zip(base, fs)], hop)
+            # The right tags must win by a margin.
+            got = viterbi(places, [b + (MARGIN if not g else -MARGIN) + sum([weights[f] for f in x if f in weights]) for b, g, x in zip(base, gold, fs)], hop)
             if got != gold:
                 for x, g, p in zip(fs, gold, got):
                     if g != p:
@@ -585,18 +597,16 @@ def _steps(places: list[int], tags: list[int]) -> Iterator[tuple]:
 
 
 def _windows(seen: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log odds of a boundary for every window, and whether one was ever seen there; rare windows count by their parts."""
+    """Log odds of a boundary for every window, and whether one can be there; rare windows are judged by their parts, the whole window but the class before or the own class."""
     size = len(seen)
     part, own = (np.array(x) for x in zip(*map(_backed_off, range(size))))
-    for weaker, n in ((own, _K), (part, _K * _GAPS * _K)):
-        less_seen, less_hits = np.bincount(weaker, seen, n), np.bincount(weaker, hits, n)
-        if weaker is own:
-            prior = (less_hits / np.maximum(less_seen, 1))[own]
-        else:
-            prior = ((less_hits[part] + prior * 2) / (less_seen[part] + 2))
-    share = (hits + prior * 2) / (seen + 2)
-    odds = np.log(np.maximum(share, 1e-6) / np.maximum(1 - share, 1e-6))
-    return odds, share > 1e-4
+    prior, can = np.zeros(size), np.zeros(size, bool)
+    for weaker in (own, part, np.arange(size)):
+        n = np.bincount(weaker, seen)[weaker]
+        hit = np.bincount(weaker, hits)[weaker]
+        prior = (hit + prior * 2) / (n + 2)
+        can = (hit > 0) | can & (n < NEVER)
+    return np.log(np.maximum(prior, 1e-6) / np.maximum(1 - prior, 1e-6)), can
 
 
 def sentence_ends(texts: list[str | None], model: Model) -> list[list[int]]:
