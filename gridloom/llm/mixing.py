@@ -4,9 +4,10 @@ The largest mix is made in which every source has its share and no record is use
 allows. That gives each source an expected number of copies a record: all records get the whole part,
 and the fraction is an inclusion probability. The flight phase moves the probabilities of three units at a time along
 the null-space of the balancing constraints (number of documents, size in characters), with the direction drawn
-so that expectations hold, until units reach 0 or 1. It runs in every partition without a shuffle and leaves two undecided units a
-partition and stratum; these fly once more together, and the last two are the landing problem, where the size
-constraint is dropped first.
+so that expectations hold, until units reach 0 or 1. Units fly in flocks of bounded size, which follow from
+their record numbers alone, in an order that does too; each flock leaves two undecided units, which fly on in fewer flocks
+until one is left. The last two of a mix and source are the landing problem, where the size constraint is dropped first; the larger units
+fly first in that flock, so that the ones that land are small. Nothing depends on partitions: any cluster makes the same mix.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ import random
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +23,8 @@ from gridloom.llm.splitting import table_chars
 from gridloom.llm.stage import stage
 
 _EPS = 1e-9
-#: Partitions whose undecided units fly together in one task; more take a round in between.
-FLOCK = 4096
+#: Units of a source that fly together, on average.
+FLOCK = 8192
 
 
 class Flight:
@@ -94,6 +94,10 @@ def plan(targets: list[dict], totals: dict[str, dict[str, float]]) -> dict[tuple
     return out
 
 
+#: What makes a record: two records that agree in all of these are one.
+CONTENT = ("page_key", "context", "question", "table", "mentions", "answers")
+
+
 def _usable(table: str) -> Column:
     """Some body cell that isn't blank."""
     cells = F.flatten(F.filter(F.col(f"`{table}`.rows"), lambda r: r.isNotNull()))
@@ -104,14 +108,15 @@ def units(corpora: dict[str, tuple[DataFrame, str | None]]) -> DataFrame:
     """The usable records (corpus, rec_no, chars), one of each content: (table, text column or None) by corpus.
 
     Unusable are records with a null rec_no, without a table or without any cell that isn't blank, and with a
-    null or blank text where the corpus has a text column. Records delivered again with the same content
-    are one record, kept under its least rec_no, so repeats are counted by content. chars are the code points of text, header and cells.
+    null or blank text where the corpus has a text column. Records delivered again with the same content (all columns but
+    rec_no and the times of creation and loading) are one record, kept under its least rec_no, so repeats are counted by content.
+    chars are the code points of text, header and cells.
     """
     found = None
     for name, (df, text) in corpora.items():
         ok = _usable("table") if text is None else _usable("table") & F.coalesce(F.length(F.trim(text)) > 0, F.lit(False))
-        also = [c for c in ("context", "question") if c in df.columns]
-        content = F.unhex(F.md5(F.to_json(F.struct(*also, "table"))))
+        fields = [c for c in CONTENT if c in df.columns]
+        content = F.unhex(F.md5(F.to_json(F.struct(*(F.col(f"`{c}`") for c in fields)), {"ignoreNullFields": "false"})))
         chars = table_chars("table") + (F.length(text) if text else F.lit(0))
         part = df.where(F.col("rec_no").isNotNull() & ok).select(F.lit(name).alias("corpus"), F.col("rec_no").cast("bigint"), chars.alias("chars"), content.alias("content"))
         found = part if found is None else found.union(part)
@@ -128,23 +133,36 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _fly(batches: Iterator[pa.RecordBatch], seed: str, land: bool) -> Iterator[pa.RecordBatch]:
-    """Flies rows of _FLOWN, a flight for each mix and corpus; what stays undecided comes out with its probability, or lands."""
-    flights: dict[tuple[int, str], Flight] = {}
+    """Flies rows of _FLOWN and their flock, sorted by mix, source and flock; what stays undecided comes out with its probability, or lands."""
+    at, flight = None, Flight("")
     for batch in batches:
-        out = []
-        for m, c, r, n, p in zip(*(batch.column(k).to_pylist() for k in range(5))):
-            f = flights.get((m, c))
-            if f is None:
-                f = flights[m, c] = Flight(f"{seed}:{m}:{c}")
-            out += [(m, c, r, n, q) for r, n, q in f.add(r, n, p)]
-        yield _batch(out)
-    yield _batch([(m, c, r, n, q) for (m, c), f in flights.items() for r, n, q in (f.land() if land else f.units)])
+        out: list[tuple] = []
+        for m, c, r, n, p, f in zip(*(batch.column(k).to_pylist() for k in range(6))):
+            if at != (m, c, f):
+                if at is not None:
+                    out += [(*at[:2], *x) for x in (flight.land() if land else flight.units)]
+                at, flight = (m, c, f), Flight(f"{seed}:{m}:{c}:{f}")
+            out += [(m, c, *x) for x in flight.add((r, n), n, p)]
+        yield _batch([(m, c, *key, q) for m, c, key, _, q in out])
+    if at is not None:
+        yield _batch([(*at[:2], *key, q) for key, _, q in (flight.land() if land else flight.units)])
+
+
+def _flown(units_: DataFrame, flocks: int, seed: str) -> DataFrame:
+    """One round over units of _FLOWN in ``flocks`` flocks a mix and source; the last, of one flock, lands."""
+    last = flocks == 1
+    # Records by hash of source and number: the same flocks and order whatever the partitions are.
+    spread = F.xxhash64(F.lit(seed), "corpus", "rec_no")
+    flock = F.lit(0) if last else F.pmod(spread, F.lit(flocks)).cast("int")
+    order = [F.desc("chars"), spread, F.col("rec_no")] if last else [spread, F.col("rec_no")]
+    rows = units_.withColumn("flock", flock).repartition("mix_id", "corpus", "flock").sortWithinPartitions("mix_id", "corpus", "flock", *order)
+    return rows.mapInArrow(lambda b: _fly(b, f"{seed}:{flocks}", last), _FLOWN)
 
 
 def mixed(corpora: dict[str, tuple[DataFrame, str | None]], targets: DataFrame, seed: int = 1) -> DataFrame:
     """The records of each mix: (mix_id, corpus, rec_no, copies, chars), copies 1 or more.
 
-    Shares are reached up to one or two records a source. Which records are taken depends on seed and partitions only.
+    Shares are reached up to one or two records a source. Which records are taken depends on the seed and the records only.
     ``targets`` is a table of parameters and goes to the driver, at most 10,000 rows.
     """
     rows = [r.asDict() for r in targets.limit(10_001).collect()]
@@ -153,30 +171,23 @@ def mixed(corpora: dict[str, tuple[DataFrame, str | None]], targets: DataFrame,
     base = stage(units(corpora))
     totals = {r["corpus"]: {"records": r["n"], "chars": r["chars"]} for r in base.groupBy("corpus").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).collect()}
     shares = plan(rows, totals)
-    by_corpus: dict[str, list[tuple[int, int, float]]] = {}
-    for (mix, corpus), (whole, p) in shares.items():
-        by_corpus.setdefault(corpus, []).append((mix, whole, p))
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId()
-
-        def spread() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield _batch([(m, c, r, n, p) for c, r, n in zip(*(batch.column(k).to_pylist() for k in range(3))) for m, _, p in by_corpus.get(c, ())])
-
-        return _fly(spread(), f"{seed}:{at}", False)
-
-    flown = stage(base.mapInArrow(first, _FLOWN))
-    done, left = flown.where("p = 0 or p = 1"), flown.where("p > 0 and p < 1")
-    again = max(1, base.rdd.getNumPartitions() // FLOCK)
-    if again > 1:
-        # Each task has the undecided units of many partitions and again leaves two a stratum.
-        left = stage(left.repartition(again, "rec_no").mapInArrow(lambda b: _fly(b, f"{seed}:again:{TaskContext.get().partitionId()}", False), _FLOWN))
-        done, left = done.union(left.where("p = 0 or p = 1")), left.where("p > 0 and p < 1")
-    landed = left.repartition(1).sortWithinPartitions("mix_id", "corpus", "rec_no").mapInArrow(lambda b: _fly(b, f"{seed}:land", True), _FLOWN)
-    whole = F.create_map(*(F.lit(x) for (m, c), (n, _) in shares.items() for x in (f"{m}:{c}", n))) if shares else F.create_map(F.lit(""), F.lit(0))
-    copies = (F.element_at(whole, F.concat_ws(":", "mix_id", "corpus")) + F.col("p")).cast("int")
-    return done.union(landed).select("mix_id", "corpus", "rec_no", copies.alias("copies"), "chars").where("copies > 0")
+    if not shares:
+        return base.limit(0).select(F.lit(0).alias("mix_id"), "corpus", "rec_no", F.lit(0).alias("copies"), "chars")
+    table = F.create_map(*(F.lit(x) for c in sorted({c for _, c in shares}) for x in (c, F.array(*(F.struct(F.lit(m).alias("m"), F.lit(n).alias("n"), F.lit(p).alias("p")) for (m, k), (n, p) in shares.items() if k == c)))))
+    every = base.select("corpus", "rec_no", "chars", F.explode(F.element_at(table, F.col("corpus"))).alias("x")).select(F.col("x.m").alias("mix_id"), "corpus", "rec_no", "chars", "x.n", "x.p")
+    whole = F.create_map(*(F.lit(x) for (m, c), (n, _) in shares.items() for x in (f"{m}:{c}", n)))
+    decided = every.where(f"n > 0 and p <= {_EPS}").select("mix_id", "corpus", "rec_no", F.col("n").alias("copies"), "chars")
+    left = every.where(f"p > {_EPS}").select("mix_id", "corpus", "rec_no", "chars", "p")
+    copies = (F.element_at(whole, F.concat_ws(":", "mix_id", "corpus")) + F.col("p")).cast("int").alias("copies")
+    flocks = max([-(-t["records"] // FLOCK) for t in totals.values()], default=1)
+    while True:
+        # Each flock leaves two units, so a round thins what is undecided by a factor of FLOCK / 2.
+        flown = stage(_flown(left, flocks, str(seed)))
+        decided = decided.union(flown.where("p = 0 or p = 1").select("mix_id", "corpus", "rec_no", copies, "chars").where("copies > 0"))
+        if flocks == 1:
+            return decided
+        left = flown.where("p > 0 and p < 1")
+        flocks = -(-2 * flocks // FLOCK)
 
 
 def shares(mix: DataFrame, targets: DataFrame) -> DataFrame:
