@@ -1,19 +1,23 @@
 """Problem 4: groups of records that differ by small edits, by meet-in-the-middle ball hashing.
 
-Every record is a set of terms in one fixed order, rare terms first. Its fingerprint is the head of that
-order. Two sets of likeness t or more share so many terms that each fingerprint turns into a common
-subset by deletions alone: the subset is the middle between the two, half the radius from either. So each
-fingerprint emits all variants within half the radius, variants are shuffled, and colliding pairs are
-deduplicated and verified on the whole sets. How many terms a variant keeps is decided while they are
-chosen: a chain of terms ends as soon as their estimated joint frequency is low, so rare terms stand alone
-and frequent ones are refined by up to ``MAX_KEPT`` terms. The decision depends on the terms only, hence both
-sides of a pair end in the same variant and no pair is lost, whatever the counts are.
+Two sets of n and m terms of likeness t or more differ in at most (1 - t) / (1 + t) (n + m) terms: the radius. What they share is
+the middle: each reaches it by deleting at most ``half_radius`` of its own terms, half the radius for sets of one size. Terms stand in one
+fixed order, rare ones first. For each number k of kept terms, the fingerprint of a set is its first
+half_radius + k terms, and its ball are all variants of the fingerprint with half_radius deletions. At
+most half_radius of these terms aren't shared, so the first k shared terms of both sets are a variant in both balls. Every
+fingerprint emits its variants, variants are shuffled, and colliding pairs are deduplicated and verified on the whole sets.
+
+k follows from the terms: a chain of kept terms ends as soon as their estimated joint frequency is low, so rare terms
+stand alone and frequent ones are refined, up to ``depth`` terms, the most with which a ball has at most ``MAX_BALL`` variants. The
+decision depends on the terms and the sizes that a partner can have only, hence both sides of a pair end in the same variant and no pair is
+lost, whatever the counts are.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,24 +29,50 @@ from gridloom.llm.stage import stage
 
 #: Records that may share a variant on average before it keeps a further term.
 BALL_SIZE = 4
-#: Most terms of a variant.
-MAX_KEPT = 4
-#: Variants are counted in 2**HOT_BITS buckets to find hot ones; fewer than HOT_LEAST sets aren't a hot bucket.
-HOT_BITS, HOT_LEAST = 16, 1000
+#: Most terms of a variant, and most variants of a ball.
+MAX_KEPT, MAX_BALL = 4, 1000
+#: A variant of more sets than this is hot.
+HOT = 1000
 SMALLER, LARGER, EQUAL = 0, 1, 2
 _MASK64 = (1 << 64) - 1
 _MIX = 0x9E3779B97F4A7C15
+_VARIANT = "variant bigint, first int, id bigint, n int, sign bigint"
+
+
+def least_shared(n: int, threshold: float) -> int:
+    """How many terms a set of n terms shares at least with a like one."""
+    return max(1, math.ceil(threshold * n - 1e-9))
+
+
+def half_radius(n: int, threshold: float) -> int:
+    """How many terms of a set of n terms a like one may lack at most."""
+    return n - least_shared(n, threshold)
+
+
+@lru_cache(maxsize=100_000)
+def depth(n: int, threshold: float) -> int:
+    """The most terms that variants keep, so that a ball has at most MAX_BALL; a single one is always allowed."""
+    h = half_radius(n, threshold)
+    return max((k for k in range(2, MAX_KEPT + 1) if math.comb(h + k, k) <= MAX_BALL), default=1)
+
+
+@lru_cache(maxsize=100_000)
+def stops(n: int, threshold: float) -> frozenset[int]:
+    """The depths at which a set of n terms and its partners, of any size a like set can have, may end."""
+    return frozenset(range(depth(math.floor(n / threshold + 1e-9), threshold), depth(least_shared(n, threshold), threshold) + 1))
 
 
 def ball(terms: np.ndarray, counts: np.ndarray, total: int, threshold: float, noise: float = 0.0) -> tuple[list[int], list[int]]:
     """All variants of one set, and the place of the first kept term of each in the set's order.
 
-    ``counts`` by bucket, ``total`` the number of sets, ``noise`` what other terms add to a bucket on average.
+    ``counts`` by bucket, ``total`` the number of sets, ``noise`` what other terms add to a bucket on average. The number of variants has a
+    bound that the counts don't change: the ball of each depth in ``stops``, and of the least number of shared terms where that is less.
     """
     n = len(terms)
-    need = max(1, math.ceil(threshold * n - 1e-9))
+    need, ends = least_shared(n, threshold), stops(n, threshold)
+    deepest = max(ends)
     freq = counts[terms & ((1 << SKETCH_BITS) - 1)]
-    order = np.lexsort((terms, freq))[: n - need + MAX_KEPT]
+    order = np.lexsort((terms, freq))[: n - need + deepest]
     head, freq = terms[order].tolist(), np.maximum(freq[order] - noise, 1).tolist()
     # A single term's count may also exceed the size by what chance adds to a bucket.
     single = BALL_SIZE + 2 * math.sqrt(noise)
@@ -55,14 +85,12 @@ def ball(terms: np.ndarray, counts: np.ndarray, total: int, threshold: float, no
             h = ((mixed * _MIX) & _MASK64) ^ (head[i] & _MASK64)
             e = expected * freq[i] / total
             at = begin if kept else i
-            if e <= (BALL_SIZE if kept else single) or kept + 1 == MAX_KEPT:
+            rare = e <= (BALL_SIZE if kept else single)
+            if rare or kept + 1 in ends or kept + 1 >= need:
                 out.append(h)
                 first.append(at)
-            else:
-                if kept + 1 >= need:
-                    out.append(h)
-                    first.append(at)
-                # A larger partner can need more shared terms, so a short chain goes on besides.
+            # A partner can end deeper, so a chain that isn't rare goes on besides.
+            if not rare and kept + 1 < deepest:
                 extend(i + 1, h, e, kept + 1, at)
 
     extend(0, 1, total, 0, 0)
@@ -82,88 +110,70 @@ def split_by_size(variant: int, n: int, first: int, threshold: float) -> list[tu
     return out
 
 
-class _Balls:
-    """The variants of all sets of a table (id, terms)."""
-
-    def __init__(self, sets: DataFrame, threshold: float):
-        self.sets, self.threshold = sets, threshold
-        counts, self.total = bucket_counts(sets, "terms"), max(1, sets.count())
-        self.noise = float(counts.sum()) / len(counts)
-        self.counts = sets.sparkSession.sparkContext.broadcast(counts.astype(np.int32 if self.total < 1 << 31 else np.int64))
-        self.hot = np.zeros(1 << HOT_BITS, bool)
-        self.hot = self._hot()
-
-    def _hot(self) -> np.ndarray:
-        """Buckets of variants that hold a variant of a thousandth of all sets, or more; found by counts of a fixed size."""
-        shared, total, threshold, noise = self.counts, self.total, self.threshold, self.noise
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n = np.zeros(1 << HOT_BITS, np.int64)
-            for batch in batches:
-                ends, flat = batch.column(0).offsets.to_numpy(), batch.column(0).values.to_numpy()
-                for lo in range(0, batch.num_rows, 1024):
-                    at = ends[lo : lo + 1025]
-                    got = [x >> (64 - HOT_BITS) for a, b in zip(at, at[1:]) for x in ball(flat[a:b], shared.value, total, threshold, noise)[0]]
-                    n += np.bincount(np.array(got, np.int64), minlength=len(n))
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["b", "n"])
-
-        got = self.sets.select("terms").mapInArrow(run, "b int, n bigint").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
-        n = np.zeros(1 << HOT_BITS, np.int64)
-        n[got.column("b").to_numpy()] = got.column("n").to_numpy()
-        return n > 2 * n.mean() + max(HOT_LEAST, self.total / 1000)
-
-    def variants(self, cross: bool) -> DataFrame:
-        """(variant, role, id, n, sign): those that meet others of their own kind, or for ``cross`` SMALLER and LARGER ones of hot buckets."""
-        shared, total, threshold, noise, hot = self.counts, self.total, self.threshold, self.noise, self.hot
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            counts = shared.value
-            for batch in batches:
-                ids = batch.column(0).to_numpy()
-                ends, flat = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
-                for lo in range(0, len(ids), 1024):
-                    found, roles, sizes, signs = [], [], [], []
-                    for k in range(lo, min(lo + 1024, len(ids))):
-                        terms = flat[ends[k] : ends[k + 1]]
-                        got, first = ball(terms, counts, total, threshold, noise)
-                        got = np.array(got, np.uint64)
-                        is_hot = hot[(got >> np.uint64(64 - HOT_BITS)).astype(np.int64)]
-                        split = [x for j in np.flatnonzero(is_hot) for x in split_by_size(int(got[j]), len(terms), first[j], threshold) if (x[1] != EQUAL) == cross]
-                        own = [got[:0] if cross else got[~is_hot], np.array([x[0] for x in split], np.uint64)]
-                        found += own
-                        roles += [np.full(len(own[0]), EQUAL, np.int32), np.array([x[1] for x in split], np.int32)]
-                        sizes.append(len(own[0]) + len(own[1]))
-                        signs.append(signature(terms))
-                    n = np.diff(ends[lo : lo + len(sizes) + 1]).astype(np.int32)
-                    rest = (np.repeat(c, sizes) for c in (ids[lo : lo + 1024], n, np.array(signs, np.uint64).view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.concatenate(found).view(np.int64), np.concatenate(roles), *rest)], ["variant", "role", "id", "n", "sign"])
-
-        return self.sets.select("id", "terms").mapInArrow(run, "variant bigint, role int, id bigint, n int, sign bigint")
+def variants(sets: DataFrame, threshold: float) -> DataFrame:
+    """The balls of all sets (id, terms): the columns of _VARIANT."""
+    counts, total = bucket_counts(sets, "terms"), max(1, sets.count())
+    noise = float(counts.sum()) / len(counts)
+    shared = sets.sparkSession.sparkContext.broadcast(counts.astype(np.int32 if total < 1 << 31 else np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            ends, flat = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
+            for lo in range(0, len(ids), 1024):
+                found, firsts, sizes, signs = [], [], [], []
+                for k in range(lo, min(lo + 1024, len(ids))):
+                    terms = flat[ends[k] : ends[k + 1]]
+                    got, first = ball(terms, counts, total, threshold, noise)
+                    found.append(np.array(got, np.uint64))
+                    firsts.append(np.array(first, np.int32))
+                    sizes.append(len(got))
+                    signs.append(signature(terms))
+                n = np.diff(ends[lo : lo + len(sizes) + 1]).astype(np.int32)
+                rest = (np.repeat(c, sizes) for c in (ids[lo : lo + 1024], n, np.array(signs, np.uint64).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.concatenate(found).view(np.int64), np.concatenate(firsts), *rest)], ["variant", "first", "id", "n", "sign"])
+
+    return sets.select("id", "terms").mapInArrow(run, _VARIANT)
+
+
+def _by_size(hot: DataFrame, threshold: float) -> DataFrame:
+    """Variants of _VARIANT as one row (variant, role, id, n, sign) for each size that a like set may have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(key, role, k) for k, (v, first, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3)))) for key, role in split_by_size(v & _MASK64, n, first, threshold)]
+            keys, roles, at = (np.array(c) for c in zip(*rows)) if rows else (np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int64))
+            at = pa.array(at.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.uint64).view(np.int64)), pa.array(roles.astype(np.int32)), *(batch.column(c).take(at) for c in (2, 3, 4))], ["variant", "role", "id", "n", "sign"])
+
+    return hot.mapInArrow(run, "variant bigint, role int, id bigint, n int, sign bigint")
 
 
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     """All pairs of different sets of a likeness of ``threshold`` or more: (a, b, likeness), a < b.
 
-    ``sets`` has id BIGINT (unique) and terms ARRAY<BIGINT> (no repeats, not empty) and is read several times. A variant that many
-    sets share without being alike is split by the sizes that its sets and their partners can have, so sets of one size that can't be alike
-    aren't paired.
+    ``sets`` has id BIGINT (unique) and terms ARRAY<BIGINT> (no repeats, not empty) and is read several times. Variants are counted
+    exactly; those of one set go, and those of more than ``HOT`` sets are split by the sizes that the sets and their partners can have, so sets
+    of one size that can't be alike aren't paired.
     """
-    balls = _Balls(sets, threshold)
+    found = stage(variants(sets, threshold))
+    counts = found.groupBy("variant").agg(F.count("*").alias("n_sets")).where("n_sets > 1")
+    met = found.join(counts, "variant")
 
     def sides(x: DataFrame, y: DataFrame) -> DataFrame:
         x, y = (v.select("variant", F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sign").alias(f"s{c}")) for c, v in (("a", x), ("b", y)))
         # Most chance collisions go before anything is looked up.
-        may = may_be_like(F.col("sa"), F.col("na"), F.col("sb"), F.col("nb"), threshold)
-        return x.join(y, "variant").where(may)
-
-    v = balls.variants(False).drop("role")
-    pairs = sides(v, v).where("a < b").select("a", "b")
-    if balls.hot.any():
-        v = stage(balls.variants(True))
-        met = sides(v.where(F.col("role") == SMALLER), v.where(F.col("role") == LARGER))
-        pairs = pairs.union(met.select(F.least("a", "b"), F.greatest("a", "b")))
-    pairs = pairs.distinct()
+        sizes = F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9
+        return x.join(y, "variant").where(sizes & may_be_like(F.col("sa"), F.col("na"), F.col("sb"), F.col("nb"), threshold))
+
+    few = met.where(F.col("n_sets") <= HOT)
+    pairs = sides(few, few).where("a < b").select("a", "b")
+    hot = stage(_by_size(met.where(F.col("n_sets") > HOT).drop("n_sets"), threshold))
+    equal = hot.where(F.col("role") == EQUAL)
+    pairs = pairs.union(sides(equal, equal).where("a < b").select("a", "b"))
+    other = sides(hot.where(F.col("role") == SMALLER), hot.where(F.col("role") == LARGER))
+    pairs = pairs.union(other.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
     left = sets.select(F.col("id").alias("a"), F.col("terms").alias("ta"))
     right = sets.select(F.col("id").alias("b"), F.col("terms").alias("tb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", likeness(F.col("ta"), F.col("tb")).alias("likeness")).where(F.col("likeness") >= threshold - 1e-12)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, leaks, lookalikes, mixing, near_duplicates, sentences, split_overlap, splitting
 
@@ -59,7 +60,12 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return lookalikes.lookalike_answers(_read(spark, folder, "wtq"))
+    return lookalikes.lookalike_answers(_read(spark, folder, "wtq")).select("rec_no", "ans_pos")
+
+
+def p5_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """How many cases there are of each kind of difference."""
+    return lookalikes.lookalike_answers(_read(spark, folder, "wtq")).groupBy("kind").agg(F.count("*").alias("n_cases"))
 
 
 def p5_forms(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,7 +73,7 @@ def p5_forms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p7_leaks(spark, folder).select("doc_id", "item_id")
+    return p7_leaks(spark, folder).where(F.col("kind") == leaks.PHRASE).select("doc_id", "item_id")
 
 
 def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
@@ -95,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_groups": p4_groups,
         "p5_found": p5_found,
         "p5_forms": p5_forms,
+        "p5_kinds": p5_kinds,
         "p6_ids": p6_ids,
         "p7_found": p7_found,
         "p7_leaks": p7_leaks,

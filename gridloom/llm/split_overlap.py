@@ -1,18 +1,26 @@
 """Problem 1: records of evaluation splits that stand, exactly or almost, in the training split.
 
-A weighted cosine join between the splits. Records become unit vectors of term weights, tables (terms are
-cells) first and then questions (terms are words) inside pairs of like tables. Each side indexes a vector
-from the term on at which the part before could reach the threshold: terms are taken from the most
-frequent to the rarest, and the part so far is bounded by its dot product with the largest weights that the
-other side has for its terms, and by its norm, as the other vector's is 1. Since the order of terms is one
-for both sides, the rarest shared term of a pair above the threshold lies in the indexed part of both;
-inverted lists of the indexed parts are joined and the exact dot product decides.
-
-A likeness t (shared over either) of two sets means a cosine of at least 2t / (1 + t) with equal weights.
+A weighted cosine join between the splits, for tables (terms are cells) first and then for questions (terms are words) inside pairs
+of like tables. A term t weighs w(t), with w(t)² from 1, for a term of all vectors, to 1 + ``SPREAD``, for a term of one: rare
+terms count more. What is looked for are pairs of a likeness (shared terms over terms of either) of j or more, so the
+cosine that such a pair must have is derived for each vector:
+
+  Let a vector have n terms, L the mean squared weight of its ceil(j n) lightest ones, and c = 2j / (1 + j). A pair of
+  likeness j shares k >= j n terms on both sides and k >= c sqrt(n n') (k >= c (n + n') / 2). The k shared terms weigh at least as
+  much as the k lightest, whose mean is at least L, so the dot product of the weights is at least k L and k L', hence
+  at least k sqrt(L L') >= c sqrt(n L) sqrt(n' L').
+
+Vectors are scaled by 1 / sqrt(c n L), and a pair qualifies if its dot product is 1 or more: no pair of the likeness is lost,
+whatever the weights are. Each side indexes a vector from the term on at which the part before could reach 1: terms are taken from the most
+frequent to the rarest, and the part so far is bounded by its dot product with the largest weights that vectors of the
+other side have for its terms, and by its norm times the largest norm that a vector can have, 1 + SPREAD (1 - j) over c (squared). Since the order of terms is one
+for both sides, the rarest shared term of a qualifying pair lies in the indexed part of both;
+inverted lists of the indexed parts are joined and the exact dot product decides, and the likeness after it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,76 +28,119 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.sets import SKETCH_BITS, bucket_of, joined_cells, may_be_like, signature, term_sets
+from gridloom.llm.sets import joined_cells, may_be_like, signature, term_sets
 from gridloom.llm.stage import stage
 
 TRAIN, EVAL = 0, 1
+#: By how much the squared weight of a term of one vector exceeds that of a term of all.
+SPREAD = 1.0
+_VECTOR = "id bigint, side int, terms array<bigint>, weights array<double>, scale double, index array<bigint>, sign bigint"
 
 
-class _Stats:
-    """Of each bucket of terms: how many vectors hold one, and the largest weight in each split. A fixed size."""
-
-    def __init__(self, vectors: DataFrame):
-        size = 1 << SKETCH_BITS
-        got = (
-            vectors.select("side", F.explode("terms").alias("t"), (1 / F.sqrt(F.size("terms"))).cast("float").alias("w"))
-            .groupBy(bucket_of(F.col("t")).cast("int").alias("b"))
-            .agg(F.count("*").alias("n"), *(F.max(F.when(F.col("side") == s, F.col("w"))).alias(f"w{s}") for s in (TRAIN, EVAL)))
-            .toArrow()
-        )
-        at = got.column("b").to_numpy()
-        self.count = np.zeros(size, np.int64)
-        self.count[at] = got.column("n").to_numpy()
-        self.largest = np.zeros((2, size), np.float32)
-        for s in (TRAIN, EVAL):
-            self.largest[s, at] = got.column(f"w{s}").fill_null(0).to_numpy()
-
-
-def indexed_part(terms: np.ndarray, other_largest: np.ndarray, count: np.ndarray, least: float) -> np.ndarray:
-    """The terms to index of one unit vector of equal weights, for cosines of ``least`` or more."""
-    n = len(terms)
-    if not n:
-        return terms
-    bucket = terms & ((1 << SKETCH_BITS) - 1)
-    order = np.lexsort((terms, count[bucket]))[::-1]
-    reach = np.cumsum(other_largest[bucket[order]] * (1.0001 / np.sqrt(n)))  # weights are kept as 32-bit floats
-    norm = np.sqrt(np.arange(1, n + 1) / n)
-    kept = order[np.minimum(reach, norm) >= least - 1e-9]
-    # Terms that the other split lacks can't be shared.
-    return terms[kept][other_largest[bucket[kept]] > 0]
-
-
-def _index(vectors: DataFrame, stats: _Stats, least: float) -> DataFrame:
-    """(id, side, index ARRAY<BIGINT>, n, sign) of vectors (id, side, terms)."""
-    shared = vectors.sparkSession.sparkContext.broadcast((stats.count, stats.largest))
+def squared_weights(count: np.ndarray, total: int) -> np.ndarray:
+    """From 1 to 1 + SPREAD by the logarithm of how rare the terms are among ``total`` vectors."""
+    return 1 + SPREAD * (1 - np.log(np.minimum(count, total)) / math.log(max(total, 2)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, largest = shared.value
-        for batch in batches:
-            sides = batch.column(1).to_numpy()
-            ends, flat = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy()
-            vectors = [flat[a:b] for a, b in zip(ends, ends[1:])]
-            parts = [indexed_part(v, largest[1 - s], count, least) for v, s in zip(vectors, sides)]
-            index = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *parts])))
-            n, sign = np.diff(ends).astype(np.int32), np.array([signature(v) for v in vectors], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), index, pa.array(n), pa.array(sign)], ["id", "side", "index", "n", "sign"])
 
-    return vectors.select("id", "side", "terms").mapInArrow(run, "id bigint, side int, index array<bigint>, n int, sign bigint")
+def scaling(squares: np.ndarray, likeness: float) -> float:
+    """1 / sqrt(c n L) of a vector, see above."""
+    n = len(squares)
+    light = np.sort(squares)[: math.ceil(likeness * n - 1e-9)]
+    return 1 / math.sqrt(2 * likeness / (1 + likeness) * n * light.mean())
+
 
+def indexed(terms: np.ndarray, squares: np.ndarray, count: np.ndarray, other_least: np.ndarray, likeness: float) -> np.ndarray:
+    """Which terms of a vector to index, as a mask.
+
+    ``count``: vectors of both sides with the term, ``other_least``: the fewest terms that a vector of the other side with this term has, 0 if none has it.
+    """
+    c = 2 * likeness / (1 + likeness)
+    order = np.lexsort((terms, count))[::-1]
+    x2 = squares * scaling(squares, likeness) ** 2
+    # The other side's weights of a term are at most w / sqrt(c n'), as its L' is 1 or more.
+    largest = np.where(other_least > 0, np.sqrt(squares / (c * np.maximum(other_least, 1))), 0)
+    reach = np.cumsum((np.sqrt(x2) * largest)[order])
+    norm = np.sqrt(np.cumsum(x2[order]) * (1 + SPREAD * (1 - likeness)) / c)
+    keep = np.zeros(len(terms), bool)
+    keep[order[np.minimum(reach, norm) >= 1 - 1e-9]] = True
+    return keep & (other_least > 0)
+
+
+def weighted(vectors: DataFrame, likeness: float) -> DataFrame:
+    """Vectors (id, side, terms) with the weights, scale, terms to index and signature of _VECTOR.
+
+    Term statistics are exact, from a grouping of all terms; a term that many vectors hold has one row of them, so its join can be split.
+    """
+    total = vectors.count()
+    flat = vectors.select("id", "side", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    least = [F.min(F.when(F.col("side") == s, F.col("n"))).alias(f"least{s}") for s in (TRAIN, EVAL)]
+    stats = flat.groupBy("term").agg(F.count("*").alias("count"), *least)
+    other = F.coalesce(F.when(F.col("side") == TRAIN, F.col(f"least{EVAL}")).otherwise(F.col(f"least{TRAIN}")), F.lit(0))
+    # All terms of one vector come together again: as many as the record has.
+    rows = flat.join(stats, "term").groupBy("id", "side").agg(F.collect_list(F.struct("term", "count", other.cast("bigint").alias("other"))).alias("x"))
 
-def _verified(pairs: DataFrame, vectors: DataFrame, likeness: float, name: str) -> DataFrame:
-    """Pairs (a, b) whose exact dot product gives the likeness; adds ``name``."""
-    x = vectors.where(F.col("side") == TRAIN).select(F.col("id").alias("a"), F.col("terms").alias("ta"))
-    y = vectors.where(F.col("side") == EVAL).select(F.col("id").alias("b"), F.col("terms").alias("tb"))
-    dot = F.size(F.array_intersect("ta", "tb"))  # times the two weights
-    like = dot / (F.size("ta") + F.size("tb") - dot)
-    return pairs.join(x, "a").join(y, "b").withColumn(name, like).where(F.col(name) >= likeness - 1e-12).drop("ta", "tb")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = batch.column(2).offsets.to_numpy()
+            term, count, other = (x.to_numpy() for x in batch.column(2).values.flatten())
+            squares = squared_weights(count, total)
+            scales, keeps, signs = [], [np.empty(0, bool)], []
+            for a, b in zip(ends, ends[1:]):
+                scales.append(scaling(squares[a:b], likeness))
+                keeps.append(indexed(term[a:b], squares[a:b], count[a:b], other[a:b], likeness))
+                signs.append(signature(term[a:b]))
+            keep = np.concatenate(keeps)
+            offsets = pa.array(ends - ends[0], pa.int32())
+            kept = pa.array(np.concatenate([[0], np.cumsum(keep)])[ends - ends[0]], pa.int32())
+            own = slice(ends[0], ends[-1])
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(term[own])), pa.ListArray.from_arrays(offsets, pa.array(squares[own])), pa.array(scales, pa.float64()), pa.ListArray.from_arrays(kept, pa.array(term[own][keep]))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists, pa.array(np.array(signs, np.uint64).view(np.int64))], ["id", "side", "terms", "weights", "scale", "index", "sign"])
+
+    return rows.mapInArrow(run, _VECTOR)
+
+
+def _qualifying(pairs: DataFrame, vectors: DataFrame, likeness: float, name: str) -> DataFrame:
+    """Pairs (a, b, and other BIGINT or DOUBLE columns) whose dot product reaches 1 and whose sets have the likeness; adds ``name``_likeness and ``name``_cosine."""
+    x = vectors.where(F.col("side") == TRAIN).select(F.col("id").alias("a"), F.struct("terms", "weights", "scale").alias("va"))
+    y = vectors.where(F.col("side") == EVAL).select(F.col("id").alias("b"), F.struct("terms", "weights", "scale").alias("vb"))
+    rest = [c for c in pairs.columns if c not in ("a", "b")]
+    kinds = dict(pairs.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = []
+            for k in (0, 1):
+                terms, weights, scale = batch.column(k).flatten()
+                sides.append((terms.offsets.to_numpy(), terms.values.to_numpy(), weights.values.to_numpy(), scale.to_numpy()))
+            (ea, ta, wa, sa), (eb, tb, _, sb) = sides
+            wb = sides[1][2]
+            dots, likes, cosines = [], [], []
+            for k in range(batch.num_rows):
+                one, two = slice(ea[k], ea[k + 1]), slice(eb[k], eb[k + 1])
+                _, at, _ = np.intersect1d(ta[one], tb[two], assume_unique=True, return_indices=True)
+                dot = wa[one][at].sum()
+                dots.append(dot * sa[k] * sb[k])
+                likes.append(len(at) / (ea[k + 1] - ea[k] + eb[k + 1] - eb[k] - len(at)))
+                cosines.append(dot / math.sqrt(wa[one].sum() * wb[two].sum()))
+            likes = np.array(likes, np.float64)
+            found = pa.array((np.array(dots) >= 1 - 1e-9) & (likes >= likeness - 1e-12), pa.bool_())
+            cols = [*(batch.column(k) for k in range(2, batch.num_columns)), pa.array(likes), pa.array(cosines, pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, ["a", "b", *rest, f"{name}_likeness", f"{name}_cosine"]).filter(found)
+
+    schema = ", ".join(["a bigint", "b bigint", *(f"{c} {kinds[c]}" for c in rest), f"{name}_likeness double", f"{name}_cosine double"])
+    return pairs.join(x, "a").join(y, "b").select("va", "vb", "a", "b", *rest).mapInArrow(run, schema)
+
+
+def _may(likeness: float):  # noqa: ANN202
+    """Whether two listed vectors can have the likeness, by their sizes and signatures."""
+    sizes = F.least("na", "nb") >= likeness * F.greatest("na", "nb") - 1e-9
+    return sizes & may_be_like(F.col("sa"), F.col("na"), F.col("sb"), F.col("nb"), likeness)
 
 
 def overlaps(records: DataFrame, likeness: float = 0.6) -> DataFrame:
     """All pairs of a training and an evaluation record with like questions and like tables.
 
-    ``records``: rec_no, split, question, table. Gives train_rec, eval_rec, question_likeness, table_likeness,
+    ``records``: rec_no, split, question, table. Gives train_rec, eval_rec, question_likeness, question_cosine, table_likeness, table_cosine (weighted),
     each pair once. split 'train' is training, 'validation' and 'test' are evaluation; others, null rec_no and
     records without any word in the question or any cell in the table can't be like one and don't come out.
     Rows with equal sets are one class until the end, so a text that fills a third of a split is compared
@@ -99,7 +150,6 @@ def overlaps(records: DataFrame, likeness: float = 0.6) -> DataFrame:
     rows = records.select(F.col("rec_no").cast("bigint").alias("id"), side.alias("side"), F.col("question").alias("q"), joined_cells("table").alias("t"))
     rows = rows.where("id is not null and side is not null and q is not null and t is not null")
     rows = stage(term_sets(rows, "id", {"q": "words", "t": "cells"}, ["side"]).where("size(q_terms) > 0 and size(t_terms) > 0"))
-    least = 2 * likeness / (1 + likeness)
 
     # Classes: equal tables of a split, then equal questions on them.
     table_class = rows.groupBy("side", "t_h1", "t_h2").agg(F.min("id").alias("table_id"))
@@ -109,30 +159,29 @@ def overlaps(records: DataFrame, likeness: float = 0.6) -> DataFrame:
     members = stage(members.select("id", "side", "table_id", "class_id"))
 
     tables = rows.select("id", "side", F.col("t_terms").alias("terms")).join(members.where("id = table_id").select("id"), "id", "left_semi")
-    tables = stage(tables)
-    index = _index(tables, _Stats(tables), least)
-    lists = stage(index.select("id", "side", "n", "sign", F.explode("index").alias("term")))
+    tables = stage(weighted(stage(tables), likeness))
+    lists = stage(tables.select("id", "side", F.size("terms").alias("n"), "sign", F.explode("index").alias("term")))
     x = lists.where(F.col("side") == TRAIN).select("term", F.col("id").alias("a"), F.col("n").alias("na"), F.col("sign").alias("sa"))
     y = lists.where(F.col("side") == EVAL).select("term", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sign").alias("sb"))
     # Pairs that share a listed term but can't be like go inside the join.
-    may = may_be_like(F.col("sa"), F.col("na"), F.col("sb"), F.col("nb"), likeness)
-    like_tables = stage(_verified(x.join(y, "term").where(may).select("a", "b").distinct(), tables, likeness, "table_likeness"))
+    like_tables = stage(_qualifying(x.join(y, "term").where(_may(likeness)).select("a", "b").distinct(), tables, likeness, "table"))
 
     # Questions, only of records whose table has a like one in the other split.
     used = like_tables.select(F.col("a").alias("table_id"), F.lit(TRAIN).alias("side")).union(like_tables.select("b", F.lit(EVAL))).distinct()
     heads = members.where("id = class_id").join(used, ["table_id", "side"], "left_semi").select("id", "table_id")
-    questions = stage(rows.select("id", "side", F.col("q_terms").alias("terms")).join(heads, "id"))
-    index = stage(_index(questions, _Stats(questions), least).join(heads, "id"))
+    questions = rows.select("id", "side", F.col("q_terms").alias("terms")).join(heads, "id", "left_semi")
+    questions = stage(weighted(stage(questions), likeness))
+    index = stage(questions.select("id", "side", F.size("terms").alias("n"), "sign", "index").join(heads, "id"))
     x = index.where(F.col("side") == TRAIN).select("table_id", F.col("id").alias("qa"), F.col("n").alias("na"), F.col("sign").alias("sa"), F.explode("index").alias("term"))
     y = index.where(F.col("side") == EVAL).select("table_id", F.col("id").alias("qb"), F.col("n").alias("nb"), F.col("sign").alias("sb"), F.explode("index").alias("term"))
     # A list for each term within a pair of like tables.
-    x = like_tables.join(x.withColumnRenamed("table_id", "a"), "a").select("a", "b", "term", "qa", "na", "sa", "table_likeness")
+    x = like_tables.join(x.withColumnRenamed("table_id", "a"), "a").select("a", "b", "term", "qa", "na", "sa", "table_likeness", "table_cosine")
     y = like_tables.select("a", "b").join(y.withColumnRenamed("table_id", "b"), "b").select("a", "b", "term", "qb", "nb", "sb")
-    pairs = x.join(y, ["a", "b", "term"]).where(may).select(F.col("qa").alias("a"), F.col("qb").alias("b"), "table_likeness").distinct()
-    found = stage(_verified(pairs, questions, likeness, "question_likeness"))
+    pairs = x.join(y, ["a", "b", "term"]).where(_may(likeness)).select(F.col("qa").alias("a"), F.col("qb").alias("b"), "table_likeness", "table_cosine").distinct()
+    found = stage(_qualifying(pairs, questions, likeness, "question"))
     train = members.where(F.col("side") == TRAIN).select(F.col("class_id").alias("a"), F.col("id").alias("train_rec"))
     held = members.where(F.col("side") == EVAL).select(F.col("class_id").alias("b"), F.col("id").alias("eval_rec"))
-    return found.join(train, "a").join(held, "b").select("train_rec", "eval_rec", "question_likeness", "table_likeness")
+    return found.join(train, "a").join(held, "b").select("train_rec", "eval_rec", "question_likeness", "question_cosine", "table_likeness", "table_cosine")
 
 
 def overlap_pairs(found: DataFrame) -> DataFrame:

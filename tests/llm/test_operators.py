@@ -63,6 +63,29 @@ def test_overlaps_equal_brute_force(spark, hot):
     assert sum(r.n_records for r in report) == sum(x[1] in ("validation", "test") for x in rows)
 
 
+def test_like_vectors_share_a_listed_term():
+    """Whatever the statistics are, the dot product of like sets reaches 1 and the rarest term they share is indexed by both."""
+    np = pytest.importorskip("numpy")
+    r = random.Random(21)
+    for _ in range(2000):
+        total = r.choice([2, 50, 10**6])
+        count = {t: r.choice([1, 2, total // 2, total]) or 1 for t in range(60)}
+        a = set(r.sample(range(60), r.randint(1, 20)))
+        b = {x for x in a if r.random() > 0.2} | set(r.sample(range(60), r.randint(0, 3)))
+        if not b or likeness(a, b) < 0.6:
+            continue
+        parts, dot = [], 1.0
+        squares = lambda s: split_overlap.squared_weights(np.array([count[t] for t in sorted(s)]), total)
+        for one, two in ((a, b), (b, a)):
+            terms = np.array(sorted(one), np.int64)
+            other = np.array([r.randint(1, len(two)) if t in two else r.choice([0, 1, 5]) for t in sorted(one)])
+            keep = split_overlap.indexed(terms, squares(one), np.array([count[t] for t in sorted(one)]), other, 0.6)
+            parts.append(set(terms[keep].tolist()))
+            dot *= split_overlap.scaling(squares(one), 0.6)
+        assert dot * squares(a & b).sum() >= 1 - 1e-9
+        assert min(a & b, key=lambda t: (count[t], t)) in parts[0] & parts[1]
+
+
 def test_overlaps_of_nothing(spark):
     assert split_overlap.overlaps(spark.createDataFrame([], SCHEMA1)).count() == 0
 
@@ -100,6 +123,30 @@ def test_mix_reaches_its_shares(spark):
     assert {(r.mix_id, r.corpus, r.rec_no, r.copies) for r in rows} == {tuple(r) for r in again}
 
 
+def test_mix_is_the_same_on_any_partitions(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FLOCK", 64)
+    targets = spark.createDataFrame([(1, "natural", 2.0, 2, "records"), (1, "sql", 1.0, 1, "records"), (2, "natural", 0.5, 2, "chars"), (2, "sql", 0.5, 1, "chars")], TARGETS)
+    found = set()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 5, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            corpora = {"natural": (corpus(spark, 900, 1).repartition(n), None), "sql": (corpus(spark, 1500, 3).repartition(n), None)}
+            mix = mixing.mixed(corpora, targets)
+            found.add(frozenset((r.mix_id, r.corpus, r.rec_no, r.copies) for r in mix.collect()))
+            assert all(s.actual_share == pytest.approx(s.target_share, abs=0.002) for s in mixing.shares(mix, targets).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(found) == 1
+
+
+def test_records_that_differ_anywhere_are_kept(spark):
+    t = (["h"], [["x", None]])
+    rows = [(1, "c", t, [[0, 1]], ["a"], 5), (2, "c", t, [[0, 2]], ["a"], 6), (3, "c", t, [[0, 1]], ["b"], 7), (4, "c", t, [[0, 1]], ["a"], 8), (5, "c", t, None, ["a"], 9), (6, "c", (["h"], [["x"]]), [[0, 1]], ["a"], 9)]
+    df = spark.createDataFrame(rows, f"rec_no bigint, context string, table {TABLE}, mentions array<array<int>>, answers array<string>, loaded_at int")
+    assert {r.rec_no for r in mixing.units({"n": (df, None)}).collect()} == {1, 2, 3, 5, 6}
+
+
 def test_flight_balances():
     r = random.Random(4)
     sizes = [r.lognormvariate(3, 1) for _ in range(4000)]
@@ -244,10 +291,36 @@ def test_balls_of_like_sets_meet():
             assert one & two
 
 
+def test_balls_have_a_bound():
+    """Sets of frequent terms only, the worst case."""
+    np = pytest.importorskip("numpy")
+    counts = np.full(1 << 20, 10**5, np.int64)
+    for n in (1, 2, 5, 20, 21, 60, 120, 200, 1000):
+        got, _ = near_duplicates.ball(np.arange(n, dtype=np.int64), counts, 10**8, 0.6)
+        assert len(got) <= 9 * near_duplicates.MAX_BALL + near_duplicates.half_radius(n, 0.6) + 1
+
+
+@pytest.mark.parametrize("most", [5, 1000])
+def test_balls_of_like_sets_meet_at_any_depth(monkeypatch, most):
+    np = pytest.importorskip("numpy")
+    monkeypatch.setattr(near_duplicates, "MAX_BALL", most)
+    near_duplicates.depth.cache_clear(), near_duplicates.stops.cache_clear()
+    r = random.Random(16)
+    counts = np.full(1 << 20, 900, np.int64)
+    for _ in range(300):
+        a = set(r.sample(range(200), r.randint(1, 24)))
+        b = {x for x in a if r.random() > 0.2} | set(r.sample(range(200), r.randint(0, 4)))
+        if b and likeness(a, b) >= 0.6:
+            one, two = (set(near_duplicates.ball(np.array(sorted(s), np.int64), counts, 1000, 0.6)[0]) for s in (a, b))
+            assert one & two
+    monkeypatch.undo()
+    near_duplicates.depth.cache_clear(), near_duplicates.stops.cache_clear()
+
+
 @pytest.mark.parametrize("least", [0, 30])
 def test_hot_variants_are_split(spark, monkeypatch, least):
     """Half of the records share a long boilerplate without being alike; some are alike beyond it."""
-    monkeypatch.setattr(near_duplicates, "HOT_LEAST", least)
+    monkeypatch.setattr(near_duplicates, "HOT", least)
     monkeypatch.setattr(near_duplicates, "BALL_SIZE", 0)
     r = random.Random(11)
     boiler = [f"b{i}" for i in range(12)]
@@ -287,17 +360,18 @@ def test_lookalikes(spark):
         (2, ["wоn"], (["h"], [["won"]])),
         (3, ["wоn"], (["h"], [["wоn"], ["won"]])),
         (4, ["Café", "é"], (["h"], [["Cafe"], ["é"], None])),
-        (5, ["q​"], None), (6, None, (["h"], [["a"]])), (7, [], ([], [])), (8, ["​"], (["h"], [["‌"]])),
+        (5, ["q​"], None), (6, None, (["h"], [["a"]])), (7, [], ([], [])), (8, ["​"], (["home"], [["‌"]])), (11, ["РОР"], (["h"], [["POP"]])),
         (9, ["Sаmb", "Рижин"], (["h"], [["Samь"], ["Рижин"]])),
-        (10, ["Zеtо"], (["h"], [["Zetо"]])),  # the clean spelling occurs nowhere, but two spellings of it do
+        (10, ["Zеtо"], (["hоme"], [["Zetо"]])),  # the clean spelling occurs nowhere, but two spellings of it do
         (None, ["Ａ"], (["h"], [["A"]])),
     ]
     df = spark.createDataFrame([(*x, 1, "s") for x in rows], f"rec_no bigint, answers array<string>, table {TABLE}, id int, x string")
-    got = {(r.rec_no, r.ans_pos) for r in lookalikes.lookalike_answers(df).collect()}
-    assert got == {(1, 0), (1, 1), (2, 0), (4, 1), (10, 0)}
+    got = {(r.rec_no, r.ans_pos, r.kind) for r in lookalikes.lookalike_answers(df).collect()}
+    assert got == {(1, 0, "form"), (1, 1, "form"), (2, 0, "mixed"), (4, 1, "form"), (10, 0, "agreed"), (11, 0, "twins")}
     forms = {r.rec_no: r for r in lookalikes.consistent_forms(df).collect()}
     assert forms[1].answers == ["Ab", "a b", "x", None, ""] and forms[1].rows == [["Ab"], ["a b", None], ["X"]]
     assert forms[2].answers == ["won"] and forms[3].rows == [["won"], ["won"]] and forms[5].rows is None and forms[6].answers is None
+    assert forms[10].header == ["home"] and (forms[10].n_mixed, forms[10].n_twins, forms[10].n_agreed) == (1, 0, 2) and (forms[2].n_mixed, forms[11].n_twins) == (1, 1)
     assert forms[9].answers == ["Sаmb", "Рижин"]  # mixed, but unknown to the corpus
     assert lookalikes.lookalike_answers(df.where("false")).count() == 0
 
@@ -348,18 +422,36 @@ def test_leaks_equal_brute_force(spark):
     d = spark.createDataFrame([(*x, 1, "p") for x in docs], "doc_id bigint, text string, place int, term string").repartition(3)
     e = spark.createDataFrame([(*x, "test", 2) for x in items], "item_id bigint, text string, split string, at int")
     got = leaks.leaks(d, e)
-    assert {(x.doc_id, x.item_id) for x in got.collect()} == want and want and got.count() == len(want)
+    phrases = got.where("kind = 'phrase'")
+    assert {(x.doc_id, x.item_id) for x in phrases.collect()} == want and want and phrases.count() == len(want)
+    assert got.select("doc_id", "item_id").distinct().count() == got.count()
     assert leaks.leaks(d.where("false"), e).count() == leaks.leaks(d, e.where("false")).count() == 0
     report = {x.item_id: x.n_docs for x in leaks.leaked_items(got, e).collect()}
     assert all(report[i] == sum(j == i for _, j in want) for i in range(20))
 
 
-def test_leaks_without_a_vocabulary(spark, monkeypatch):
-    monkeypatch.setattr(leaks, "MAX_BROADCAST_TERMS", 0)
-    text = "one two three four five six seven eight nine ten eleven"
-    d = spark.createDataFrame([(1, "x " + text)], "doc_id bigint, text string")
-    e = spark.createDataFrame([(1, text)], "item_id bigint, text string")
-    assert leaks.leaks(d, e).first().run == 11
+def test_proximity_matches_come_out(spark):
+    words = [f"w{i}" for i in range(40)]
+    spaced = [x for i, w in enumerate(words) for x in ([w, "foreign"] if i % 9 == 8 else [w])]
+    d = spark.createDataFrame([(1, "x " + " ".join(spaced)), (2, " ".join(words[5:16])), (3, " ".join(words[::4])), (4, " ".join(words[::-1]))], "doc_id bigint, text string")
+    e = spark.createDataFrame([(7, " ".join(words))], "item_id bigint, text string")
+    got = {r.doc_id: r for r in leaks.leaks(d, e).collect()}
+    assert set(got) == {1, 2} and (got[1].kind, got[1].run, got[2].kind, got[2].run) == ("proximity", 9, "phrase", 11) and got[1].words_near >= 35
+
+
+def test_intersection_equals_search():
+    np = pytest.importorskip("numpy")
+    r = random.Random(14)
+    for _ in range(500):
+        doc, item = [r.randint(0, 3) for _ in range(r.randint(1, 40))], [r.randint(0, 3) for _ in range(r.randint(1, 20))]
+        shift = r.randint(-15, 30)
+        at = lambda k: doc[k] if 0 <= k < len(doc) else None
+        exact = [at(shift + k) == w for k, w in enumerate(item)]
+        near = [any(at(shift + k + j) == w for j in range(-3, 4)) for k, w in enumerate(item)]
+        run = max(len(x) for x in "".join("x" if e else " " for e in exact).split(" "))
+        span = min(leaks.STRETCH, len(item))
+        want = run, sum(near), max(sum(near[k : k + span]) for k in range(len(item) - span + 1))
+        assert leaks.intersected(np.array(doc), np.array(item), shift) == want
 
 
 # 8
