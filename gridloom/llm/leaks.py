@@ -25,7 +25,7 @@ WINDOW = 10
 #: Places that a word may have shifted by to count as near its place.
 SLACK = 3
 #: A proximity match has ``WINDOW`` words near their places among so many consecutive words of the item.
-STRETCH = 15
+STRETCH = 12
 PHRASE, PROXIMITY = "phrase", "proximity"
 
 

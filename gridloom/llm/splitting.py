@@ -255,7 +255,7 @@ def rejoined(pieces_: DataFrame, limits: DataFrame) -> DataFrame:
     """What the pieces of each table amount to: (corpus, rec_no, text_md5, over_limit, wrong_overlap, short, cut_rows), one row a table.
 
     text_md5 is that of the pieces' own parts in order; over_limit counts pieces over the limit, wrong_overlap pieces whose repeated rows aren't the last of
-    the piece before, short pieces that lack wanted rows though they would fit beside the piece's first row, cut_rows cuts inside a row of a table whose rows all fit.
+    the piece before, short pieces that lack wanted rows though they would fit beside the piece's first row, cut_rows rows that were cut though they fit a piece.
     A group is the pieces of one table.
     """
     text = lambda cells: F.array_join(F.transform(cells, lambda c: F.coalesce(c, F.lit(""))), "")
@@ -273,10 +273,13 @@ def rejoined(pieces_: DataFrame, limits: DataFrame) -> DataFrame:
     first = F.coalesce(F.expr("sizes[overlap_rows]"), F.lit(0))
     repeats = F.expr("aggregate(slice(sizes, 1, overlap_rows), 0, (n, x) -> n + x)")
     short = (F.col("piece") > 0) & (F.col("overlap_rows") < wanted) & (repeats + needed + first <= F.col("max_chars"))
-    return p.groupBy("corpus", "rec_no").agg(
+    own_row = p.select("corpus", "rec_no", "max_chars", F.greatest("start_row", F.lit(0)).alias("base"), F.posexplode(F.expr("slice(rows, overlap_rows + 1, size(rows))")).alias("i", "r"))
+    parts = own_row.groupBy("corpus", "rec_no", "max_chars", (F.col("base") + F.col("i")).alias("row")).agg(F.count("*").alias("parts"), F.sum(F.length(text(F.col("r")))).alias("size"))
+    cut = parts.groupBy("corpus", "rec_no").agg(F.sum(((F.col("parts") > 1) & (F.col("size") <= F.col("max_chars"))).cast("int")).alias("cut_rows"))
+    whole = p.groupBy("corpus", "rec_no").agg(
         F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "own_text"))), lambda x: x["own_text"]), "")).alias("text_md5"),
         F.sum((F.col("n_chars") > F.col("max_chars")).cast("int")).alias("over_limit"),
         F.sum((~(same | (F.col("overlap_rows") == 0))).cast("int")).alias("wrong_overlap"),
         F.sum(short.cast("int")).alias("short"),
-        F.sum((F.col("cut").isin(_CELL, _SPACE, _ANY) & (F.col("start_row") >= 0)).cast("int")).alias("cut_rows"),
     )
+    return whole.join(cut, ["corpus", "rec_no"], "left").fillna(0, ["cut_rows"])
