@@ -159,7 +159,8 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     """
     found = stage(variants(sets, threshold))
     counts = found.groupBy("variant").agg(F.count("*").alias("n_sets")).where("n_sets > 1")
-    met = found.join(counts, "variant")
+    # Few variants are met twice; a hot one can be split over tasks here, as its other side is one row.
+    met = stage(found.join(counts, "variant"))
 
     def sides(x: DataFrame, y: DataFrame) -> DataFrame:
         x, y = (v.select("variant", F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sign").alias(f"s{c}")) for c, v in (("a", x), ("b", y)))
