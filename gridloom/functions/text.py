@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # The characters that Python's str.strip() removes, as a character class.
 PY_SPACE = r"[\x09-\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
+#: The same characters in one string.
+PY_SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
 
 def py_strip(s: Column) -> Column:
     """Without white space at both ends, all kinds that Python strips."""

@@ -11,7 +11,7 @@ from gridloom.functions.tables import exclusive_sums
 TOKEN = r"[ \t\n\r\f]*([A-Za-z0-9_]+|[^ \t\n\r\fA-Za-z0-9_])"
 #: Ids below are special: 0 start, 1 padding, 2 end, 3 unknown; the mask comes after all.
 FIRST_ID, N_IDS = 4, 50257
-PAD, MASK, IGNORE = 1, 50264, -100
+START, PAD, END, MASK, IGNORE = 0, 1, 2, 50264, -100
 
 
 def pieces(text: Column) -> Column:

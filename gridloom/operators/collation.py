@@ -27,17 +27,17 @@ def shift_right(ids: Column, start: int = 2, pad: int = PAD, ignore: int = IGNOR
     return F.when(F.size(ids) > 0, F.transform(moved, lambda x: F.when(x == ignore, F.lit(pad)).otherwise(x))).otherwise(ids)
 
 
-def collate(df: DataFrame, order: str, batch_size: int, multiple: int = 1) -> DataFrame:
+def collate(df: DataFrame, order: str, batch_size: int, multiple: int = 1, side: str = "right", pad: int = PAD, ignore: int = IGNORE) -> DataFrame:
     """Sequences of equal length within batches of ``batch_size`` rows in the order of a contiguous index column.
 
-    input_ids are padded with padding, labels and targets with the ignored id; decoder_input_ids is the padded target moved right;
-    padding in labels becomes the ignored id. Labels and targets must be of equal length.
+    input_ids are padded with ``pad``, labels and targets with ``ignore``; decoder_input_ids is the padded target moved right, with ignored places
+    as padding; padding in labels becomes ``ignore``. Labels and targets must be of equal length.
     """
     df = df.withColumn("batch", F.floor(F.col(order) / batch_size))
-    df = batch_width(df, "input_ids", "batch", multiple).withColumn("input_ids", pad_to(F.col("input_ids"), F.col("width"), PAD))
-    df = df.withColumn("attention_mask", pad_to(F.col("attention_mask"), F.col("width"), 0))
+    df = batch_width(df, "input_ids", "batch", multiple).withColumn("input_ids", pad_to(F.col("input_ids"), F.col("width"), pad, side))
+    df = df.withColumn("attention_mask", pad_to(F.col("attention_mask"), F.col("width"), 0, side))
     df = batch_width(df, "labels", "batch", multiple)
     equal = F.when(F.size("labels") == F.size("target_input_ids"), F.col("labels")).otherwise(F.raise_error(F.lit("labels and targets differ in length")).cast("array<int>"))
-    labels = F.transform(pad_to(equal, F.col("width"), IGNORE), lambda x: F.when(x == PAD, F.lit(IGNORE)).otherwise(x))
-    target = pad_to(F.col("target_input_ids"), F.col("width"), IGNORE)
-    return df.withColumn("decoder_input_ids", shift_right(target)).withColumn("labels", labels).drop("width", "target_input_ids")
+    labels = F.transform(pad_to(equal, F.col("width"), ignore, side), lambda x: F.when(x == pad, F.lit(ignore)).otherwise(x))
+    target = pad_to(F.col("target_input_ids"), F.col("width"), ignore, side)
+    return df.withColumn("decoder_input_ids", shift_right(target, pad=pad, ignore=ignore)).withColumn("labels", labels).drop("width", "target_input_ids")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import text as X
 from gridloom.functions import values as V
-from gridloom.functions.binding import let
+from gridloom.functions.tokenizers import Tokenizer
 
 
 def normalized_lookup(strings: DataFrame, column: str) -> DataFrame:
@@ -17,22 +18,17 @@ def normalized_lookup(strings: DataFrame, column: str) -> DataFrame:
     return strings.select(column).where(F.col(column).isNotNull()).distinct().withColumn("norm", V.normalize(F.col(column)))
 
 
-def _strings(lists: Column) -> Column:
-    return F.transform(F.coalesce(lists, F.array().cast("array<string>")), lambda s: F.coalesce(s, F.lit("")))
+def _texts(column: pd.Series) -> list[list[str]]:
+    return [[] if x is None else ["" if s is None else s for s in x] for x in column]
 
 
-def _values(originals: Column, canonicals: Column, norms: Column) -> Column:
-    # Zipped, so that norms, from a function over Arrow batches, are an argument and not part of a lambda.
-    zipped = F.arrays_zip(originals.alias("o"), canonicals.alias("c"), norms.alias("n"))
-    return V.distinct_values(F.transform(zipped, lambda z: V.to_value(z["o"], z["c"], z["n"])))
-
-
-def _canon(df: DataFrame, originals: str, canonicals: str | None) -> Column:
-    if canonicals is None:
-        return _strings(F.col(originals))
-    canon = F.coalesce(F.col(canonicals), F.array().cast("array<string>"))
-    wrong = F.raise_error(F.lit("originals and canonical forms differ in number")).cast("array<string>")
-    return F.when(F.size(_strings(F.col(originals))) == F.size(canon), canon).otherwise(wrong)
+def _typed(originals: pd.Series, canonicals: pd.Series | None) -> Iterator[list[V.Value]]:
+    """The distinct values of each list; lists of different lengths are refused."""
+    first = _texts(originals)
+    for o, c in zip(first, first if canonicals is None else _texts(canonicals)):
+        if len(o) != len(c):
+            raise ValueError("originals and canonical forms differ in number")
+        yield V.distinct(map(V.value_of, o, c))
 
 
 def typed(df: DataFrame, originals: str, canonicals: str | None, out: str) -> DataFrame:
@@ -40,42 +36,49 @@ def typed(df: DataFrame, originals: str, canonicals: str | None, out: str) -> Da
 
     Lists of different lengths are refused; null lists give no values, null entries count as empty strings.
     """
-    items = _strings(F.col(originals))
-    df = df.withColumn("_n", V.normalize_list(items))
-    return df.withColumn(out, _values(items, _canon(df, originals, canonicals), F.col("_n"))).drop("_n")
+
+    def shown(v: V.Value) -> dict:
+        kind, x, norm = v
+        y, m, d = x if kind == "date" else (None, None, None)
+        return dict(kind=kind, norm=norm, num=float(x) if kind == "number" else None, y=y, m=m, d=d)
+
+    def run(o: pd.Series, *c: pd.Series) -> pd.Series:
+        return pd.Series([[shown(v) for v in values] for values in _typed(o, c[0] if c else None)])
+
+    return df.withColumn(out, F.pandas_udf(run, f"array<{V.VALUE}>")(*([originals] if canonicals is None else [originals, canonicals])))
 
 
 def denotation_scores(df: DataFrame, prediction: str, targets: str, canonicals: str | None = None, separator: str = ", ") -> DataFrame:
-    """Adds correct: whether the prediction string denotes the target values.
+    """Adds correct: whether the prediction string denotes the target values; null predictions count as empty.
 
-    If the targets are one distinct value, the whole prediction is one answer, else it is split. All strings of a row are normalized
-    in one pass.
+    If the targets are one distinct value, the whole prediction is one answer, else it is split. One function over Arrow batches; each different
+    string of a worker is normalized and typed once.
     """
-    line = F.coalesce(F.col(prediction), F.lit(""))
-    items, split = _strings(F.col(targets)), X.split_answers(line, separator)
-    df = df.withColumn("_n", V.normalize_list(F.concat(items, F.array(line), split)))
-    n, norms = F.size(items), F.col("_n")
-    t = _values(items, _canon(df, targets, canonicals), F.slice(norms, 1, n))
-    whole, parts = F.slice(norms, n + 1, 1), F.slice(norms, n + 2, F.size(split))
 
-    def score(z: Column) -> Column:
-        single = F.size(z["t"]) == 1
-        answers = F.when(single, F.array(line)).otherwise(split)
-        return V.denotation_correct(z["t"], _values(answers, answers, F.when(single, z["whole"]).otherwise(z["parts"])))
+    def run(lines: pd.Series, o: pd.Series, *c: pd.Series) -> pd.Series:
+        out = []
+        for line, values in zip(lines, _typed(o, c[0] if c else None)):
+            line = line or ""
+            answers = [line] if len(values) == 1 else line.split(separator)
+            out.append(V.denotes(values, V.distinct(V.value_of(a, a) for a in answers)))
+        return pd.Series(out, dtype=bool)
 
-    bound = F.struct(t.alias("t"), whole.alias("whole"), parts.alias("parts"))
-    return df.withColumn("correct", let(bound, score)).drop("_n")
+    return df.withColumn("correct", F.pandas_udf(run, "boolean")(prediction, targets, *([] if canonicals is None else [canonicals])))
 
 
 def accuracy(scored: DataFrame, by: list[str] = []) -> DataFrame:
-    """(by..., examples, correct, accuracy): accuracy (correct + 1e-9) / (examples + 1e-9), 1 without examples."""
+    """(by..., examples, correct, accuracy): accuracy (correct + 1e-9) / (examples + 1e-9) to 4 places, ties to even; 1 without examples."""
     g = scored.groupBy(*by).agg(F.count("*").alias("examples"), F.coalesce(F.sum(F.col("correct").cast("bigint")), F.lit(0)).alias("correct"))
-    return g.withColumn("accuracy", F.round((F.col("correct") + 1e-9) / (F.col("examples") + 1e-9), 4))
+    return g.withColumn("accuracy", F.bround((F.col("correct") + 1e-9) / (F.col("examples") + 1e-9), 4))
 
 
 def multiset_scores(df: DataFrame, prediction: str, ground: str) -> DataFrame:
-    """Adds correct: whether prediction and ground string have the same answers equally often; null counts as empty."""
-    return df.withColumn("correct", V.multiset_correct(F.coalesce(F.col(prediction), F.lit("")), F.coalesce(F.col(ground), F.lit(""))))
+    """Adds correct: whether prediction and ground string have the same answers equally often; null counts as empty, and nan is never right."""
+
+    def run(lines: pd.Series, truths: pd.Series) -> pd.Series:
+        return pd.Series([(m := V.multiset_of(a or "")) is not None and m == V.multiset_of(b or "") for a, b in zip(lines, truths)], dtype=bool)
+
+    return df.withColumn("correct", F.pandas_udf(run, "boolean")(prediction, ground))
 
 
 def mean_accuracy(scored: DataFrame) -> DataFrame:
@@ -107,6 +110,23 @@ def decode(ids: Column, words: Column, ignore: int = -100, pad: int = 1) -> Colu
     return X.py_strip(F.array_join(F.transform(kept, lambda x: F.coalesce(F.try_element_at(words, x), F.lit(""))), ""))
 
 
+def decoded(ids: Column, tokenizer: Tokenizer, ignore: int = -100) -> Column:
+    """As ``decode``, by a tokenizer; special ids vanish too."""
+
+    def run(lists: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else tokenizer.decode([tokenizer.special.pad if i == ignore else int(i) for i in x]).strip() for x in lists])
+
+    return F.pandas_udf(run, "string")(ids)
+
+
+def id_scores(df: DataFrame, predicted: str, labels: str, words: Column | None = None, tokenizer: Tokenizer | None = None) -> DataFrame:
+    """Adds prediction, ground and correct: predicted and label ids as text (by ``words`` or a tokenizer), and whether their answers are the same."""
+    if (words is None) == (tokenizer is None):
+        raise ValueError("give words or a tokenizer")
+    text = (lambda c: decode(F.col(c), words)) if tokenizer is None else (lambda c: decoded(F.col(c), tokenizer))
+    return multiset_scores(df.withColumn("prediction", text(predicted)).withColumn("ground", text(labels)), "prediction", "ground")
+
+
 def predict(df: DataFrame, model: Callable, schema: str) -> DataFrame:
     """Runs any callable (iterator of pandas frames -> iterator of frames) as the predictor."""
     return df.mapInPandas(model, schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import masking as M
@@ -18,6 +18,7 @@ from gridloom.operators import truncation as TR
 from gridloom.plans import pipelines
 from gridloom.plans import sql as Q
 from gridloom.sources import readers, sinks
+from gridloom.sources.scratch import scratch
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -265,41 +266,92 @@ def replace_special(spark: SparkSession, folder: str) -> DataFrame:
 # Encodings and corpora; a small budget, so that all cuts occur.
 
 _SETTINGS = encoding.Settings(max_source=160, max_context=24, max_cell=6)
-_PRE = f"""(SELECT rec_no, {Q.prefixed("coalesce(context, '')")} AS c, {Q.pairs('mentions')} AS m0, length({Q.prefixed("coalesce(context, '')")}) - length(coalesce(context, '')) AS d, "table" FROM natural_corpus)"""
+_FULL = encoding.Settings()
+_BOTH = """(q || CASE WHEN length(q) > 0 AND length(fl) > 0 THEN ' ' ELSE '' END || fl)"""
 _SHIFTED = "list_transform(m0, lambda v_: {'s': v_.s + d, 'e': v_.e + d})"
-_BOTH = f"""(q || CASE WHEN length(q) > 0 AND length(fl) > 0 THEN ' ' ELSE '' END || fl)"""
-_SALIENT = f"""
-    WITH {Q.truncated(_PRE, 'c', 24, 155, 6, ', m0, d')},
+_NO_SPANS = "[]::STRUCT(s INT, e INT)[]"
+
+
+def _framed(ids: str, start: int = K.START, end: int = K.END) -> str:
+    return Q.ids_text(f"list_concat([{start}], list_concat({ids}, [{end}]))")
+
+
+def _cut_sql(corpus: str, s: encoding.Settings, question: str = "context", more: str = "", where: str = "true") -> str:
+    """CTEs up to fitt of the records of a corpus, cut to the settings' budget, with the prefix space."""
+    source = f"""(SELECT rec_no, {Q.prefixed(f"coalesce({question}, '')")} AS c, {'answers,' if 'answers' in more else ''} {f"{Q.pairs('mentions')} AS m0, length({Q.prefixed(f'coalesce({question}, $$$$)')}) - length(coalesce({question}, '')) AS d," if 'm0' in more else ''} "table" FROM {corpus} WHERE {where})"""
+    return f"WITH {Q.truncated(source, 'c', s.max_context, s.max_source - s.safe_tokens, s.max_cell, more)}"
+
+
+def _salient_sql(s: encoding.Settings) -> str:
+    """rec_no and the three lists as text."""
+    return f"""{_cut_sql('natural_corpus', s, more=', m0, d')},
     g AS (SELECT *, CASE WHEN none THEN '' ELSE {Q.flat('header', 'rows')} END AS fl, list_filter({_SHIFTED}, lambda y_: y_.s < length(q) AND y_.e <= length(q)) AS mm FROM fitt WHERE none OR kept >= 0),
     h AS (SELECT rec_no, {_BOTH} AS txt, {Q.clean('mm', 'length(q)')} AS sp0 FROM g),
     k AS (SELECT rec_no, {Q.pieces('txt')} AS f, {Q.tokens('txt')} AS b, {Q.clean('sp0', 'length(txt)')} AS m FROM h),
     o AS (SELECT rec_no, b, m, {Q.offsets('f', 'b')} AS o FROM k),
-    z AS (SELECT rec_no, {Q.ids('b')} AS ids, list_filter({Q.to_tokens('o', 'm')}, lambda s_: s_ IS NOT NULL) AS sp FROM o)"""
-_OUT = f"SELECT rec_no, {Q.ids_text(Q.mask_span('ids', 'sp'))} AS input_ids, {Q.ids_text('ids')} AS target_input_ids, {Q.ids_text(Q.labels('ids', 'sp'))} AS labels FROM z"
+    z AS (SELECT rec_no, {Q.ids('b')} AS ids, list_filter({Q.to_tokens('o', 'm')}, lambda s_: s_ IS NOT NULL) AS sp FROM o)
+    SELECT rec_no, {_framed(Q.mask_span('ids', 'sp'))} AS input_ids, {_framed('ids')} AS target_input_ids, {_framed(Q.labels('ids', 'sp'), K.PAD, K.PAD)} AS labels FROM z"""
+
+
+def _random_sql(s: encoding.Settings) -> str:
+    n = "(len(header) * (len(rows) + 1))"
+    element = f"CASE WHEN i_ < len(header) THEN header[i_ + 1] ELSE coalesce(rows[i_ // len(header)][i_ % len(header) + 1], '') END"
+    left = f"{s.max_mask_tokens} - {Q.count('names')}"
+    taken = Q.sample("len(cb)", f"least({left}, (len(cb) * {round(s.context_mask_prob * 1000)} + 999) // 1000)", "key || ':c'")
+    # Cells with their index and places: pieces of the flat table, summed up.
+    return f"""{_cut_sql('natural_corpus', s)},
+    g AS (SELECT rec_no, q, header, rows, {Q.flat('header', 'rows')} AS fl, '{s.seed}:' || rec_no AS key FROM fitt WHERE NOT none AND kept >= 0 AND len(header) > 0),
+    e AS (SELECT *, {Q.sample(n, f'greatest(1, ({n} * {round(s.table_mask_prob * 1000)} + 999) // 1000)', "key || ':t'")} AS els FROM g),
+    nm AS (SELECT *, coalesce(array_to_string(list_transform(els, lambda i_: {element}), ' '), '') AS names, {Q.pieces('q')} AS cf, {Q.tokens('q')} AS cb FROM e),
+    tk AS (SELECT *, {Q.offsets('cf', 'cb')} AS co, {taken} AS inds FROM nm),
+    ix AS (SELECT rec_no, co, unnest(inds) AS t FROM tk), isl AS (SELECT *, t - row_number() OVER (PARTITION BY rec_no ORDER BY t) AS island FROM ix),
+    cs AS (SELECT rec_no, min(co[t + 1].s)::INT AS s, max(co[t + 1].e)::INT AS e FROM isl GROUP BY rec_no, island),
+    cells AS (SELECT rec_no, -1 AS r, unnest(range(0, len(header))) AS c, unnest(header) AS cell FROM tk
+      UNION ALL SELECT rec_no, r, unnest(range(0, len(cells))), unnest(cells) FROM (SELECT rec_no, unnest(range(0, len(rows))) AS r, unnest(rows) AS cells FROM tk)),
+    leads AS (SELECT rec_no, -1 AS r, 0 AS c, length('col : ') AS lead FROM tk UNION ALL
+      SELECT rec_no, r, 0, length('row ' || (r + 1) || ' : ') + 1 FROM (SELECT rec_no, unnest(range(0, len(rows))) AS r FROM tk)),
+    runs AS (SELECT rec_no, r, coalesce(c, 0) AS c, cell, coalesce(lead, 3) AS lead FROM cells FULL JOIN leads USING (rec_no, r, c)),
+    pl AS (SELECT rec_no, r, c, cell, sum(lead + coalesce(length(cell), 0)) OVER (PARTITION BY rec_no ORDER BY r, c) AS e FROM runs),
+    ts AS (SELECT pl.rec_no, (pl.e - length(cell) + length(q) + CASE WHEN length(q) > 0 THEN 1 ELSE 0 END)::INT AS s, (pl.e + length(q) + CASE WHEN length(q) > 0 THEN 1 ELSE 0 END)::INT AS e
+      FROM pl JOIN tk USING (rec_no) WHERE cell IS NOT NULL AND c < len(header) AND list_contains(els, len(header) * (r + 1) + c)),
+    sp AS (SELECT rec_no, list({{'s': s, 'e': e}}) AS spans FROM (SELECT * FROM cs UNION ALL SELECT * FROM ts) GROUP BY rec_no),
+    h AS (SELECT rec_no, key, {_BOTH} AS txt, coalesce(spans, {_NO_SPANS}) AS sp0 FROM tk LEFT JOIN sp USING (rec_no)),
+    k AS (SELECT rec_no, key, {Q.pieces('txt')} AS f, {Q.tokens('txt')} AS b, {Q.clean('sp0', 'length(txt)')} AS m FROM h),
+    o AS (SELECT rec_no, key, b, m, {Q.offsets('f', 'b')} AS o FROM k),
+    z AS (SELECT rec_no, key, {Q.ids('b')} AS ids, list_filter({Q.to_tokens('o', 'm')}, lambda s_: s_ IS NOT NULL) AS sp FROM o),
+    w AS (SELECT rec_no, ids, sp, {Q.mask_token('ids', 'sp', "key || ':'")} AS masked FROM z)
+    SELECT rec_no, {_framed(Q.collapse('masked'))} AS input_ids, {_framed('ids')} AS target_input_ids, {_framed(Q.labels('ids', 'sp'), K.PAD, K.PAD)} AS labels FROM w"""
+
+
+_FIRST = f"list_transform(answers, lambda a_, i_: CASE WHEN i_ = 1 THEN {Q.prefixed('a_')} ELSE a_ END)"
+
+
+def _qa_sql(corpus: str, s: encoding.Settings, question: str = "context", where: str = "true") -> str:
+    return f"""{_cut_sql(corpus, s, question, ', answers', where)},
+    g AS (SELECT rec_no, {_BOTH} AS txt, coalesce(array_to_string({_FIRST}, ', '), '') AS a FROM (SELECT *, CASE WHEN none THEN '' ELSE {Q.flat('header', 'rows')} END AS fl FROM fitt WHERE none OR kept >= 0))
+    SELECT rec_no, {_framed(Q.ids(Q.tokens('txt')))} AS input_ids, {_framed(Q.ids(Q.tokens('a')))} AS target_input_ids, {_framed(Q.ids(Q.tokens('a')))} AS labels FROM g"""
+
+
+def _assembled_sql(s: encoding.Settings) -> str:
+    parts = [("natural", "random_masking", _random_sql(s)), ("natural", "salient_masking", _salient_sql(s)), ("synthetic", "qa", _qa_sql("synthetic_corpus", s)), ("sql", "qa", _qa_sql("sql_corpus", s))]
+    return " UNION ALL ".join(f"SELECT '{c}' AS corpus, '{m}' AS method, * FROM ({q})" for c, m, q in parts)
 
 
-def _texts(df: DataFrame) -> DataFrame:
-    return df.select("rec_no", *(ids_text(F.col(c)).alias(c) for c in ("input_ids", "target_input_ids", "labels")))
+def _texts(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, "rec_no", *(ids_text(F.col(c)).alias(c) for c in ("input_ids", "target_input_ids", "labels")))
 
 
-@query(_SALIENT + _OUT)
+@query(_salient_sql(_SETTINGS))
 def salient_masking(spark: SparkSession, folder: str) -> DataFrame:
     return _texts(encoding.salient_masking(_read(spark, folder, "natural_corpus").select("rec_no", "context", "table", "mentions"), "rec_no", _SETTINGS))
 
 
-@query()
+@query(_random_sql(_SETTINGS))
 def random_masking(spark: SparkSession, folder: str) -> DataFrame:
     return _texts(encoding.random_masking(_read(spark, folder, "natural_corpus").select("rec_no", "context", "table", "mentions"), "rec_no", _SETTINGS))
 
 
-_QA_SOURCE = f"""(SELECT rec_no, {Q.prefixed("coalesce(question, '')")} AS c, answers, "table" FROM wtq WHERE "table" IS NOT NULL)"""
-_FIRST = f"list_transform(answers, lambda a_, i_: CASE WHEN i_ = 1 THEN {Q.prefixed('a_')} ELSE a_ END)"
-
-
-@query(f"""
-    WITH {Q.truncated(_QA_SOURCE, 'c', 24, 155, 6, ', answers')},
-    g AS (SELECT rec_no, {_BOTH} AS txt, coalesce(array_to_string({_FIRST}, ', '), '') AS a FROM (SELECT *, {Q.flat('header', 'rows')} AS fl FROM fitt WHERE kept >= 0))
-    SELECT rec_no, {Q.ids_text(Q.ids(Q.tokens('txt')))} AS input_ids, {Q.ids_text(Q.ids(Q.tokens('a')))} AS target_input_ids, {Q.ids_text(Q.ids(Q.tokens('a')))} AS labels FROM g""")
+@query(_qa_sql("wtq", _SETTINGS, "question", '"table" IS NOT NULL'))
 def qa_encode(spark: SparkSession, folder: str) -> DataFrame:
     rows = _read(spark, folder, "wtq").where(F.col("table").isNotNull()).select("rec_no", "question", "table", "answers")
     return _texts(encoding.qa(rows, "rec_no", _SETTINGS, question="question"))
@@ -309,31 +361,44 @@ def _corpora(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {n: _read(spark, folder, f"{n}_corpus").select("rec_no", "context", "table", "mentions", "answers") for n in readers.CORPORA}
 
 
-def _fits(corpus: str) -> str:
-    source = f"""(SELECT rec_no, {Q.prefixed("coalesce(context, '')")} AS c, "table" FROM {corpus}_corpus)"""
-    return f"(WITH {Q.truncated(source, 'c', 128, 1019, 15)} SELECT * FROM fitt WHERE none OR kept >= 0)"
-
-
-@query(f"""
-    SELECT 'natural' AS corpus, 'random_masking' AS method, count(*) AS n FROM {_fits('natural')} WHERE len(header) > 0
-    UNION ALL SELECT 'natural', 'salient_masking', count(*) FROM {_fits('natural')}
-    UNION ALL SELECT 'synthetic', 'qa', count(*) FROM {_fits('synthetic')} UNION ALL SELECT 'sql', 'qa', count(*) FROM {_fits('sql')}""")
+@query(f"SELECT corpus, method, count(*) AS n FROM ({_assembled_sql(_SETTINGS)}) GROUP BY corpus, method")
 def corpus_union(spark: SparkSession, folder: str) -> DataFrame:
-    return encoding.assemble(_corpora(spark, folder), "rec_no").groupBy("corpus", "method").agg(F.count("*").alias("n"))
+    return encoding.assemble(_corpora(spark, folder), "rec_no", _SETTINGS).groupBy("corpus", "method").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(_assembled_sql(_FULL))
 def corpus_encoded(spark: SparkSession, folder: str) -> DataFrame:
-    return encoding.assemble(_corpora(spark, folder), "rec_no")
+    return _texts(encoding.assemble(_corpora(spark, folder), "rec_no", _FULL), "corpus", "method")
+
+
+_LEN = "len(string_split({0}, ','))"
+
+
+@query(f"""SELECT count(*) FILTER (method <> 'qa' AND {_LEN.format('input_ids')} > {_LEN.format('target_input_ids')}) AS source_longer,
+    count(*) FILTER ({_LEN.format('labels')} <> {_LEN.format('target_input_ids')}) AS label_unlike_target, count(*) FILTER ({_LEN.format('input_ids')} > 160) AS source_too_long,
+    sum({_LEN.format('input_ids')})::BIGINT AS source_tokens, max({_LEN.format('input_ids')})::INT AS longest_source FROM ({_assembled_sql(_SETTINGS)})""")
+def length_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    return pipelines.length_violations(encoding.assemble(_corpora(spark, folder), "rec_no", _SETTINGS), _SETTINGS.max_source)
+
+
+_PLAIN_QA = f"""WITH {Q.truncated('(SELECT rec_no, coalesce(question, $$$$) AS c, answers, "table" FROM wtq)', 'c', 126, 126, 6, ', answers')},
+    g AS (SELECT rec_no, {_BOTH} AS txt, coalesce(array_to_string(answers, ', '), '') AS a FROM (SELECT *, CASE WHEN none THEN '' ELSE {Q.flat('header', 'rows')} END AS fl FROM fitt WHERE none OR kept >= 0))
+    SELECT rec_no, {_framed(f"({Q.ids(Q.tokens('txt'))})[1:126]")} AS input_ids, {_framed(f"({Q.ids(Q.tokens('a'))})[1:6]")} AS labels FROM g"""
+
+
+@query(_PLAIN_QA)
+def table_qa(spark: SparkSession, folder: str) -> DataFrame:
+    rows = pipelines.TableQA(max_source=128, max_target=8, max_cell=6).process(_read(spark, folder, "wtq").select("rec_no", "question", "table", "answers"), "rec_no")
+    return rows.select("rec_no", ids_text(F.col("input_ids")).alias("input_ids"), ids_text(F.col("labels")).alias("labels"))
 
 
 @query("""
     WITH t AS (SELECT r_regionkey, 'col : r_regionkey | r_name row 1 : ' || r_regionkey || ' | ' || r_name AS flat FROM region)
     SELECT r_regionkey, item_id, text || ' ' || flat AS both_text FROM t CROSS JOIN eval_items""")
 def pair_table_queries(spark: SparkSession, folder: str) -> DataFrame:
-    # Every question with every table, which is the operator; both tables have a fixed size.
+    # Every question with every table, which is the operator.
     tables = readers.grouped_tables(_read(spark, folder, "region"), "r_regionkey", ["r_regionkey", "r_name"], ["r_name"])
-    pairs = tables.crossJoin(_read(spark, folder, "eval_items").select("item_id", "text"))
+    pairs = readers.pair(tables, _read(spark, folder, "eval_items").select("item_id", "text"))
     return pairs.select("r_regionkey", "item_id", T.concat_question(F.col("text"), T.linearize(F.col("table"))).alias("both_text"))
 
 
@@ -531,13 +596,49 @@ def metrics_report(spark: SparkSession, folder: str) -> DataFrame:
     return sinks.metrics(_read(spark, folder, "wtq"), "test", {"share": 0.5}, 100_000)
 
 
-@query(f"""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 2 THEN printf('N(%.6f)[%s]', split_part(s, '-', 1)::DOUBLE, lower(s)) WHEN 3 THEN 'S[' || s || ']'
-    ELSE printf('D(%d,%d,%d)[%s]', CASE WHEN p[1] = 'xx' THEN -1 ELSE p[1]::INT END, p[2]::INT, p[3]::INT, s) END AS shown
-    FROM (SELECT *, string_split(s, '-') AS p FROM {_DATES})""")
+# A list of one string as Python prints it: in single quotes, or in double ones where it has a single quote and no double one.
+_QUOTED = r"""'[' || CASE WHEN contains(norm, chr(39)) AND NOT contains(norm, '"') THEN '"' || replace(norm, '\', '\\') || '"'
+    ELSE chr(39) || replace(replace(norm, '\', '\\'), chr(39), '\' || chr(39)) || chr(39) END || ']'"""
+_SHOWN = r"""CASE o_orderkey % 5 WHEN 0 THEN s WHEN 1 THEN s || ' o''clock' WHEN 2 THEN s || ' "of" it''s' WHEN 3 THEN s || '\x' ELSE 'a ' || s END"""
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 2 THEN printf('N(%f)', split_part(s, '-', 1)::DOUBLE) WHEN o_orderkey % 4 = 3 THEN 'S'
+    ELSE printf('D(%d,%d,%d)', CASE WHEN p[1] = 'xx' THEN -1 ELSE p[1]::INT END, p[2]::INT, p[3]::INT) END || {_QUOTED} AS shown
+    FROM (SELECT *, string_split(s, '-') AS p, lower({_SHOWN}) AS norm FROM {_DATES})""")
 def value_strings(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _dates(spark, folder).withColumn("n", V.normalize(F.col("s")))
-    value = V.to_value(F.col("s"), F.lit(None).cast("string"), F.col("n"))
-    return rows.withColumn("v", value).select("o_orderkey", V.show_value(F.col("v")).alias("shown"))
+    k, day = F.col("o_orderkey") % 5, F.col("s")
+    told = F.when(k == 0, day).when(k == 1, F.concat(day, F.lit(" o'clock"))).when(k == 2, F.concat(day, F.lit(" \"of\" it's"))).when(k == 3, F.concat(day, F.lit("\\x"))).otherwise(F.concat(F.lit("a "), day))
+    rows = _dates(spark, folder).withColumn("told", told).withColumn("n", V.normalize(F.col("told")))
+    return rows.withColumn("v", V.to_value(F.col("told"), F.col("s"), F.col("n"))).select("o_orderkey", V.show_value(F.col("v"), F.col("n")).alias("shown"))
+
+
+_CELL_OF = """(SELECT DISTINCT s FROM (SELECT unnest(flatten("table".rows)) AS s FROM wtq UNION ALL SELECT unnest(answers) FROM wtq) WHERE s IS NOT NULL)"""
+_INT = r"^[+-]?[0-9]+(_[0-9]+)*$"
+
+
+def _date_part(p: str, unknown: str) -> str:
+    return f"CASE WHEN {p} IN ({unknown}) THEN -1 WHEN regexp_matches({_strip(p)}, '{_INT}') THEN TRY_CAST(replace({_strip(p)}, '_', '') AS INT) END"
+
+
+# Python reads digits of any script.
+_DIGITS = f"translate(s, '{''.join(V._DIGITS)}', '{V._DIGIT_VALUES}')"
+
+
+@query(f"""WITH u AS (SELECT s, {_DIGITS} AS t FROM {_CELL_OF}), x AS (SELECT s, {_number('t')} AS n, string_split(lower(t), '-') AS p FROM u),
+    y AS (SELECT *, CASE WHEN len(p) = 3 THEN {_date_part('p[1]', "'xx', 'xxxx'")} END AS dy, CASE WHEN len(p) = 3 THEN {_date_part('p[2]', "'xx'")} END AS dm, CASE WHEN len(p) = 3 THEN {_date_part('p[3]', "'xx'")} END AS dd FROM x),
+    z AS (SELECT *, coalesce(n IS NULL AND (dm = -1 OR dm BETWEEN 1 AND 12) AND (dd = -1 OR dd BETWEEN 1 AND 31) AND dy IS NOT NULL AND NOT (dy = -1 AND dm = -1 AND dd = -1), false) AS ok FROM y)
+    SELECT s, CASE WHEN n IS NOT NULL OR ok AND dm = -1 AND dd = -1 THEN 'number' WHEN ok THEN 'date' ELSE 'string' END AS kind,
+      CASE WHEN n IS NOT NULL THEN n WHEN ok AND dm = -1 AND dd = -1 THEN dy END AS num,
+      CASE WHEN ok AND NOT (dm = -1 AND dd = -1) THEN dy || '-' || dm || '-' || dd END AS ymd FROM z""")
+def cell_values(spark: SparkSession, folder: str) -> DataFrame:
+    """The types of all different cells and answers, read twice: as expressions and in plain Python; a difference is an error."""
+    wtq = _read(spark, folder, "wtq")
+    cells = wtq.select(F.explode(F.flatten(F.filter(F.col("table.rows"), lambda r: r.isNotNull()))).alias("s")).union(wtq.select(F.explode("answers"))).where("s is not null").distinct()
+    rows = scoring.typed(cells.withColumn("one", F.array("s")), "one", None, "py").withColumn("v", V.to_value(F.col("s"), F.col("s"), V.normalize(F.col("s"))))
+    v, other = F.col("v"), F.get("py", 0)
+    checked = F.when(v.eqNullSafe(other), v).otherwise(F.raise_error(F.concat(F.lit("read in two ways: "), "s")).cast(V.VALUE))
+    rows = rows.select("s", checked.alias("v"))
+    return rows.select("s", F.col("v.kind").alias("kind"), F.col("v.num").alias("num"), F.concat_ws("-", "v.y", "v.m", "v.d").alias("ymd")).withColumn("ymd", F.when(F.col("kind") == "date", F.col("ymd")))
 
 
 @query("SELECT rec_no, lower(context) AS context FROM sql_corpus WHERE context IS NOT NULL")
@@ -546,12 +647,6 @@ def lower_case(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("rec_no", pipelines.lower_checked(F.col("context")).alias("context"))
 
 
-@query("SELECT 0::BIGINT AS source_longer, 0::BIGINT AS label_unlike_target")
-def length_invariants(spark: SparkSession, folder: str) -> DataFrame:
-    encoded = encoding.assemble(_corpora(spark, folder), "rec_no", _SETTINGS)
-    return pipelines.length_violations(encoded, _SETTINGS.max_source).select("source_longer", "label_unlike_target")
-
-
 # Collation.
 
 _IDS = f"(SELECT rec_no, {Q.ids(Q.tokens('context'))} AS ids FROM natural_corpus WHERE context IS NOT NULL)"
@@ -569,3 +664,128 @@ def pad_batch(spark: SparkSession, folder: str) -> DataFrame:
 def decoder_shift(spark: SparkSession, folder: str) -> DataFrame:
     rows = _read(spark, folder, "natural_corpus").where(F.col("context").isNotNull()).select("rec_no", K.token_ids(F.col("context")).alias("ids"))
     return rows.select("rec_no", ids_text(collation.shift_right(F.col("ids"))).alias("decoder_input_ids"))
+
+
+@query(f"""
+    WITH x AS (SELECT rec_no, row_number() OVER (ORDER BY rec_no) - 1 AS i, {Q.ids(Q.tokens('context'))} AS ids FROM natural_corpus WHERE context IS NOT NULL),
+    w AS (SELECT *, (ceil(max(len(ids)) OVER (PARTITION BY i // 16) / 8.0) * 8)::INT AS width FROM x), p AS (SELECT *, list_transform(range(0, width - len(ids)), lambda v_: 1) AS gap FROM w)
+    SELECT rec_no, {Q.ids_text('list_concat(gap, ids)')} AS input_ids, {Q.ids_text('list_concat(list_transform(gap, lambda v_: 0), list_transform(ids, lambda v_: 1))')} AS attention_mask,
+      {Q.ids_text('list_concat(list_transform(gap, lambda v_: -7), ids)')} AS labels,
+      {Q.ids_text('list_concat([2], list_concat(gap, ids)[1:width - 1])')} AS decoder_input_ids FROM p WHERE width > 0""")
+def collated(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _read(spark, folder, "natural_corpus").where(F.col("context").isNotNull()).select("rec_no", K.token_ids(F.col("context")).alias("input_ids"))
+    rows = rows.join(rows.select("rec_no", (F.row_number().over(Window.orderBy("rec_no")) - 1).alias("i")), "rec_no")
+    rows = rows.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids"))).withColumn("labels", F.col("input_ids")).withColumn("target_input_ids", F.col("input_ids"))
+    out = collation.collate(rows, "i", 16, 8, side="left", ignore=-7)
+    return out.select("rec_no", *(ids_text(F.col(c)).alias(c) for c in ("input_ids", "attention_mask", "labels", "decoder_input_ids")))
+
+
+@query("""SELECT rec_no, lower(coalesce(array_to_string(answers, ', '), '')) AS prediction, coalesce(array_to_string(answers, ', '), '') AS ground
+    FROM wtq WHERE regexp_full_match(coalesce(array_to_string(answers, ', '), ''), '([!-~]([ -~]*[!-~])?)?') AND NOT regexp_matches(lower(coalesce(array_to_string(answers, ', '), '')), '(^|, )[+-]?nan(, |$)')""")
+def decoded_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers as ids of their characters, labels with ignored places behind, decoded and scored: all are right."""
+    text = F.coalesce(F.array_join("answers", ", "), F.lit(""))
+    rows = _read(spark, folder, "wtq").where(text.rlike("^([!-~]([ -~]*[!-~])?)?$")).where(~F.lower(text).rlike("(^|, )[+-]?nan(, |$)"))
+    ids = lambda s: F.transform(F.filter(F.split(s, ""), lambda c: F.length(c) > 0), lambda c: F.ascii(c) + 100)
+    words = F.create_map(*(F.lit(x) for c in range(32, 127) for x in (c + 100, chr(c))))
+    rows = rows.select("rec_no", ids(F.lower(text)).alias("said"), F.concat(ids(text), F.array_repeat(F.lit(K.IGNORE), 3)).alias("labels"))
+    scored = scoring.id_scores(rows, "said", "labels", words)
+    return scored.where("correct").select("rec_no", "prediction", "ground")
+
+
+# Sources and sinks: tables written in each format and read back.
+
+
+_CORPUS_ROWS = " UNION ALL ".join(f"""SELECT '{n}' AS corpus, rec_no, context, coalesce(len("table".rows), -1)::INT AS n_rows, coalesce(len(mentions), -1)::INT AS n_mentions,
+    coalesce(array_to_string(answers, '|'), '') AS answers FROM {n}_corpus""" for n in readers.CORPORA)
+
+
+@query(_CORPUS_ROWS)
+def source_corpora(spark: SparkSession, folder: str) -> DataFrame:
+    root = scratch(spark)
+    # rec_no travels as the first answer, so that lines can be told apart.
+    for n, df in _corpora(spark, folder).items():
+        df.select("context", "table", "mentions", F.concat(F.array(F.col("rec_no").cast("string")), F.coalesce("answers", F.array().cast("array<string>"))).alias("answers")).write.json(f"{root}/{n}.jsonl")
+    out = None
+    for n, df in readers.read_corpora(spark, root).items():
+        rest = F.array_join(F.slice("answers", 2, F.size("answers")), "|")
+        part = df.select(F.lit(n).alias("corpus"), F.get("answers", 0).cast("bigint").alias("rec_no"), "context", F.coalesce(F.size("table.rows"), F.lit(-1)).alias("n_rows"), F.coalesce(F.size("mentions"), F.lit(-1)).alias("n_mentions"), rest.alias("answers"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _question_rows(spark: SparkSession, folder: str, split: str) -> DataFrame:
+    return readers.select_split(_read(spark, folder, "wtq"), split).select(F.col("rec_no").cast("string").alias("id"), "question", "table", "answers")
+
+
+def _questions_back(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    root = scratch(spark)
+    for split in readers.SPLITS:
+        rows = _question_rows(spark, folder, split)
+        if kind == "csv":
+            rows = rows.select("id", "question", F.to_json("table", {"ignoreNullFields": "false"}).alias("table"), F.to_json("answers").alias("answers"))
+            rows.write.csv(f"{root}/{split}.csv", header=True, escape='"', quoteAll=True, emptyValue="", nullValue="")
+        else:
+            rows.write.json(f"{root}/{split}.json")
+    back = readers.read_questions(spark, {s: f"{root}/{s}.{kind}" for s in readers.SPLITS})
+    return back.select("split", F.col("id").cast("bigint").alias("rec_no"), F.coalesce("question", F.lit("")).alias("question"), F.coalesce(T.linearize(F.col("table")), F.lit("")).alias("flat"), F.coalesce(F.array_join("answers", "|"), F.lit("")).alias("answers"))
+
+
+_QUESTIONS = f"""SELECT split, rec_no, coalesce(question, '') AS question, CASE WHEN "table" IS NOT NULL THEN {_FLAT} ELSE '' END AS flat, coalesce(array_to_string(answers, '|'), '') AS answers FROM wtq"""
+
+
+@query(_QUESTIONS)
+def source_json(spark: SparkSession, folder: str) -> DataFrame:
+    return _questions_back(spark, folder, "json")
+
+
+@query(_QUESTIONS)
+def source_csv(spark: SparkSession, folder: str) -> DataFrame:
+    return _questions_back(spark, folder, "csv")
+
+
+def _escaped(s):  # noqa: ANN001, ANN202
+    return F.replace(F.replace(F.replace(s, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\p")), F.lit("\n"), F.lit("\\n"))
+
+
+@query("""SELECT o_orderkey, o_orderstatus || '|' || o_orderpriority AS originals, o_custkey::VARCHAR AS canonicals FROM orders""")
+def source_targets(spark: SparkSession, folder: str) -> DataFrame:
+    """Tagged TSV written in two files with other orders of fields, read back by their header lines."""
+    root = scratch(spark)
+    rows = _read(spark, folder, "orders").select(F.concat(F.lit("k"), F.col("o_orderkey").cast("string")).alias("id"), F.concat_ws("|", *map(_escaped, (F.col("o_orderstatus"), F.col("o_orderpriority")))).alias("o"), F.col("o_custkey").cast("string").alias("c"))
+    for k, fields in enumerate((["id", "o", "c"], ["c", "id", "o"])):
+        names = {"id": "id", "o": "targetValue", "c": "targetCanon"}
+        part = rows.where(F.crc32("id") % 2 == k).select(*(F.col(f).alias(names[f]) for f in fields))
+        part.write.csv(f"{root}/{k}", sep="\t", header=True, quote="")
+    read = readers.read_targets(spark, f"{root}/*")
+    return read.select(F.expr("cast(substr(ex_id, 2) as bigint)").alias("o_orderkey"), F.array_join("originals", "|").alias("originals"), F.array_join("canonicals", "|").alias("canonicals"))
+
+
+@query("SELECT rec_no, question AS prediction FROM wtq WHERE question IS NOT NULL AND regexp_full_match(question, '[!-~]([ -~]*[!-~])?')")
+def sink_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """Predictions written in order, and ids beside them; read back by line number and joined to their targets with both checks."""
+    root = scratch(spark)
+    rows = _read(spark, folder, "wtq").where(F.col("question").rlike("^[!-~]([ -~]*[!-~])?$")).select("rec_no", "question")
+    sinks.write_predictions(rows, "rec_no", "question", f"{root}/said")
+    sinks.write_predictions(rows.withColumn("id", F.col("rec_no").cast("string")), "rec_no", "id", f"{root}/ids")
+    lines = [_whole_file(spark, f"{root}/{n}") for n in ("said", "ids")]
+    said = scoring.predictions_with_ids(lines[0], lines[1].select("line", F.col("value").alias("id")))
+    joined = scoring.join_targets(said, rows.select(F.col("rec_no").cast("string").alias("ex_id")))
+    return joined.select(F.col("ex_id").cast("bigint").alias("rec_no"), "prediction")
+
+
+def _whole_file(spark: SparkSession, path: str) -> DataFrame:
+    """Part files in order, as one file's numbered lines."""
+    lines = readers._numbered(spark, path)
+    before = lines.groupBy("file").agg(F.count("*").alias("n")).select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
+    return lines.join(before, "file").select((F.col("before") + F.col("line")).alias("line"), X.py_strip(F.col("value")).alias("value"))
+
+
+@query("""WITH t AS (SELECT id, max(rec_no) AS rec_no FROM wtq WHERE split = 'train' AND id IS NOT NULL GROUP BY id)
+    SELECT rec_no, id FROM t WHERE id IN (SELECT id FROM t ORDER BY id LIMIT 64)""")
+def fewshot_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """Training rows of a file of ids, one row each, with the count checked."""
+    train = readers.last_wins(readers.select_split(_read(spark, folder, "wtq"), "train").where("id is not null"), "id", F.col("rec_no"), ["rec_no"])
+    path = scratch(spark)
+    train.orderBy("id").limit(64).select("id").write.text(path)
+    return readers.keep_ids(train, readers.id_set(spark, path)).select("rec_no", "id")

@@ -59,15 +59,20 @@ def select_split(df: DataFrame, split: str, predicting: bool = False) -> DataFra
     return df.where(F.col("split") == split)
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value): the lines of a text file with their number from 0, stripped; split at newlines only.
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): the lines of text files with their number in the file from 0; split at newlines only.
 
-    Numbers come from counts per partition, so the file may be split over many tasks.
+    Numbers come from counts per partition and file, so a file may be split over many tasks. What is broadcast has a row for each partition and file.
     """
-    lines = spark.read.text(path).select("value", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
-    before = lines.groupBy("part").agg(F.count("*").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    in_part = F.col("at").bitwiseAND((1 << 33) - 1)
-    return lines.join(F.broadcast(before), "part").select((F.col("before") + in_part).alias("line"), X.py_strip(F.col("value")).alias("value"))
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    counts = lines.groupBy("file", "part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = counts.select("file", "part", "first", (F.sum("n").over(Window.partitionBy("file").orderBy("part")) - F.col("n")).alias("before"))
+    return lines.join(before, ["file", "part"]).select("file", (F.col("before") + F.col("at") - F.col("first")).alias("line"), "value")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value): the lines of one text file with their number from 0, stripped."""
+    return _numbered(spark, path).select("line", X.py_strip(F.col("value")).alias("value"))
 
 
 def id_set(spark: SparkSession, path: str) -> DataFrame:
@@ -86,12 +91,12 @@ def read_targets(spark: SparkSession, folder: str) -> DataFrame:
     Fields are found by name (id, targetValue, targetCanon); a shorter line lacks its last fields. Of lines with one id
     the last of the last file counts.
     """
-    files = spark.read.text(folder, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\r?\n", -1).alias("lines"))
-    head = F.split(F.get("lines", 0), "\t", -1)
-    rows = files.select("file", head.alias("head"), F.posexplode("lines").alias("line", "text")).where("line > 0 and text <> ''")
-    parts = F.split("text", "\t", -1)
-    at = lambda name: F.get(parts, (F.array_position("head", name) - 1).cast("int"))
-    rows = rows.select("file", "line", at("id").alias("ex_id"), at("targetValue").alias("o"), at("targetCanon").alias("c"))
+    lines = _numbered(spark, folder).withColumn("value", F.regexp_replace("value", "\r$", ""))
+    # The fields' places in a file, from its first line: a row for each file.
+    place = lambda name: (F.array_position(F.split("value", "\t", -1), name) - 1).cast("int")
+    heads = lines.where("line = 0").select("file", *(place(name).alias(f"at_{name}") for name in ("id", "targetValue", "targetCanon")))
+    field = lambda name: F.get(F.split("value", "\t", -1), F.col(f"at_{name}"))
+    rows = lines.where("line > 0 and value <> ''").join(heads, "file").select("file", "line", field("id").alias("ex_id"), field("targetValue").alias("o"), field("targetCanon").alias("c"))
     last = last_wins(rows, "ex_id", F.struct("file", "line"), ["o", "c"])
     return last.select("ex_id", X.tsv_unescape_list(F.col("o")).alias("originals"), X.tsv_unescape_list(F.col("c")).alias("canonicals"))
 
@@ -127,3 +132,25 @@ def grouped_tables(df: DataFrame, key: str, columns: list[str], order: list[str]
     cells = F.array(*(F.col(c).cast("string") for c in columns))
     rows = F.array_sort(F.collect_list(F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), cells.alias("cells"))))
     return df.groupBy(key).agg(F.struct(F.array(*map(F.lit, columns)).alias("header"), F.transform(rows, lambda r: r["cells"]).alias("rows")).cast(TABLE).alias("table"))
+
+
+#: Fewer rows than this on one side are sent to all tasks when tables and questions are paired.
+MAX_BROADCAST_ROWS = 100_000
+
+
+def pair(tables: DataFrame, questions: DataFrame) -> DataFrame:
+    """Every question with every table: columns of both. The smaller side, by count, is sent to all tasks; two sides of over ``MAX_BROADCAST_ROWS`` rows are refused."""
+    sides = [tables, questions]
+    sizes = [df.limit(MAX_BROADCAST_ROWS + 1).count() for df in sides]
+    small = sizes.index(min(sizes))
+    if sizes[small] > MAX_BROADCAST_ROWS:
+        raise ValueError("both sides are too large to pair")
+    sides[small] = F.broadcast(sides[small])
+    return sides[0].crossJoin(sides[1])
+
+
+def content_key(df: DataFrame, *columns: str) -> DataFrame:
+    """Adds key, a hash of the columns and the ordinal among rows with equal columns: the same on every cluster, whatever the files' splits are."""
+    digest = F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
+    ordinal = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    return df.withColumn("key", digest).withColumn("key", F.concat_ws("-", "key", ordinal.cast("string")))

@@ -42,9 +42,9 @@ def test_lines_ids_and_targets(spark, tmp_path):
     folder = tmp_path / "tagged"
     folder.mkdir()
     (folder / "a.tsv").write_text("id\ttargetValue\ttargetCanon\nnu-0\tx\\pz|y\t1|2\nnu-1\told\told\n")
-    (folder / "b.tsv").write_text("targetCanon\tid\ttargetValue\n3\tnu-1\tnew\n")
+    (folder / "b.tsv").write_text("targetCanon\tid\ttargetValue\n3\tnu-1\tnew\r\n\n4\tnu-5\n")
     targets = readers.read_targets(spark, str(folder))
-    assert {r.ex_id: (r.originals, r.canonicals) for r in targets.collect()} == {"nu-0": (["x|z", "y"], ["1", "2"]), "nu-1": (["new"], ["3"])}
+    assert {r.ex_id: (r.originals, r.canonicals) for r in targets.collect()} == {"nu-0": (["x|z", "y"], ["1", "2"]), "nu-1": (["new"], ["3"]), "nu-5": (None, ["4"])}
     (tmp_path / "pred").write_text("1, 2\n3.0\n")
     predictions = scoring.predictions_with_ids(readers.numbered_lines(spark, str(tmp_path / "pred")), None)
     scored = scoring.denotation_scores(scoring.join_targets(predictions, targets), "prediction", "originals", "canonicals")
@@ -65,8 +65,25 @@ def test_sinks(spark, tmp_path):
         sinks.write_metrics(report, str(tmp_path / "m"))
     made = []
     make = lambda: made.append(1) or df
-    assert sinks.cached(make, str(tmp_path / "c"), {"a": 1}).count() == sinks.cached(make, str(tmp_path / "c"), {"a": 1}).count() == 3
-    assert len(made) == 1
+    source = tmp_path / "in.txt"
+    source.write_text("a")
+    again = lambda settings: sinks.cached(spark, make, str(tmp_path / "c"), settings, [str(source)]).count()
+    assert again({"a": 1}) == again({"a": 1}) == 3 and len(made) == 1
+    assert again({"a": 2}) == 3 and len(made) == 2
+    source.write_text("other")  # the same settings over other data
+    assert again({"a": 1}) == 3 and len(made) == 3
+
+
+def test_pairs_and_content_keys(spark, monkeypatch):
+    one, two = spark.range(3), spark.createDataFrame([("a",), ("b",)], "q string")
+    assert readers.pair(one, two).count() == readers.pair(two, one).count() == 6
+    assert "Broadcast" in readers.pair(one, two)._jdf.queryExecution().toString()
+    monkeypatch.setattr(readers, "MAX_BROADCAST_ROWS", 1)
+    with pytest.raises(ValueError):
+        readers.pair(one, two)
+    rows = spark.createDataFrame([("x", 1), ("x", 1), ("y", None), (None, 1)], "a string, b int")
+    keys = {frozenset(r.key for r in readers.content_key(rows.repartition(n), "a", "b").collect()) for n in (1, 3)}
+    assert len(keys) == 1 and len(next(iter(keys))) == 4
 
 
 def test_frame_and_predictor(spark):
