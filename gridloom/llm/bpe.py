@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed value: the pattern that splits text before merging (public, part of the vocabulary's definition).
+#: Fixed value: the pattern that splits text before merging, which a file names as its pre-tokenizer ByteLevel (public).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same pattern for the standard library's engine, whose letters hold the numbers that aren't decimal digits and
 #: whose white space holds four control characters; texts with any of these are split by PATTERN.
@@ -45,7 +45,10 @@ class Encoder:
     """Encodes text by the vocabulary and merges of a byte-level BPE file (the JSON of the tokenizers library)."""
 
     def __init__(self, spec: bytes):
-        model = json.loads(spec)["model"]
+        whole = json.loads(spec)
+        model, before = whole["model"], whole.get("pre_tokenizer") or {}
+        if model.get("type") != "BPE" or before.get("type") != "ByteLevel" or not before.get("use_regex", True) or before.get("add_prefix_space") or whole.get("normalizer") or model.get("ignore_merges"):
+            raise ValueError("not a byte-level BPE file with the standard pattern")
         letters = byte_letters()
         latin = {w: "".join(chr(letters[c]) for c in w) for w in model["vocab"] if all(c in letters for c in w)}
         ids: dict[str, int] = model["vocab"]

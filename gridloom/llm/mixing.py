@@ -16,7 +16,7 @@ import random
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.splitting import table_chars
@@ -201,3 +201,25 @@ def shares(mix: DataFrame, targets: DataFrame) -> DataFrame:
     size = F.when(F.col("size_unit") == "chars", F.col("chars_used")).otherwise(F.col("n_used")).cast("double")
     total = t.groupBy("mix_id").agg(F.sum("weight").alias("w"), F.sum(size).alias("s"))
     return t.join(total, "mix_id").select("mix_id", "corpus", "size_unit", (F.col("weight") / F.nullif("w", F.lit(0.0))).alias("target_share"), (size / F.nullif("s", F.lit(0.0))).alias("actual_share"), "n_records", "n_used", "chars_used", "most_copies")
+
+
+def checked(mix: DataFrame, corpora: dict[str, tuple[DataFrame, str | None]], targets: DataFrame) -> DataFrame:
+    """What must hold of a mix, for every target: (mix_id, corpus, target_share, over_cap, repeated, unusable, close).
+
+    over_cap: records used more than max_repeats times, repeated: rows of one record beyond the first, unusable: records that aren't usable, close: whether the actual share is
+    that of the target within three records of the largest size.
+    """
+    ok = units(corpora).select("corpus", "rec_no", F.lit(True).alias("ok"))
+    caps = targets.select("mix_id", "corpus", "max_repeats")
+    rows = mix.join(ok, ["corpus", "rec_no"], "left").join(caps, ["mix_id", "corpus"])
+    per = rows.groupBy("mix_id", "corpus", "rec_no").agg(F.count("*").alias("n"), F.sum("copies").alias("copies"), F.max("chars").alias("chars"), F.max("max_repeats").alias("cap"), F.max("ok").alias("ok"))
+    faults = per.groupBy("mix_id", "corpus").agg(
+        F.count_if(F.col("copies") > F.col("cap")).alias("over_cap"), F.sum(F.col("n") - 1).alias("repeated"), F.count_if(F.col("ok").isNull()).alias("unusable"), F.max("chars").alias("largest")
+    )
+    largest = F.when(F.col("size_unit") == "chars", F.max("largest").over(Window.partitionBy("mix_id"))).otherwise(F.lit(1))
+    size = F.when(F.col("size_unit") == "chars", F.col("chars_used")).otherwise(F.col("n_used"))
+    got = shares(mix, targets).join(faults, ["mix_id", "corpus"], "left")
+    total = F.sum(size).over(Window.partitionBy("mix_id"))
+    close = (F.abs(F.col("actual_share") - F.col("target_share")) <= 3 * largest / total) | (total == 0)
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return got.select("mix_id", "corpus", "target_share", zero("over_cap"), zero("repeated"), zero("unusable"), close.alias("close"))

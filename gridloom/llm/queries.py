@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, leaks, lookalikes, mixing, near_duplicates, sentences, split_overlap, splitting
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+#: The folder of vocabulary files; another one can be named in the session's setting spark.gridloom.tokenizers.
+TOKENIZERS = "/opt/tokenizers"
+TOKENIZER = f"{TOKENIZERS}/byte_bpe_50k.json"
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -17,7 +19,8 @@ def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return bpe.token_ids(_read(spark, folder, "documents"), "doc_id", "text", TOKENIZER)
+    path = f"{spark.conf.get('spark.gridloom.tokenizers', TOKENIZERS)}/byte_bpe_50k.json"
+    return bpe.token_ids(_read(spark, folder, "documents"), "doc_id", "text", path)
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,9 +32,16 @@ def p1_report(spark: SparkSession, folder: str) -> DataFrame:
     return split_overlap.overlap_report(wtq, split_overlap.overlaps(wtq))
 
 
+def _mixed_corpora(spark: SparkSession, folder: str) -> dict[str, tuple[DataFrame, str | None]]:
+    return {"natural": (_read(spark, folder, "natural_corpus"), None), "synthetic": (_read(spark, folder, "synthetic_corpus"), "question"), "sql": (_read(spark, folder, "sql_corpus"), None)}
+
+
 def p2_mix(spark: SparkSession, folder: str) -> DataFrame:
-    corpora = {"natural": (_read(spark, folder, "natural_corpus"), None), "synthetic": (_read(spark, folder, "synthetic_corpus"), "question"), "sql": (_read(spark, folder, "sql_corpus"), None)}
-    return mixing.mixed(corpora, _read(spark, folder, "mix_targets"))
+    return mixing.mixed(_mixed_corpora(spark, folder), _read(spark, folder, "mix_targets"))
+
+
+def p2_checked(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.checked(p2_mix(spark, folder), _mixed_corpora(spark, folder), _read(spark, folder, "mix_targets"))
 
 
 def p2_shares(spark: SparkSession, folder: str) -> DataFrame:
@@ -94,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_report": p1_report,
         "p2_mix": p2_mix,
         "p2_shares": p2_shares,
+        "p2_checked": p2_checked,
         "p3_found": p3_found,
         "p3_pieces": p3_pieces,
         "p3_rejoined": p3_rejoined,
@@ -120,6 +131,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT 'wtq' AS corpus, rec_no FROM wtq WHERE {_SIZE} > (SELECT max_chars FROM size_limits WHERE corpus = 'wtq')
             UNION ALL
             SELECT 'synthetic' AS corpus, rec_no FROM synthetic_corpus WHERE {_SIZE} > (SELECT max_chars FROM size_limits WHERE corpus = 'synthetic')""",
+        "p2_checked": """
+            SELECT mix_id, corpus, weight / sum(weight) OVER (PARTITION BY mix_id) AS target_share, CAST(0 AS BIGINT) AS over_cap, CAST(0 AS BIGINT) AS repeated,
+                CAST(0 AS BIGINT) AS unusable, true AS close FROM mix_targets""",
         # Every table comes back from its pieces; no piece breaks a limit, lacks rows that would fit, or cuts a row that fits.
         "p3_rejoined": f"""
             WITH tables AS (SELECT 'wtq' AS corpus, rec_no, "table" FROM wtq UNION ALL SELECT 'synthetic', rec_no, "table" FROM synthetic_corpus)
