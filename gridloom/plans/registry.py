@@ -724,7 +724,7 @@ def _questions_back(spark: SparkSession, folder: str, kind: str) -> DataFrame:
         rows = _question_rows(spark, folder, split)
         if kind == "csv":
             rows = rows.select("id", "question", F.to_json("table", {"ignoreNullFields": "false"}).alias("table"), F.to_json("answers").alias("answers"))
-            rows.write.csv(f"{root}/{split}.csv", header=True, escape='"', quoteAll=True, emptyValue="", nullValue="")
+            rows.write.csv(f"{root}/{split}.csv", header=True, escape='"', quoteAll=True, emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
         else:
             rows.write.json(f"{root}/{split}.json")
     back = readers.read_questions(spark, {s: f"{root}/{s}.{kind}" for s in readers.SPLITS})
