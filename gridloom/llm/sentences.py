@@ -330,8 +330,22 @@ def context(block: Block, anchor: tuple[int, ...]) -> tuple:
     return text[max(j, e - 3) : e], closed, token, inner, before, shape, gap, bool(opened.strip("¿¡ ")), after, two, start, place
 
 
-def contexts(block: Block, places: list[int]) -> list[tuple]:
-    return [context(block, x) for x in block.page.anchors(places, [block.begin] * len(places))]
+def contexts(page: Page, blocks: list[Block], places: list[list[int]]) -> list[list[tuple]]:
+    """The contexts of the places of each block of a page."""
+    anchors = iter(page.anchors([p for own in places for p in own], [b.begin for b, own in zip(blocks, places) for _ in own]))
+    return [[context(b, next(anchors)) for _ in own] for b, own in zip(blocks, places)]
+
+
+def by_block(blocks: list[Block], places: np.ndarray) -> list[list[int]]:
+    """Ascending places of a page by the block before whose last character they stand, without those inside quotations and brackets."""
+    first = np.searchsorted(places, [b.begin for b in blocks]).tolist()
+    last = np.searchsorted(places, [b.last for b in blocks]).tolist()
+    all_places = places.tolist()
+    out = []
+    for b, i, j in zip(blocks, first, last):
+        own = all_places[i:j]
+        out.append([p for p, within in zip(own, b.inside(own)) if not within] if own else own)
+    return out
 
 
 def _place(text: str, opening: int, begin: int) -> str:
@@ -360,24 +374,18 @@ def _right_keys(right: tuple[str, str, str]) -> list[tuple]:
     return [("a", after), *two, ("s", start)]
 
 
-def candidates(block: Block) -> list[int]:
-    """Places that could be learned as boundaries: after marks and the signs that close them, and letters of scripts without marks before a single space."""
-    text, codes = block.page.text, block.page.codes[block.begin : block.last]
+def candidates(page: Page, blocks: list[Block]) -> list[list[int]]:
+    """Of each block the places that could be learned as boundaries: after marks and the signs that close them, and letters of scripts without marks before a single space."""
+    text, codes = page.text, page.codes
     own, nxt, gap = codes // (_GAPS * _K) % _K, codes % _K, codes // _K % _GAPS
-    ends = _ENDS[own]
     bare = (own == _C["thai"]) & (gap == _ONE) & (nxt == _C["thai"])
-    places = (np.flatnonzero((codes >= 0) & (ends & ~((gap == _NONE) & _ENDS[nxt]) | bare)) + block.begin).tolist()
-    out = []
-    for p, within in zip(places, block.inside(places)):
-        if within:
-            continue
-        if text[p] in _CLOSERS:
-            opening = block.opening(p)
-            inner = text[opening + 1 : p].rstrip()[-1:] if opening is not None else ""
-            if not inner or inner not in _MARKS:
-                continue
-        out.append(p)
-    return out
+    places = np.flatnonzero((codes >= 0) & (_ENDS[own] & ~((gap == _NONE) & _ENDS[nxt]) | bare))
+
+    def closes(block: Block, p: int) -> bool:
+        opening = block.opening(p)
+        return opening is not None and text[opening + 1 : p].rstrip()[-1:] in tuple(_MARKS)
+
+    return [[p for p in own if text[p] not in _CLOSERS or closes(b, p)] for b, own in zip(blocks, by_block(blocks, places))]
 
 
 def _finished(part: str) -> bool:
@@ -388,19 +396,22 @@ def _finished(part: str) -> bool:
 class Evidence:
     """How often a context stands at the edge of a block and how often within one."""
 
-    def __init__(self, blocks: list[Block]):
+    def __init__(self, page: Page, blocks: list[Block], around: list[list[tuple]]):
+        """``around``: the contexts of the candidates of each block."""
         self.edge: Counter = Counter()
         self.within: Counter = Counter()
         places: list[tuple] = []
-        for b in blocks:
-            if not _finished(b.string):
-                continue  # a heading, table or query, or cut off
+        # Others are headings, tables or queries, or cut off.
+        finished = [_finished(b.string) for b in blocks]
+        whole = [b for b, ok in zip(blocks, finished) if ok]
+        for b, (edge,) in zip(whole, contexts(page, whole, [[b.last] for b in whole])):
             self.edge.update(_right_keys(_right(b, b.begin)[1:]))
-            *within, edge = contexts(b, [*candidates(b), b.last])
             self.edge.update(_left_keys(edge))
-            places += within
-            for c in within:
-                self.within.update(_left_keys(c))
+        for within, ok in zip(around, finished):
+            if ok:
+                places += within
+                for c in within:
+                    self.within.update(_left_keys(c))
         # What follows is counted only after what can be an end.
         for c in places:
             if self.can_be_edge(_left_keys(c)):
@@ -418,7 +429,7 @@ class Evidence:
         """The label of a candidate by its context, for training."""
         if not c[_MARK]:
             return True  # the space of a script without marks
-        if block.string.count(" | ") > 2:
+        if block.bar and block.string.count(" | ") > 2:
             return False  # a flattened table is one unit
         if c[_GAP] == _NONE and c[_START] in ("lower", "digit") and not c[_CLOSED] and c[_MARK][-1] not in _WIDE:
             return False  # inside a number, file name or address
@@ -452,23 +463,16 @@ class Model:
     def ends(self, page: Page) -> list[int]:
         """Places of the characters tagged as boundary, those at the end of a block included."""
         blocks = page.blocks()
-        found = self.places(page)
-        begins = np.array([b.begin for b in blocks], np.int64)
-        owner = np.searchsorted(begins, found, "right") - 1
-        before_last = found < np.array([b.last for b in blocks], np.int64)[owner]
-        found, owner = found[before_last], owner[before_last]
-        anchors = page.anchors(found.tolist(), begins[owner].tolist())
-        bases = self.window[page.codes[found]].tolist()
-        ends = np.searchsorted(owner, np.arange(len(blocks)), "right").tolist()
-        weights, sums, out, i = self.weights, self.signs, [], 0
-        for block, end in zip(blocks, ends):
-            if i < end:
-                places, scores = [], []
-                mine = anchors[i:end]
-                for x, within, base in zip(mine, block.inside([x[0] for x in mine]), bases[i:end]):
-                    if within:
-                        continue
-                    signs, words = _features(block, context(block, x))
+        places_of = by_block(blocks, self.places(page))
+        all_places = [p for own in places_of for p in own]
+        anchors = iter(page.anchors(all_places, [b.begin for b, own in zip(blocks, places_of) for _ in own]))
+        bases = iter(self.window[page.codes[all_places]].tolist())
+        weights, sums, out = self.weights, self.signs, []
+        for block, places in zip(blocks, places_of):
+            if places:
+                scores = []
+                for _ in places:
+                    signs, words = _features(block, context(block, next(anchors)))
                     known = sums.get(signs)
                     if known is None:
                         if len(sums) > 100_000:
@@ -477,11 +481,8 @@ class Model:
                     for f in words:
                         if f in weights:
                             known += weights[f]
-                    places.append(x[0])
-                    scores.append(known + base)
-                if places:
-                    out += [p for p, tag in zip(places, viterbi(places, scores, self.step)) if tag]
-                i = end
+                    scores.append(known + next(bases))
+                out += [p for p, tag in zip(places, viterbi(places, scores, self.step)) if tag]
             out.append(block.last)
         return out
 
@@ -508,56 +509,71 @@ def viterbi(places: list[int], scores: list[float], step: list[list[float]]) ->
     return tags[::-1]
 
 
-def _training_blocks(texts: list[str]) -> tuple[list[Block], list[tuple[Block, int | None]]]:
-    """The blocks themselves, and what is trained on: blocks, stripped copies and joined neighbours with the place of their seam."""
-    blocks: list[Block] = []
-    data: list[tuple[Block, int | None]] = []
-    for text in texts:
-        before: str | None = None
-        for block in Page(_INVISIBLE.sub("", text)).blocks():
-            blocks.append(block)
-            data.append((block, None))
-            part = block.string
-            own = block.page.codes[block.begin : block.end]
-            bare = bool((own[own >= 0] // (_GAPS * _K) % _K == _C["thai"]).mean() > 0.5)
-            if bare:
-                data += [(x, None) for x in Page(re.sub(f"[{_MARKS}]", "", part)).blocks()]
-            if before is not None and (bare or before[-1] in _MARKS):
-                seam = Page(before + ("" if before[-1] in _WIDE else " ") + part).blocks()
-                data += [(x, len(before) - 1) for x in seam]
-            before = part if bare or part[-1] in _MARKS else None
-    return blocks, data
+def _derived(page: Page, blocks: list[Block], documents: list[int]) -> list[tuple[str, int | None]]:
+    """Copies of blocks without marks, for scripts without them, and joined neighbours of one document with the place of their seam."""
+    out: list[tuple[str, int | None]] = []
+    before, last = None, None
+    for block, document in zip(blocks, documents):
+        if document != last:
+            before, last = None, document
+        part = block.string
+        own = page.codes[block.begin : block.end]
+        bare = bool((own[own >= 0] // (_GAPS * _K) % _K == _C["thai"]).mean() > 0.5)
+        if bare:
+            stripped = _BLANK_LINE.sub("\n", re.sub(f"[{_MARKS}]", "", part)).strip()
+            if stripped:
+                out.append((stripped, None))
+        if before is not None and (bare or before[-1] in _MARKS):
+            out.append((before + ("" if before[-1] in _WIDE else " ") + part, len(before) - 1))
+        before = part if bare or part[-1] in _MARKS else None
+    return out
+
+
+def _training_pages(texts: list[str]) -> tuple[Page, list[Block], Page, list[Block], list[int | None]]:
+    """The documents as a page with its blocks, and what is derived from them as another, with the place of each block's seam."""
+    clean = [_INVISIBLE.sub("", t) for t in texts]
+    begins = np.cumsum([0, *(len(t) + 2 for t in clean)])
+    page = Page("\n\n".join(clean))
+    blocks = page.blocks()
+    derived = _derived(page, blocks, np.searchsorted(begins, [b.begin for b in blocks], "right").tolist())
+    more = Page("\n\n".join(x for x, _ in derived))
+    others = more.blocks()
+    return page, blocks, more, others, [None if seam is None else b.begin + seam for b, (_, seam) in zip(others, derived)]
 
 
 def train(texts: list[str], rounds: int = ROUNDS) -> Model:
     """Averaged structured perceptron over windows and n-grams; the same texts in the same order give the same weights."""
-    blocks, joined = _training_blocks(texts)
-    evidence = Evidence(blocks)
+    page, blocks, more, others, seams = _training_pages(texts)
+    could = candidates(page, blocks)
+    around = contexts(page, blocks, could)
+    evidence = Evidence(page, blocks, around)
     size = _K * _GAPS * _K * _K
     seen, hits = np.zeros(size), np.zeros(size)
-    data = []
-    for block, seam in joined:
-        if seam is not None and any(block.inside([seam])):
-            continue
-        could = candidates(block)
-        gold = {p for p, c in zip(could, contexts(block, could)) if p == seam or evidence.label(block, c)}
-        codes = block.page.codes
-        own = codes[block.begin : block.last]
-        seen += np.bincount(own[own >= 0], minlength=size)
-        hits += np.bincount(codes[sorted(gold)], minlength=size) if gold else 0
-        data.append((block, gold))
+    parts = []
+    more_could = candidates(more, others)
+    for whole, own, places, known, known_seams in ((page, blocks, could, around, [None] * len(blocks)), (more, others, more_could, contexts(more, others, more_could), seams)):
+        golds = [{p for p, c in zip(ps, cs) if p == seam or evidence.label(b, c)} for b, ps, cs, seam in zip(own, places, known, known_seams)]
+        # A seam inside a sign of quotation isn't known to be one.
+        use = [seam is None or not any(b.inside([seam])) for b, seam in zip(own, known_seams)]
+        at = np.zeros(len(whole.codes) + 1, bool)
+        for b, ok in zip(own, use):
+            at[b.begin : b.last] = ok
+        at = at[:-1] & (whole.codes >= 0)
+        seen += np.bincount(whole.codes[at], minlength=size)
+        chosen = [p for gold, ok in zip(golds, use) if ok for p in gold]
+        hits += np.bincount(whole.codes[chosen], minlength=size) if chosen else 0
+        parts.append((whole, [b for b, ok in zip(own, use) if ok], [g for g, ok in zip(golds, use) if ok]))
     window, open_ = _windows(seen, hits)
     counts: Counter = Counter()
     found = []
-    for block, gold in data:
-        codes = block.page.codes[block.begin : block.last]
-        places = (np.flatnonzero(open_[codes] & (codes >= 0)) + block.begin).tolist()
-        places = [p for p, within in zip(places, block.inside(places)) if not within] if places else places
-        if places:
-            fs = [_sign_features(signs) + words for signs, words in (_features(block, c) for c in contexts(block, places))]
-            for f in fs:
-                counts.update(f)
-            found.append((places, fs, [int(p in gold) for p in places], window[block.page.codes[places]].tolist()))
+    for whole, own, golds in parts:
+        places_of = by_block(own, np.flatnonzero(open_[whole.codes] & (whole.codes >= 0)))
+        for block, places, cs, gold in zip(own, places_of, contexts(whole, own, places_of), golds):
+            if places:
+                fs = [_sign_features(signs) + words for signs, words in (_features(block, c) for c in cs)]
+                for f in fs:
+                    counts.update(f)
+                found.append((places, fs, [int(p in gold) for p in places], window[whole.codes[places]].tolist()))
     # What differs in rare words only is learned from once.
     rows: dict = {}
     for places, fs, gold, base in found:
@@ -632,8 +648,9 @@ def sentence_ends(texts: list[str | None], model: Model) -> list[list[int]]:
 
 def seam_recall(texts: list[str], model: Model) -> tuple[int, int]:
     """(found, all) of the seams of neighbouring blocks joined as in training: boundaries that are known without any rule."""
-    seams = [(b, seam) for b, seam in _training_blocks(texts)[1] if seam is not None and not any(b.inside([seam]))]
-    return sum(seam in model.ends(b.page) for b, seam in seams), len(seams)
+    *_, page, blocks, seams = _training_pages(texts)
+    known = [seam for b, seam in zip(blocks, seams) if seam is not None and not any(b.inside([seam]))]
+    return len(set(known) & set(model.ends(page))), len(known)
 
 
 def _sample(docs: DataFrame, n: int) -> list[str]:
