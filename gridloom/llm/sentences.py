@@ -364,7 +364,8 @@ def _left_keys(c: tuple) -> list[tuple]:
     m = c[_MARK][:1] + "." * (len(c[_MARK]) > 1) + c[_CLOSED]
     # In scripts without spaces the last characters stand for the word.
     suffix = [("e", m, c[_INNER][-4:])] if c[_INNER][-1:] > "\u2e80" else []
-    return [("bt", m, c[_BEFORE], c[_TOKEN]), ("t", m, c[_TOKEN]), ("i", m, c[_INNER]), *suffix, ("b", m, c[_BEFORE]), ("bs", m, c[_BEFORE] == "^", c[_SHAPE]), ("m", m)]
+    place = [("p", m, c[_PLACE])] if c[_PLACE] else []
+    return [("bt", m, c[_BEFORE], c[_TOKEN]), ("t", m, c[_TOKEN]), ("i", m, c[_INNER]), *place, *suffix, ("b", m, c[_BEFORE]), ("bs", m, c[_BEFORE] == "^", c[_SHAPE]), ("m", m)]
 
 
 def _right_keys(right: tuple[str, str, str]) -> list[tuple]:
