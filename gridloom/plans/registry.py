@@ -13,6 +13,7 @@ from gridloom.functions import tables as T
 from gridloom.functions import text as X
 from gridloom.functions import tokens as K
 from gridloom.functions import values as V
+from gridloom.functions.tokenizers import Special, Vocabulary
 from gridloom.operators import collation, encoding, scoring
 from gridloom.operators import truncation as TR
 from gridloom.plans import pipelines
@@ -693,6 +694,22 @@ def decoded_answers(spark: SparkSession, folder: str) -> DataFrame:
     return scored.where("correct").select("rec_no", "prediction", "ground")
 
 
+_EVERYTHING = f"""(SELECT rec_no, {Q.prefixed("coalesce(context, '')")} AS q, CASE WHEN "table" IS NULL THEN '' ELSE {_FLAT} END AS fl FROM natural_corpus)"""
+
+
+@query(f"SELECT rec_no, {_strip(_BOTH)} AS text FROM {_EVERYTHING}")
+def vocabulary_encode(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole records through a vocabulary file, with budgets that cut nothing; the ids decode to the text.
+
+    The folder of vocabulary files can be named in the session's setting spark.gridloom.tokenizers.
+    """
+    end = 50256  # the only special token of this file
+    tok = Vocabulary(f"{spark.conf.get('spark.gridloom.tokenizers', '/opt/tokenizers')}/byte_bpe_50k.json", Special(start=end, end=end, pad=end, mask=end, first=0, count=end))
+    settings = encoding.Settings(max_source=10**7, max_context=10**6, max_cell=10**6, tokenizer=tok)
+    rows = encoding.salient_masking(_read(spark, folder, "natural_corpus").select("rec_no", "context", "table", "mentions"), "rec_no", settings)
+    return rows.select("rec_no", scoring.decoded(F.col("target_input_ids"), tok).alias("text"))
+
+
 # Sources and sinks: tables written in each format and read back.
 
 
