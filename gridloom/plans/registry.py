@@ -199,6 +199,15 @@ def clean_spans(spark: SparkSession, folder: str) -> DataFrame:
     return _read(spark, folder, "natural_corpus").select("rec_no", S.as_text(spans).alias("mentions"))
 
 
+@query(f"""WITH x AS (SELECT rec_no, unnest({Q.pairs('mentions')}) AS a, unnest(range(0, len({Q.pairs('mentions')}))) AS i, {Q.pairs('mentions')} AS m FROM natural_corpus)
+    SELECT rec_no, i::INT AS i, (CASE WHEN a.s >= m[i].e THEN 1 WHEN a.e <= m[i].s THEN -1 ELSE 0 END)::INT AS side FROM x WHERE i > 0""")
+def span_sides(spark: SparkSession, folder: str) -> DataFrame:
+    """On which side of the mention before each mention lies, or 0 if they overlap."""
+    rows = _read(spark, folder, "natural_corpus").select("rec_no", S.from_pairs(F.col("mentions")).alias("m"))
+    each = rows.select("rec_no", "m", F.posexplode("m").alias("i", "a")).where("i > 0").withColumn("b", F.get("m", F.col("i") - 1))
+    return each.select("rec_no", "i", S.overlap_side(F.col("a.s"), F.col("a.e"), F.col("b.s"), F.col("b.e")).alias("side"))
+
+
 _IN_TOKENS = f"""(SELECT rec_no, f, b, o, list_filter({Q.to_tokens('o', 'm')}, lambda s_: s_ IS NOT NULL) AS sp, {Q.to_tokens('o', 'm')} AS raw, {Q.ids('b')} AS ids FROM
     (SELECT rec_no, f, b, {Q.offsets('f', 'b')} AS o, m FROM (SELECT rec_no, {Q.pieces('context')} AS f, {Q.tokens('context')} AS b, {_CLEAN} AS m
       FROM natural_corpus WHERE context IS NOT NULL)))"""
@@ -454,7 +463,7 @@ def predictions_sink_lines(spark: SparkSession, folder: str) -> DataFrame:
 # Typed values and scoring.
 
 
-@query()
+@query(f"""SELECT cell, {Q.normalized('cell')} AS norm FROM (SELECT DISTINCT unnest(flatten("table".rows)) AS cell FROM wtq) WHERE cell IS NOT NULL""")
 def normalize_text(spark: SparkSession, folder: str) -> DataFrame:
     cells = _read(spark, folder, "wtq").select(F.explode(F.flatten(F.filter(F.col("table.rows"), lambda r: r.isNotNull()))).alias("cell"))
     return scoring.normalized_lookup(cells, "cell")

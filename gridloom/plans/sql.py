@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 NULL_ROWS = "[]::VARCHAR[][]"
 SPACE = r"[\x09-\x0D\x1C-\x20\x85\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 TOKEN = r"[ \t\n\r\f]*([A-Za-z0-9_]+|[^ \t\n\r\fA-Za-z0-9_])"
@@ -131,3 +133,45 @@ def truncated(source: str, question: str, max_question: int, max_length: int, ma
     cutt AS (SELECT * EXCLUDE (rows, nh, ls, budget), CASE WHEN none THEN NULL WHEN nh > budget THEN -1
         ELSE len(list_filter(range(1, len(ls) + 1), lambda i_: nh + list_sum(ls[1:i_]) <= budget)) END AS kept, rows AS allrows, nh, budget FROM lens),
     fitt AS (SELECT * EXCLUDE (allrows), allrows[1:greatest(kept, 0)] AS rows FROM cutt)"""
+
+
+def compatible() -> tuple[str, str, dict[str, str]]:
+    """Characters with a compatibility form of one character, those forms, and the forms of several characters of the first two blocks and of general punctuation; by rule."""
+    one, forms, several = [], [], {}
+    for c in map(chr, range(0x80, 0x10000)):
+        form = unicodedata.normalize("NFKD", c)
+        if form != unicodedata.normalize("NFD", c):
+            if len(form) == 1:
+                one.append(c)
+                forms.append(form)
+            elif ord(c) < 0x180 or 0x2000 <= ord(c) < 0x2070:
+                several[c] = form
+    return "".join(one), "".join(forms), several
+
+
+def quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def decomposed(s: str) -> str:
+    """Without marks on letters and in compatibility form."""
+    one, forms, several = compatible()
+    for c, form in several.items():
+        s = f"replace({s}, '{c}', {quoted(form)})"
+    return f"strip_accents(translate({s}, {quoted(one)}, {quoted(forms)}))"
+
+
+def normalized(s: str) -> str:
+    """The form in which strings are compared; notes, details and quotes at the ends go as long as there are some, up to 8 times."""
+    marks = "•♦†‡*#+"
+    plain = f"translate({decomposed(s)}, '‘’´`“”‐‑‒–—−', chr(39) || chr(39) || chr(39) || chr(39) || '\"\"------')"
+    strip = lambda x: f"regexp_replace({x}, '^{SPACE}+|{SPACE}+$', '', 'g')"
+    note = rf"(?:\[[^\]]*\]|[{marks}])"
+    notes = lambda x: rf"CASE WHEN regexp_full_match({x}, '(?s)(?:\[[0-9]+\]|[{marks}]){note}*') THEN '' ELSE regexp_replace({x}, '(?s)^(.+?){note}+$', '\1') END"
+    details = lambda x: rf"regexp_replace({x}, '(?s)^(.+?)(?: \([^)]*\))+$', '\1')"
+    quotes = lambda x: rf"regexp_replace({x}, '(?s)^\"([^\"]*)\"$', '\1')"
+    # A lambda for each step, so that the text of a step stands once.
+    bind = lambda x, f, v: f"list_transform([{x}], lambda {v}: {f(v)})[1]"
+    step = lambda a: quotes(strip(details(strip(bind(strip(a), notes, "n_")))))
+    bare = f"list_reduce(range(0, 8), lambda a_, i_: {step('a_')}, {plain})"
+    return strip(f"lower(regexp_replace(regexp_replace({bare}, '[.]$', ''), '{SPACE}+', ' ', 'g'))")
