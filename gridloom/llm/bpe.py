@@ -208,3 +208,18 @@ def token_ids(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str)
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, 512), lists], [id_col, "ids"])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {id_type}, ids array<int>")
+
+
+def texts_of(tokens: DataFrame, id_col: str, ids_col: str, tokenizer_path: str) -> DataFrame:
+    """Lists of token ids as text: (``id_col``, text STRING); null lists count as empty. The inverse of ``token_ids`` but for null texts."""
+    spec = Path(tokenizer_path).read_bytes()
+    shared = tokens.sparkSession.sparkContext.broadcast(spec)
+    id_type = dict(tokens.select(id_col).dtypes)[id_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text = {i: s.encode("latin-1") for i, s in _encoder(shared.value).text.items()}
+        for batch in batches:
+            found = [b"".join(map(text.__getitem__, ids or ())).decode() for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], [id_col, "text"])
+
+    return tokens.select(F.col(id_col), F.col(ids_col)).mapInArrow(run, f"`{id_col}` {id_type}, text string")

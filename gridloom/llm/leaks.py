@@ -129,8 +129,9 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def leaked_items(found: DataFrame, items: DataFrame) -> DataFrame:
-    """(item_id, split, n_docs, n_near, longest_run, whole) of every item: documents with a phrase and with a proximity match; whole: some document holds all its words in a row."""
+    """(item_id, split, n_docs, n_near, longest_run, whole) of every item: documents with a phrase and with a proximity match, and of phrases the longest; whole: some document holds all its words in a row."""
     phrase = F.col("kind") == PHRASE
-    hit = found.groupBy("item_id").agg(F.count_if(phrase).alias("n_docs"), F.count_if(~phrase).alias("n_near"), F.max("run").alias("longest_run"), F.max(F.col("run") == F.col("n_words")).alias("whole"))
+    run = F.when(phrase, F.col("run"))
+    hit = found.groupBy("item_id").agg(F.count_if(phrase).alias("n_docs"), F.count_if(~phrase).alias("n_near"), F.max(run).alias("longest_run"), F.max(run == F.col("n_words")).alias("whole"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return items.select("item_id", "split").join(hit, "item_id", "left").select("item_id", "split", zero("n_docs"), zero("n_near"), zero("longest_run"), F.coalesce("whole", F.lit(False)).alias("whole"))

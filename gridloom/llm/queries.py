@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, leaks, lookalikes, mixing, near_duplicates, sentences, split_overlap, splitting
+from gridloom.llm import bpe, leaks, lookalikes, mixing, near_duplicates, sentences, split_overlap, splitting, sql
 
 #: The folder of vocabulary files; another one can be named in the session's setting spark.gridloom.tokenizers.
 TOKENIZERS = "/opt/tokenizers"
@@ -19,8 +19,16 @@ def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
-    path = f"{spark.conf.get('spark.gridloom.tokenizers', TOKENIZERS)}/byte_bpe_50k.json"
-    return bpe.token_ids(_read(spark, folder, "documents"), "doc_id", "text", path)
+    return bpe.token_ids(_read(spark, folder, "documents"), "doc_id", "text", _vocabulary(spark))
+
+
+def p6_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The ids turned back into text."""
+    return bpe.texts_of(p6_ids(spark, folder), "doc_id", "ids", _vocabulary(spark))
+
+
+def _vocabulary(spark: SparkSession) -> str:
+    return f"{spark.conf.get('spark.gridloom.tokenizers', TOKENIZERS)}/byte_bpe_50k.json"
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,7 +99,12 @@ def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_items(spark: SparkSession, folder: str) -> DataFrame:
-    return leaks.leaked_items(p7_leaks(spark, folder), _read(spark, folder, "eval_items"))
+    return leaks.leaked_items(p7_leaks(spark, folder), _read(spark, folder, "eval_items")).drop("n_near")
+
+
+def p7_near(spark: SparkSession, folder: str) -> DataFrame:
+    """Items with documents that hold them nearly."""
+    return leaks.leaked_items(p7_leaks(spark, folder), _read(spark, folder, "eval_items")).where("n_near > 0").select("item_id", "split", "n_near")
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -114,9 +127,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_forms": p5_forms,
         "p5_kinds": p5_kinds,
         "p6_ids": p6_ids,
+        "p6_texts": p6_texts,
         "p7_found": p7_found,
         "p7_leaks": p7_leaks,
         "p7_items": p7_items,
+        "p7_near": p7_near,
         "p8_found": p8_found,
     }
 
@@ -127,6 +142,14 @@ _SIZE = """(coalesce(list_sum(list_transform("table".header, lambda h: coalesce(
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": sql.P1_FOUND,
+        "p1_report": sql.P1_REPORT,
+        "p4_found": sql.P4_FOUND,
+        "p4_groups": sql.P4_GROUPS,
+        "p5_found": sql.P5_FOUND,
+        "p6_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+        "p7_found": sql.P7_FOUND,
+        "p7_items": sql.P7_ITEMS,
         "p3_found": f"""
             SELECT 'wtq' AS corpus, rec_no FROM wtq WHERE {_SIZE} > (SELECT max_chars FROM size_limits WHERE corpus = 'wtq')
             UNION ALL
