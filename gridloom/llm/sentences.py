@@ -18,6 +18,7 @@ wide marks, add places that are known to be boundaries. Scripts without end mark
 
 from __future__ import annotations
 
+import gc
 import re
 import unicodedata
 from collections import Counter, defaultdict
@@ -318,8 +319,8 @@ def context(block: Block, anchor: tuple[int, ...]) -> tuple:
     text = block.page.text
     closed = text[at] if e <= at and text[at] in _CLOSERS else ""
     token, inner, shape = _token(text[max(begin, j - 40) : j])
-    # A token that begins a line after a finished one may be a list mark.
-    if p == b or "\n" in text[p:begin] and text[p - 1] in _MARKS + _CLOSERS:
+    # A short token that begins a line after a finished one may be a list mark.
+    if p == b or j - begin <= 3 and "\n" in text[p:begin] and text[p - 1] in _MARKS + _CLOSERS:
         before = "^"
     else:
         before = _word_before(text[max(q, p - 16) : p])
@@ -441,8 +442,15 @@ def _features(block: Block, around: tuple) -> tuple[tuple, list[tuple]]:
     """n-grams around a character: (signs and shapes together, which are few, and words)."""
     mark, closed, token, inner, before, shape, gap, opened, after, two, start, place = around
     signs = (mark, closed, gap, start, shape, before == "^", place, opened, block.bar, min(len(after), 5))
-    words = [("t", mark, token), ("i", mark, inner), ("e", mark, inner[-4:]), ("ti", inner, start), ("bt", before, token), ("b", mark, before), ("bs", before, shape), ("a", after, gap == _NONE), ("a2", two, start), ("ca", closed != "", after), ("c2", mark, two), ("f", block.first, mark)]
-    return signs, words
+    return signs, _word_features(mark, closed, gap, start, shape, token, inner, inner[-4:], before, after, two, block.first)
+
+
+#: Which argument of ``_word_features`` each of its n-grams has words from, counted from ``token``.
+_WORDS_OF = {"t": (0,), "i": (1,), "e": (2,), "ti": (1,), "bt": (3, 0), "b": (3,), "bs": (3,), "a": (4,), "a2": (5,), "ca": (4,), "c2": (5,), "f": (6,)}
+
+
+def _word_features(mark: str, closed: str, gap: int, start: str, shape: str, token: str | None, inner: str | None, suffix: str | None, before: str | None, after: str | None, two: str | None, first: str | None) -> list[tuple]:
+    return [("t", token, mark), ("i", inner, mark), ("e", suffix, mark), ("ti", inner, start), ("bt", before, token), ("b", before, mark), ("bs", before, shape), ("a", after, gap == _NONE), ("a2", two, start), ("ca", after, closed != ""), ("c2", two, mark), ("f", first, mark)]
 
 
 def _sign_features(signs: tuple) -> list[tuple]:
@@ -455,12 +463,27 @@ class Model:
 
     def __init__(self, window: np.ndarray, open_: np.ndarray, weights: dict, step: list[list[float]]):
         self.window, self.open, self.weights, self.step = window, open_, weights, step
-        self.signs: dict[tuple, float] = {}  # known sums
+        self.sums: dict[tuple, float] = {}  # of contexts in which unknown words are left out
+        # Words that some weight is for, by the argument of _word_features that they are.
+        self.words: list[set[str]] = [set() for _ in range(7)]
+        for f in weights:
+            for at, word in zip(_WORDS_OF.get(f[0], ()), f[1:]):
+                self.words[at].add(word)
 
     def places(self, page: Page) -> np.ndarray:
         """Where the tag isn't settled by the window alone."""
         return np.flatnonzero(self.open[page.codes] & (page.codes >= 0))
 
+    def _sum(self, key: tuple) -> float:
+        """The weights of a context whose unknown words are left out."""
+        if len(self.sums) > 300_000:
+            self.sums.clear()
+        mark, closed, gap, start, shape, *words = key[:12]
+        signs = (mark, closed, gap, start, shape, words[3] == "^", *key[12:])
+        weights = self.weights
+        found = self.sums[key] = sum(weights.get(f, 0.0) for f in _sign_features(signs) + _word_features(mark, closed, gap, start, shape, *words))
+        return found
+
     def ends(self, page: Page) -> list[int]:
         """Places of the characters tagged as boundary, those at the end of a block included."""
         blocks = page.blocks()
@@ -468,21 +491,23 @@ class Model:
         all_places = [p for own in places_of for p in own]
         anchors = iter(page.anchors(all_places, [b.begin for b, own in zip(blocks, places_of) for _ in own]))
         bases = iter(self.window[page.codes[all_places]].tolist())
-        weights, sums, out = self.weights, self.signs, []
+        sums, out = self.sums, []
+        tokens, inners, suffixes, befores, afters, twos, firsts = self.words
         for block, places in zip(blocks, places_of):
             if places:
                 scores = []
+                first = block.first if block.first in firsts else None
                 for _ in places:
-                    signs, words = _features(block, context(block, next(anchors)))
-                    known = sums.get(signs)
-                    if known is None:
-                        if len(sums) > 100_000:
-                            sums.clear()
-                        known = sums[signs] = sum(weights.get(f, 0.0) for f in _sign_features(signs))
-                    for f in words:
-                        if f in weights:
-                            known += weights[f]
-                    scores.append(known + next(bases))
+                    mark, closed, token, inner, before, shape, gap, opened, after, two, start, place = context(block, next(anchors))
+                    suffix = inner[-4:]
+                    key = (
+                        mark, closed, gap, start, shape,
+                        token if token in tokens else None, inner if inner in inners else None, suffix if suffix in suffixes else None,
+                        before if before in befores or before == "^" else None, after if after in afters else None, two if two in twos else None, first,
+                        place, opened, block.bar, len(after) if len(after) < 5 else 5,
+                    )
+                    known = sums.get(key)
+                    scores.append((self._sum(key) if known is None else known) + next(bases))
                 out += [p for p, tag in zip(places, viterbi(places, scores, self.step)) if tag]
             out.append(block.last)
         return out
@@ -544,6 +569,17 @@ def _training_pages(texts: list[str]) -> tuple[Page, list[Block], Page, list[Blo
 
 def train(texts: list[str], rounds: int = ROUNDS) -> Model:
     """Averaged structured perceptron over windows and n-grams; the same texts in the same order give the same weights."""
+    # Many small objects and no cycles: collection would only cost time.
+    collecting = gc.isenabled()
+    gc.disable()
+    try:
+        return _train(texts, rounds)
+    finally:
+        if collecting:
+            gc.enable()
+
+
+def _train(texts: list[str], rounds: int) -> Model:
     page, blocks, more, others, seams = _training_pages(texts)
     could = candidates(page, blocks)
     around = contexts(page, blocks, could)

@@ -2,33 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def stage_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset, as in tests, an own temporary folder is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="gridloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+from gridloom.sources.scratch import scratch
 
 
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` once and read it back: it is computed once, and lost executors cost no recomputation.
 
-    The table is deleted when the session's JVM ends.
+    The table stands in ``spark.checkpoint.dir`` and is deleted when the session's JVM ends.
     """
-    spark = df.sparkSession
-    path = f"{stage_dir(spark)}/gridloom-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
