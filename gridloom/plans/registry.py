@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -367,6 +368,17 @@ def qa_encode(spark: SparkSession, folder: str) -> DataFrame:
     return _texts(encoding.qa(rows, "rec_no", _SETTINGS, question="question"))
 
 
+_LOW = """(SELECT rec_no, lower(question) AS question, answers, {'header': list_transform("table".header, lambda c_: lower(coalesce(c_, 'None'))),
+    'rows': list_transform("table".rows, lambda r_: list_transform(r_, lambda c_: lower(coalesce(c_, 'None'))))} AS "table" FROM wtq WHERE "table" IS NOT NULL)"""
+
+
+@query(_qa_sql(_LOW, _SETTINGS, "question"))
+def qa_lower(spark: SparkSession, folder: str) -> DataFrame:
+    """Question and table in lower case, with the check that no length changes."""
+    rows = _read(spark, folder, "wtq").where(F.col("table").isNotNull()).select("rec_no", "question", "table", "answers")
+    return _texts(encoding.qa(rows, "rec_no", dataclasses.replace(_SETTINGS, lower_case=True), question="question"))
+
+
 def _corpora(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {n: _read(spark, folder, f"{n}_corpus").select("rec_no", "context", "table", "mentions", "answers") for n in readers.CORPORA}
 
