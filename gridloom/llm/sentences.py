@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 #: Documents that the weights are learned from; the sample is the least by hash of the id.
 TRAINING_DOCS = 2000
-ROUNDS = 5
+ROUNDS = 3
 #: By how much the right tag must win in training.
 MARGIN = 2.0
 #: Occurrences that a context needs as evidence that it can be an edge, and that it never is one; those with fewer are judged by less specific contexts.
@@ -61,8 +61,17 @@ _NONE, _ONE, _SPACES, _LINE = range(4)
 _GAPS = 4
 
 
-@lru_cache(maxsize=1)
+_table: list[np.ndarray] = []
+
+
 def _class_table() -> np.ndarray:
+    """The class of every code point; made once in the driver and sent to the workers."""
+    if not _table:
+        _table.append(_classes())
+    return _table[0]
+
+
+def _classes() -> np.ndarray:
     """The class of every code point, by Unicode category and block."""
 
     def of(ch: str) -> str:
@@ -140,11 +149,12 @@ class Page:
         gap[(gap == _LINE) & ~_LISTS[padded[nxt]] & (cls != _C["thai"])] = _ONE
         code = ((padded[prev] * _K + cls) * _GAPS + gap) * _K + padded[nxt]
         self.codes = np.where(solid, code, -1)
-        opens, closes, marks = (table[points] for table in _sign_tables())
+        opens, closes, marks, inverted = (table[points] for table in _sign_tables())
         last = lambda where: np.append(np.maximum.accumulate(np.where(where, at, -1)), -1)  # noqa: E731  (of -1: none)
         self.last_break = last(~solid | opens)
         self.next_stop = np.append(np.minimum.accumulate(np.where(~solid | closes, at, n)[::-1])[::-1], n)
         self.last_inner, self.last_unmarked, self.last_word = last(solid & ~closes), last(~marks), last(solid & ~opens)
+        self.next_word = np.append(np.minimum.accumulate(np.where(solid & ~opens & ~inverted, at, n)[::-1])[::-1], [n, n])
 
     def anchors(self, places: list[int], begins: list[int]) -> list[tuple[int, ...]]:
         """Of each place in a block that begins at the other number: the end of its marks and of the token before, where that and the word before begin and end, and where the text goes on."""
@@ -155,7 +165,10 @@ class Page:
         p = np.maximum(self.last_word[first - 1] + 1, begin)
         q = np.maximum(self.last_break[p - 1] + 1, begin)
         gap = self.codes[at] // _K % _GAPS
-        return list(zip(places, begins, (inner + 1).tolist(), (j + 1).tolist(), first.tolist(), p.tolist(), q.tolist(), self.solid[at + 1].tolist(), gap.tolist()))
+        follow = self.solid[at + 1]
+        word = self.next_word[follow]
+        stop = self.next_stop[word]
+        return list(zip(places, begins, (inner + 1).tolist(), (j + 1).tolist(), first.tolist(), p.tolist(), q.tolist(), follow.tolist(), word.tolist(), stop.tolist(), gap.tolist()))
 
     def blocks(self) -> list[Block]:
         """The parts between blank lines that aren't blank."""
@@ -173,9 +186,9 @@ class Page:
 
 @lru_cache(maxsize=1)
 def _sign_tables() -> np.ndarray:
-    """Which code points open and close quotations and brackets, and which end sentences."""
-    tables = np.zeros((3, 0x110000), bool)
-    for table, signs in zip(tables, (_OPENERS, _CLOSERS, _MARKS)):
+    """Which code points open and close quotations and brackets, which end sentences, and which are inverted."""
+    tables = np.zeros((4, 0x110000), bool)
+    for table, signs in zip(tables, (_OPENERS, _CLOSERS, _MARKS, "¿¡")):
         table[[ord(c) for c in signs]] = True
     return tables
 
@@ -298,24 +311,20 @@ def _word_after(word: str) -> tuple[str, str, str]:
     return _DIGITS.sub("0", low[:16]), _DIGITS.sub("0", low[:2]), _CLASSES[_class_table()[ord(word[0])]]
 
 
-def _right(block: Block, k: int) -> tuple[str, str, str, str]:
-    """(opening signs, token in plain form, its first two characters, kind of its start) at a place of the block."""
-    text, end, solid = block.page.text, block.end, block.page.solid
-    begin = k
-    while k < end and (text[k] in _OPENERS or text[k] in "¿¡"):
-        k = int(solid[k + 1])
-    k = min(k, end)
-    opened = text[begin:k]
-    word = text[k : min(int(block.page.next_stop[k]), end, k + 24)]
-    if not word:
+def _right(block: Block, k: int, word: int, stop: int) -> tuple[str, str, str, str]:
+    """(opening signs, token in plain form, its first two characters, kind of its start) of what begins at a place of the block; ``word``: after the signs, ``stop``: the token's end."""
+    text, end = block.page.text, block.end
+    opened = text[k : min(word, end)] if word > k else ""
+    token = text[word : min(stop, end, word + 24)] if word < end else ""
+    if not token:
         return opened, "", "", "sign" if opened else "edge"
-    after, two, start = _word_after(word)
-    return opened, after, two, "inverted" if "¿" in opened or "¡" in opened else start
+    after, two, start = _word_after(token)
+    return opened, after, two, "inverted" if opened and ("¿" in opened or "¡" in opened) else start
 
 
 def context(block: Block, anchor: tuple[int, ...]) -> tuple:
     """What stands around a character, as strings: (mark, closing sign, token before, ...)."""
-    at, b, e, j, begin, p, q, k, gap = anchor
+    at, b, e, j, begin, p, q, k, word, stop, gap = anchor
     text = block.page.text
     closed = text[at] if e <= at and text[at] in _CLOSERS else ""
     token, inner, shape = _token(text[max(begin, j - 40) : j])
@@ -324,11 +333,11 @@ def context(block: Block, anchor: tuple[int, ...]) -> tuple:
         before = "^"
     else:
         before = _word_before(text[max(q, p - 16) : p])
-    opened, after, two, start = _right(block, k)
+    opened, after, two, start = _right(block, k, word, stop)
     place = ""
     if closed and (opening := block.opening(at)) is not None:
         place = _place(text, opening, b)
-    return text[max(j, e - 3) : e], closed, token, inner, before, shape, gap, bool(opened.strip("¿¡ ")), after, two, start, place
+    return text[max(j, e - 3) : e], closed, token, inner, before, shape, gap, opened != "" and opened.strip("¿¡ ") != "", after, two, start, place
 
 
 def contexts(page: Page, blocks: list[Block], places: list[list[int]]) -> list[list[tuple]]:
@@ -407,7 +416,8 @@ class Evidence:
         finished = [_finished(b.string) for b in blocks]
         whole = [b for b, ok in zip(blocks, finished) if ok]
         for b, (edge,) in zip(whole, contexts(page, whole, [[b.last] for b in whole])):
-            self.edge.update(_right_keys(_right(b, b.begin)[1:]))
+            word = int(page.next_word[b.begin])
+            self.edge.update(_right_keys(_right(b, b.begin, word, int(page.next_stop[word]))[1:]))
             self.edge.update(_left_keys(edge))
         for within, ok in zip(around, finished):
             if ok:
@@ -708,10 +718,12 @@ def sentences(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """
     if model is None:
         model = train(_sample(docs, TRAINING_DOCS))
-    shared = docs.sparkSession.sparkContext.broadcast((model.window, model.open, model.weights, model.step))
+    shared = docs.sparkSession.sparkContext.broadcast((model.window, model.open, model.weights, model.step, _class_table()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(*shared.value)
+        *parts, table = shared.value
+        _table[:] = [table]
+        model = Model(*parts)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 ids, texts = batch.column(0).slice(lo, 512), batch.column(1).slice(lo, 512).to_pylist()
