@@ -134,27 +134,31 @@ class Page:
         self.text = text
         n = len(text)
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        cls = _class_table()[points].astype(np.int64)
-        at = np.arange(n)
+        cls = _class_table()[points].astype(np.int32)
+        at = np.arange(n, dtype=np.int32)
         solid = cls != _C["space"]
-        self.solid = np.append(np.minimum.accumulate(np.where(solid, at, n)[::-1])[::-1], [n, n])
+        opens, closes, marks, inverted = (table[points] for table in _sign_tables())
+
+        def last(where: np.ndarray) -> np.ndarray:
+            """The last place up to each where it holds, or -1; also of place -1."""
+            return np.append(np.maximum.accumulate(np.where(where, at, np.int32(-1))), np.int32(-1))
+
+        def following(where: np.ndarray) -> np.ndarray:
+            """The first place from each on where it holds, or the end; also of the two places after the end."""
+            return np.append(np.minimum.accumulate(np.where(where, at, np.int32(n))[::-1])[::-1], [np.int32(n)] * 2)
+
+        self.solid, self.next_word, self.next_stop = following(solid), following(solid & ~opens & ~inverted), following(~solid | closes)
+        self.last_break, self.last_inner, self.last_unmarked, self.last_word = last(~solid | opens), last(solid & ~closes), last(~marks), last(solid & ~opens)
         nxt = self.solid[1 : n + 1]
-        before = np.maximum.accumulate(np.where(solid, at, -1))
-        prev = np.append(-1, before[:-1])
-        padded = np.append(cls, _C["edge"])
-        lines = np.append(0, np.cumsum(points == 10))
+        prev = np.append(np.int32(-1), last(solid)[: n - 1])
+        padded = np.append(cls, np.int32(_C["edge"]))
+        lines = np.append(np.int32(0), np.cumsum(points == 10, dtype=np.int32))
         width = nxt - at - 1
-        gap = np.where(width == 0, _NONE, np.where(lines[nxt] > lines[np.minimum(at + 1, n)], _LINE, np.where(width == 1, _ONE, _SPACES)))
+        gap = np.where(width == 0, _NONE, np.where(lines[nxt] > lines[np.minimum(at + 1, n)], _LINE, np.where(width == 1, _ONE, _SPACES))).astype(np.int32)
         # A line break tells something only before what can begin a list item, and in scripts whose spaces do.
         gap[(gap == _LINE) & ~_LISTS[padded[nxt]] & (cls != _C["thai"])] = _ONE
         code = ((padded[prev] * _K + cls) * _GAPS + gap) * _K + padded[nxt]
-        self.codes = np.where(solid, code, -1)
-        opens, closes, marks, inverted = (table[points] for table in _sign_tables())
-        last = lambda where: np.append(np.maximum.accumulate(np.where(where, at, -1)), -1)  # noqa: E731  (of -1: none)
-        self.last_break = last(~solid | opens)
-        self.next_stop = np.append(np.minimum.accumulate(np.where(~solid | closes, at, n)[::-1])[::-1], n)
-        self.last_inner, self.last_unmarked, self.last_word = last(solid & ~closes), last(~marks), last(solid & ~opens)
-        self.next_word = np.append(np.minimum.accumulate(np.where(solid & ~opens & ~inverted, at, n)[::-1])[::-1], [n, n])
+        self.codes = np.where(solid, code, np.int32(-1))
 
     def anchors(self, places: list[int], begins: list[int]) -> list[tuple[int, ...]]:
         """Of each place in a block that begins at the other number: the end of its marks and of the token before, where that and the word before begin and end, and where the text goes on."""
@@ -612,6 +616,7 @@ def _train(texts: list[str], rounds: int) -> Model:
         parts.append((whole, [b for b, ok in zip(own, use) if ok], [g for g, ok in zip(golds, use) if ok]))
     window, open_ = _windows(seen, hits)
     counts: Counter = Counter()
+    pool: dict[tuple, tuple] = {}
     found = []
     for whole, own, golds in parts:
         places_of = by_block(own, np.flatnonzero(open_[whole.codes] & (whole.codes >= 0)))
@@ -620,6 +625,8 @@ def _train(texts: list[str], rounds: int) -> Model:
                 fs = [_sign_features(signs) + words for signs, words in (_features(block, c) for c in cs)]
                 for f in fs:
                     counts.update(f)
+                # One object for equal n-grams.
+                fs = [[pool.setdefault(x, x) for x in f] for f in fs]
                 found.append((places, fs, [int(p in gold) for p in places], window[whole.codes[places]].tolist()))
     # What differs in rare words only is learned from once.
     rows: dict = {}
