@@ -22,19 +22,20 @@ def _texts(column: pd.Series) -> list[list[str]]:
     return [[] if x is None else ["" if s is None else s for s in x] for x in column]
 
 
-def _typed(originals: pd.Series, canonicals: pd.Series | None) -> Iterator[list[V.Value]]:
+def _typed(originals: pd.Series, canonicals: pd.Series | None, read: Callable[[str, str], V.Value] = V.value_of) -> Iterator[list[V.Value]]:
     """The distinct values of each list; lists of different lengths are refused."""
     first = _texts(originals)
     for o, c in zip(first, first if canonicals is None else _texts(canonicals)):
         if len(o) != len(c):
             raise ValueError("originals and canonical forms differ in number")
-        yield V.distinct(map(V.value_of, o, c))
+        yield V.distinct(map(read, o, c))
 
 
 def typed(df: DataFrame, originals: str, canonicals: str | None, out: str) -> DataFrame:
     """Adds ``out``: the distinct VALUEs of a list column, typed by the list of canonical forms where given.
 
     Lists of different lengths are refused; null lists give no values, null entries count as empty strings.
+    What the fields of VALUE can't hold is a string.
     """
 
     def shown(v: V.Value) -> dict:
@@ -43,7 +44,7 @@ def typed(df: DataFrame, originals: str, canonicals: str | None, out: str) -> Da
         return dict(kind=kind, norm=norm, num=float(x) if kind == "number" else None, y=y, m=m, d=d)
 
     def run(o: pd.Series, *c: pd.Series) -> pd.Series:
-        return pd.Series([[shown(v) for v in values] for values in _typed(o, c[0] if c else None)])
+        return pd.Series([[shown(v) for v in values] for values in _typed(o, c[0] if c else None, V.held_value_of)])
 
     return df.withColumn(out, F.pandas_udf(run, f"array<{V.VALUE}>")(*([originals] if canonicals is None else [originals, canonicals])))
 

@@ -58,6 +58,20 @@ def test_parse_number(spark):
     assert {r.s: r.x for r in df.collect()} == NUMBERS | {None: None}
 
 
+BIG = {"126e65": 1.26e67, "-1e81": -1e81, "1e24": 1e24, "9223372036854775808": 2.0**63, "9007199254740993": 2.0**53, "9007199254740991": 2.0**53 - 1, "4503599627370495.5": 4503599627370495.5}
+
+
+def test_parse_big_numbers(spark):
+    df = spark.createDataFrame([(k,) for k in BIG], "s string").select("s", V.parse_number(F.col("s")).alias("x"))
+    assert {r.s: r.x for r in df.collect()} == BIG
+
+
+def test_normalize_null_characters(spark):
+    texts = ["5", "5\0", "5\0a", "\0"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string").coalesce(1).select("s", V.normalize(F.col("s")).alias("x"))
+    assert {r.s: r.x for r in df.collect()} == {t: t for t in texts}
+
+
 def test_numbers_as_python_reads_them(spark):
     r = random.Random(2)
     texts = list({"".join(r.choice("0123_.eE+- \xa0x") for _ in range(r.randint(1, 6))) for _ in range(3000)})
